@@ -1 +1,9 @@
 """Context selection on Spark: rank, score, retain and account for retrieved text."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions sent to Python workers travel by value, so executors need no copy of
+# this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,8 +23,8 @@ from gleaner.operators.retrieval import (
 )
 from gleaner.plans.sizing import materialise
 
-QUERY_BLOCK = 4096
-SLICE_ROWS = 1 << 16
+QUERY_BLOCK = 1024
+SLICE_ROWS = 1 << 14
 
 
 def _unit(rows: np.ndarray) -> np.ndarray:
@@ -101,40 +103,47 @@ def _block_best(q_ids: np.ndarray, q_unit: np.ndarray, frame: pd.DataFrame, k: i
 # --- latent vectors ---------------------------------------------------------
 
 
-def _columns(width: int, prefix: str) -> list[str]:
-    return [f"{prefix}{j}" for j in range(width)]
+def _rotated(column: str, matrix: np.ndarray):
+    """``column @ matrix`` row by row, in Arrow batches."""
 
+    @F.pandas_udf("array<double>")
+    def turn(rows: pd.Series) -> pd.Series:
+        return pd.Series(list(_matrix(rows) @ matrix)) if len(rows) else pd.Series([], dtype=object)
 
-def _orthonormal(projected: DataFrame, width: int) -> np.ndarray:
-    """The width x width matrix R with (rows @ R) orthonormal, from the Gram
-    matrix of ``projected``; only width^2 sums reach the driver."""
-    cols = _columns(width, "y")
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    row = projected.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    gram = np.zeros((width, width))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-    values, basis = np.linalg.eigh(gram)
-    keep = values > max(values.max(), 0.0) * 1e-12
-    return basis[:, keep] / np.sqrt(values[keep])
+    return turn(F.col(column))
 
 
-def _rotate(df: DataFrame, keys: Sequence[str], matrix: np.ndarray, prefix: str) -> DataFrame:
-    source = _columns(matrix.shape[0], "y")
-    out = [
-        sum((F.col(s) * float(matrix[i, j]) for i, s in enumerate(source)), F.lit(0.0)).alias(f"{prefix}{j}")
-        for j in range(matrix.shape[1])
-    ]
-    return df.select(*keys, *out)
+def _gram(rows: DataFrame, width: int) -> np.ndarray:
+    """Sum of outer products of the column ``y``: each task sends width^2 sums."""
 
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((width, width))
+        for frame in batches:
+            if len(frame):
+                m = _matrix(frame["y"])
+                total += m.T @ m
+        yield pd.DataFrame({"i": np.arange(width * width), "g": total.ravel()})
 
-def _multiply(weights: DataFrame, by: str, side: DataFrame, to: str, width: int) -> DataFrame:
-    """Product of the sparse matrix ``weights(chunk_id, term, w)`` with the rows of
-    ``side(by, x0..)``, giving ``to, y0..``: an equi-join and a grouped sum."""
-    joined = weights.join(side, by)
-    return joined.groupBy(to).agg(
-        *[F.sum(F.col("w") * F.col(f"x{j}")).alias(f"y{j}") for j in range(width)]
-    )
+    sums = rows.select("y").mapInPandas(partial, "i int, g double").groupBy("i").agg(F.sum("g").alias("g"))
+    gram = np.zeros(width * width)
+    for row in sums.collect():  # width^2 rows
+        gram[row["i"]] = row["g"]
+    return gram.reshape(width, width)
+
+
+def _whitening(rows: DataFrame, width: int) -> np.ndarray:
+    """The matrix that turns the columns of ``y`` into an orthonormal set."""
+    values, basis = np.linalg.eigh(_gram(rows, width))
+    keep = values > max(values.max(), 0.0) * 1e-12
+    return basis[:, keep] / np.sqrt(values[keep])
+
+
+def _multiply(weights: DataFrame, by: str, side: DataFrame, to: str) -> DataFrame:
+    """Sparse matrix ``weights(chunk_id, term, w)`` times rows ``side(by, x)``:
+    an equi-join and a grouped weighted vector sum, giving ``to, y``."""
+    joined = weights.join(side, by).select(to, "w", array_to_vector("x").alias("x"))
+    total = Summarizer.sum(F.col("x"), F.col("w"))
+    return joined.groupBy(to).agg(vector_to_array(total).alias("y"))
 
 
 def latent_space(
@@ -146,10 +155,10 @@ def latent_space(
 ) -> tuple[DataFrame, DataFrame]:
     """Truncated SVD of the TF-IDF matrix by randomised subspace iteration.
 
-    Returns (chunk vectors ``chunk_id, vector``, term basis ``term, x0..``).  The
+    Returns (chunk vectors ``chunk_id, vector``, term basis ``term, x``).  The
     matrix stays a table of weights; each pass is a join and a grouped sum, and
     the driver sees small Gram matrices only.  Components are bounded by
-    vocabulary - 1 and chunks - 1 as usual.
+    vocabulary - 1 and chunks - 1.
     """
     model = model or fit(chunks)
     raw = _with_idf(chunk_terms(chunks), model, model.vocabulary).select(
@@ -162,44 +171,32 @@ def latent_space(
     n_terms, n_chunks = model.vocabulary.count(), chunks.count()
     wanted = max(1, min(components, n_terms - 1, n_chunks - 1))
     width = max(1, min(wanted + oversample, n_terms, n_chunks))
-    # Start from a reproducible random basis: one hashed normal pair per term.
-    unit = lambda tag, j: (F.pmod(F.xxhash64(F.lit(f"{tag}{j}"), "term"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1)
+    # A reproducible random start: hashed normal numbers per term.
+    unit = lambda tag, j: (
+        F.pmod(F.xxhash64(F.lit(tag), j, F.col("term")), F.lit(1 << 30)) + 1
+    ) / float((1 << 30) + 1)
+    normal = lambda j: F.sqrt(-2 * F.log(unit("r", j))) * F.cos(2 * np.pi * unit("a", j))
     basis = model.vocabulary.select(
-        "term",
-        *[
-            (F.sqrt(-2 * F.log(unit("r", j))) * F.cos(2 * np.pi * unit("a", j))).alias(f"x{j}")
-            for j in range(width)
-        ],
+        "term", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), normal).alias("x")
     )
     for _ in range(iterations):
-        by_chunk = materialise(_multiply(weights, "term", basis, "chunk_id", width))
-        turned = _rotate(by_chunk, ["chunk_id"], _orthonormal(by_chunk, width), "x")
-        width = len(turned.columns) - 1
-        by_term = materialise(_multiply(weights, "chunk_id", turned, "term", width))
-        basis = _rotate(by_term, ["term"], _orthonormal(by_term, width), "x")
-        width = len(basis.columns) - 1
-    by_chunk = materialise(_multiply(weights, "term", basis, "chunk_id", width))
+        by_chunk = materialise(_multiply(weights, "term", basis, "chunk_id"))
+        turn = _whitening(by_chunk, width)
+        turned = by_chunk.select("chunk_id", _rotated("y", turn).alias("x"))
+        by_term = materialise(_multiply(weights, "chunk_id", turned, "term"))
+        turn = _whitening(by_term, turn.shape[1])
+        width = turn.shape[1]
+        basis = materialise(by_term.select("term", _rotated("y", turn).alias("x")))
+    by_chunk = materialise(_multiply(weights, "term", basis, "chunk_id"))
     # Rotate to singular directions: eigenvectors of the small Gram matrix.
-    cols = _columns(width, "y")
-    pairs = [(i, j) for i in range(width) for j in range(i, width)]
-    row = by_chunk.agg(*[F.sum(F.col(cols[i]) * F.col(cols[j])).alias(f"g{i}_{j}") for i, j in pairs]).first()
-    gram = np.zeros((width, width))
-    for i, j in pairs:
-        gram[i, j] = gram[j, i] = row[f"g{i}_{j}"] or 0.0
-    values, vectors = np.linalg.eigh(gram)
+    values, vectors = np.linalg.eigh(_gram(by_chunk, width))
     turn = vectors[:, np.argsort(-values)[:wanted]]
-    chunk_vectors = _rotate(by_chunk, ["chunk_id"], turn, "x")
-    term_basis = _rotate(
-        basis.select("term", *[F.col(f"x{j}").alias(f"y{j}") for j in range(width)]), ["term"], turn, "x"
-    )
-    found = turn.shape[1]
-    packed = chunk_vectors.select("chunk_id", F.array(*_columns(found, "x")).alias("vector"))
+    packed = by_chunk.select("chunk_id", _rotated("y", turn).alias("vector"))
+    term_basis = basis.select("term", _rotated("x", turn).alias("x"))
     # A chunk without an indexable term is the zero vector.
-    zero = F.array(*[F.lit(0.0)] * found)
-    all_chunks = chunks.select("chunk_id").join(packed, "chunk_id", "left").select(
-        "chunk_id", F.coalesce("vector", zero).alias("vector")
-    )
-    return all_chunks, materialise(term_basis)
+    zero = F.array(*[F.lit(0.0)] * turn.shape[1])
+    every = chunks.select("chunk_id").join(packed, "chunk_id", "left")
+    return every.select("chunk_id", F.coalesce("vector", zero).alias("vector")), term_basis
 
 
 def latent_retrieve(
@@ -208,15 +205,12 @@ def latent_retrieve(
     """Top ``k`` by cosine in the latent space."""
     model = fit(chunks)
     vectors, basis = latent_space(chunks, model, components, iterations=iterations)
-    width = len(basis.columns) - 1
-    asked = query_vectors(queries, model).join(basis, "term")
-    projected = asked.groupBy("query_id").agg(
-        *[F.sum(F.col("qw") * F.col(f"x{j}")).alias(f"x{j}") for j in range(width)]
+    asked = query_vectors(queries, model).withColumnRenamed("qw", "w")
+    projected = _multiply(asked, "term", basis, "query_id")
+    width = F.size(F.col("vector"))
+    known = queries.select("query_id").join(
+        projected.select("query_id", F.col("y").alias("vector")), "query_id", "left"
     )
-    zero = F.array(*[F.lit(0.0)] * width)
-    q = queries.select("query_id").join(
-        projected.select("query_id", F.array(*_columns(width, "x")).alias("vector")), "query_id", "left"
-    )
-    return cosine_top_k(q.select("query_id", F.coalesce("vector", zero).alias("vector")), vectors, k)
-
-
+    zero = F.array_repeat(F.lit(0.0), vectors.select(F.max(width)).scalar())
+    q = known.select("query_id", F.coalesce("vector", zero).alias("vector"))
+    return cosine_top_k(q, vectors, k)

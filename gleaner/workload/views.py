@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.functions.sections import infer_source_type, sections
+from gleaner.config import MARKER_CLOSE, MARKER_OPEN
+from gleaner.functions.sections import infer_source_type, sections, wrap_as_marked
 from gleaner.functions.text import split_sentences
 from gleaner.plans.sizing import spread
 
@@ -67,3 +68,114 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "chunk_id", F.explode_outer(split_sentences(F.col("text"))).alias("sentence")
     )
     return held.join(asked, "sentence").select("query_id", "chunk_id", "doc_id").distinct()
+
+
+def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as headed text: titles and bold paragraphs become headings."""
+    html = F.col("html")
+    text = F.regexp_replace(html, "<h1>", "\n# ")
+    text = F.regexp_replace(text, "<p><b>", "\n## ")
+    text = F.regexp_replace(text, "<[^>]*>", "\n")
+    return text_table(spark, sf_dir, "pages", "page_id", "html").select("page_id", text.alias("text"))
+
+
+def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations in which assistant turns play the part of tool results.
+
+    System turns are left out: they are the system field of the request."""
+    paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return (
+        text_table(spark, sf_dir, "conversations")
+        .filter(F.col("role") != "system")
+        .select(
+            "conv_id",
+            "turn",
+            F.when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+            F.when(F.col("role") == "assistant", paragraphs).otherwise(F.col("text")).alias("text"),
+        )
+    )
+
+
+def system_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """System turns, marked, one per conversation."""
+    return (
+        table(spark, sf_dir, "conversations")
+        .filter(F.col("role") == "system")
+        .groupBy("conv_id")
+        .agg(F.min_by("text", "turn").alias("text"))
+        .select("conv_id", wrap_as_marked(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))).alias("text"))
+    )
+
+
+def marked_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its text marked, a blank span and a tail after it."""
+    paragraphs = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))
+    return text_table(spark, sf_dir, "conversations").select(
+        "conv_id",
+        "turn",
+        "role",
+        F.concat(
+            F.lit("Given "), F.lit(MARKER_OPEN), paragraphs, F.lit(MARKER_CLOSE), F.lit(" and "),
+            F.lit(MARKER_OPEN), F.lit("  "), F.lit(MARKER_CLOSE), F.lit(" go on. "),
+        ).alias("text"),
+    )
+
+
+# What the event types of the log stand for, and the value from which a retry
+# counts as improved and an accepted answer as grounded.
+FEEDBACK = {
+    "view": "regenerate",
+    "error": "thumbs_down",
+    "signup": "retry",
+    "click": "mark_irrelevant",
+    "purchase": "accept",
+}
+GOOD_VALUE = 20.0
+
+
+def feedback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as session feedback: one session per user.
+
+    The number in ``props`` names the rank the event is about."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    kind = F.create_map(*[F.lit(x) for pair in FEEDBACK.items() for x in pair])[F.col("event_type")]
+    good = F.col("value") >= GOOD_VALUE
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("session_id"),
+        "ts",
+        "event_id",
+        kind.alias("event_type"),
+        good.alias("improved"),
+        F.array(
+            F.concat(F.lit("c"), k.cast("string")), F.concat(F.lit("c"), (k + 1).cast("string"))
+        ).alias("cited"),
+        F.concat(F.lit("c"), k.cast("string")).alias("chunk_id"),
+        good.alias("grounded"),
+        "value",
+        k.alias("k"),
+    )
+
+
+def trials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event log as replay trials: one run per event type."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    total = F.pmod(k, F.lit(3))
+    kept = F.least(total, F.floor(F.col("value") / 10))
+    return table(spark, sf_dir, "events").select(
+        F.col("event_type").alias("policy"),
+        "ts",
+        "event_id",
+        total.alias("relevant_total"),
+        kept.alias("relevant_retained"),
+        F.when(total > 0, kept / total).otherwise(F.lit(1.0)).alias("recall"),
+    )
+
+
+def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answer = a benchmark passage, asked for by its first sentence."""
+    sentences = split_sentences(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("answer_id"),
+        F.get(sentences, F.lit(0)).alias("query_text"),
+        F.col("text").alias("answer_text"),
+    )
