@@ -1,8 +1,9 @@
-"""Broadcasts behind a size check, and reliable checkpoints."""
+"""Broadcasts behind a size check, and tables that cut the lineage."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,28 +13,31 @@ MAX_BROADCAST_ROWS = 1_000_000
 MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``.
 
     Only a local session may fall back to a temporary folder: on a cluster a
     machine-local path would not survive the loss of an executor.
     """
     sc = spark.sparkContext
-    if sc.getCheckpointDir():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        sc.setCheckpointDir(named)
-    elif sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
-    else:
+        return named.rstrip("/")
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="run-"))
+    return sc.getCheckpointDir().rstrip("/")
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write a table into the shared folder and read it back.
+
+    Unlike a checkpointed RDD the table is read by column, knows its size, and
+    counts from its footers.  It stays until the folder is cleared.
+    """
+    path = f"{shared_folder(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def fits_broadcast(

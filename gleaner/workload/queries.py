@@ -198,6 +198,12 @@ def marked_wrapped(spark, sf_dir):
 # --- retrieval --------------------------------------------------------------
 
 
+def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunk table, written once per query: it is read several times and by
+    column."""
+    return materialise(V.document_chunks(spark, sf_dir))
+
+
 @query
 def corpus_checks(spark, sf_dir):
     """Documents named by content: copies are duplicate ids."""
@@ -217,7 +223,7 @@ def tfidf_vocabulary(spark, sf_dir):
 
 @query
 def tfidf_chunk_norms(spark, sf_dir):
-    chunks = V.document_chunks(spark, sf_dir)
+    chunks = stored_chunks(spark, sf_dir)
     model = retrieval.fit(chunks)
     w = F.col("tf") * F.col("idf")
     weighted = retrieval._with_idf(retrieval.chunk_terms(chunks), model, model.vocabulary)
@@ -228,7 +234,7 @@ def tfidf_chunk_norms(spark, sf_dir):
 
 @query
 def retrieve_top_k(spark, sf_dir):
-    ranked = retrieval.retrieve(V.questions(spark, sf_dir), V.document_chunks(spark, sf_dir))
+    ranked = retrieval.retrieve(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir))
     return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
 
 
@@ -238,7 +244,7 @@ def retrieve_unknown_words(spark, sf_dir):
     asked = V.questions(spark, sf_dir).select(
         "query_id", F.concat(F.lit("the of and qqqxxx"), F.col("query_id").cast("string")).alias("query_text")
     )
-    ranked = retrieval.retrieve(asked, V.document_chunks(spark, sf_dir))
+    ranked = retrieval.retrieve(asked, stored_chunks(spark, sf_dir))
     return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
 
 
@@ -273,7 +279,7 @@ def latent_top_k(spark, sf_dir):
 @lru_cache(maxsize=8)
 def _featured_for(app: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(
-        scoring.rank_with_features(V.questions(spark, sf_dir), V.document_chunks(spark, sf_dir))
+        scoring.rank_with_features(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir))
     )
 
 
@@ -335,7 +341,7 @@ def chunks_of_labelled_docs(spark, sf_dir):
 @query
 def prune_decisions(spark, sf_dir):
     """Retrieve, featurise, score and apply the rules for all queries at once."""
-    decided = scoring.prune(V.questions(spark, sf_dir), V.document_chunks(spark, sf_dir), STATED_MODEL)
+    decided = scoring.prune(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir), STATED_MODEL)
     return _shown(decided, "query_id")
 
 
@@ -445,7 +451,7 @@ def _examples_for(app: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_splits(spark, sf_dir).select("doc_id", "split")
     proof = materialise(V.evidence(spark, sf_dir))
     asked = splits.assign_question_splits(proof, docs).filter(F.col("split").isNotNull())
-    chunks = V.document_chunks(spark, sf_dir).join(docs, "doc_id")
+    chunks = materialise(V.document_chunks(spark, sf_dir).join(docs, "doc_id"))
     questions = materialise(V.questions(spark, sf_dir).join(asked, "query_id"))
     return materialise(scoring.build_examples(questions, chunks, proof))
 
