@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import sys
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
 
@@ -65,16 +66,19 @@ class Metadata:
 
 
 def fit_scaler(features: DataFrame) -> Scaler:
-    """Means and population deviations in one aggregate; a constant column is
-    left unscaled."""
+    """Means and population deviations in one aggregate.
+
+    A column that is constant up to rounding is left unscaled."""
     row = features.agg(
+        F.count("*").alias("n"),
         *[F.avg(c).alias(f"m_{c}") for c in NUMERIC_FEATURES],
         *[F.stddev_pop(c).alias(f"s_{c}") for c in NUMERIC_FEATURES],
     ).first()
-    return Scaler(
-        mean=tuple(float(row[f"m_{c}"] or 0.0) for c in NUMERIC_FEATURES),
-        std=tuple(float(row[f"s_{c}"] or 0.0) or 1.0 for c in NUMERIC_FEATURES),
-    )
+    means = [float(row[f"m_{c}"] or 0.0) for c in NUMERIC_FEATURES]
+    stds = [float(row[f"s_{c}"] or 0.0) for c in NUMERIC_FEATURES]
+    slack = row["n"] * sys.float_info.epsilon
+    varies = [s * s > slack * s * s + (slack * m) ** 2 for s, m in zip(stds, means)]
+    return Scaler(mean=tuple(means), std=tuple(s if v else 1.0 for s, v in zip(stds, varies)))
 
 
 def model_columns(scaler: Scaler) -> list[Column]:

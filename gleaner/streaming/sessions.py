@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
@@ -116,9 +117,12 @@ def calibrate_stream(
 
     Needs the RocksDB state store provider.
     """
+    # The watermark sits on a copy of the time: Spark drops late rows of the
+    # watermarked column itself, and here they are to come out marked.
     return (
-        decided.select("session_id", "ts", "event_id", "policy_shift")
-        .withWatermark("ts", delay)
+        decided.withColumn("_mark", F.col("ts"))
+        .withWatermark("_mark", delay)
+        .select("session_id", "ts", "event_id", "policy_shift")
         .groupBy("session_id")
         .transformWithStateInPandas(
             statefulProcessor=Calibration(base),
