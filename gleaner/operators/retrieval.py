@@ -28,6 +28,10 @@ Retriever = Callable[[DataFrame, DataFrame, int], DataFrame]
 # doubles may differ between runs, and ties must not depend on it.
 SCORE_DIGITS = 9
 
+MAX_HOT_TERM_BYTES = 256
+# Rows of one term that a task joins with the queries asking for it.
+SALT_ROWS = 1_000_000
+
 _COUNT_ROW = ""  # no term is empty, so this row of the vocabulary counts chunks
 
 
@@ -109,12 +113,13 @@ def _with_idf(pairs: DataFrame, model: TfidfModel, vocabulary: DataFrame) -> Dat
     on = [*model.scope, "term"]
     if model.small:
         return pairs.join(F.broadcast(vocabulary), on)
-    hot = F.broadcast(
-        vocabulary.orderBy(F.col("df").desc(), *on).limit(model.hot_terms)
-    )
-    hot_keys = F.broadcast(
-        vocabulary.orderBy(F.col("df").desc(), *on).limit(model.hot_terms).select(*on)
+    # Bounded in rows and in bytes: overlong terms are left to the other branch.
+    most_frequent = (
+        vocabulary.filter(F.octet_length("term") <= MAX_HOT_TERM_BYTES)
+        .orderBy(F.col("df").desc(), *on)
+        .limit(model.hot_terms)
     )
+    hot, hot_keys = F.broadcast(most_frequent), F.broadcast(most_frequent.select(*on))
     frequent = pairs.join(hot, on)
     rare = pairs.join(hot_keys, on, "left_anti").join(
         vocabulary.join(hot_keys, on, "left_anti"), on
@@ -123,19 +128,20 @@ def _with_idf(pairs: DataFrame, model: TfidfModel, vocabulary: DataFrame) -> Dat
 
 
 def query_vectors(queries: DataFrame, model: TfidfModel) -> DataFrame:
-    """``scope..., query_id, term, qw``: unit query vectors over known terms."""
+    """``scope..., query_id, term, df, qw``: unit query vectors over known terms."""
     counts = queries.select(
         *model.scope, "query_id", term_counts(retrieval_terms(F.col("query_text"))).alias("_t")
     ).select(*model.scope, "query_id", F.inline("_t"))
     on = [*model.scope, "term"]
     weighted = counts.join(model.vocabulary, on).select(
-        *model.scope, "query_id", "term", (F.col("tf") * F.col("idf")).alias("w")
+        *model.scope, "query_id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")
     )
     per_query = Window.partitionBy(*model.scope, "query_id")
     return weighted.select(
         *model.scope,
         "query_id",
         "term",
+        "df",
         (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_query))).alias("qw"),
     )
 
@@ -215,8 +221,15 @@ def scores(
     chunks: DataFrame,
     model: TfidfModel,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
+    salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
-    """Cosine of every (query, chunk) pair that shares a term."""
+    """Cosine of every (query, chunk) pair that shares a term.
+
+    A query side within the broadcast bound meets the postings where they are.
+    Beyond it both sides are shuffled by term, and a term found in many chunks is
+    split into parts of about ``salt_rows`` postings, its query rows being
+    repeated for every part.
+    """
     scope = list(model.scope)
     on = [*scope, "term"]
     vectors = materialise(query_vectors(queries, model))
@@ -233,12 +246,18 @@ def scores(
         .agg(
             F.sqrt(F.sum(weight * weight)).alias("_norm"),
             F.collect_list(
-                F.when(F.col("_asked"), F.struct("term", weight.alias("w")))
+                F.when(F.col("_asked"), F.struct("term", "df", weight.alias("w")))
             ).alias("_w"),
         )
         .filter(F.size("_w") > 0)
     )
     postings = per_chunk.select(*scope, "chunk_id", "_norm", F.inline("_w"))
+    if not small_queries:
+        parts = F.ceil(F.col("df") / salt_rows).cast("int")
+        postings = postings.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int"))
+        vectors = vectors.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
+        on = [*on, "_part"]
+    postings, vectors = postings.drop("df"), vectors.drop("df")
     # Grouping by chunk first: the rows are already partitioned by chunk, so with
     # broadcast queries this aggregate needs no further exchange.
     return (

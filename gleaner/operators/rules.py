@@ -114,7 +114,7 @@ def _pack(wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     def step(acc: Column, x: Column) -> Column:
         used = acc["used"] + x["tokens"].cast("long")
-        fits = used <= x["token_budget"]
+        fits = used <= (F.col("token_budget") if "token_budget" in keys else x["token_budget"])
         must = mandatory(x)
         taken = F.struct(
             used.alias("used"),

@@ -6,7 +6,7 @@ import datetime as dt
 import math
 import sys
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import dataclass
 
 from pyspark.ml.classification import (
     LogisticRegression,
@@ -24,10 +24,11 @@ from gleaner.config import (
     RETRIEVAL_TOP_K,
     SOURCE_TYPES,
 )
+from gleaner.functions.text import count_tokens
 from gleaner.operators import metrics, retrieval, rules
-from gleaner.operators.features import FEATURE_COLUMNS, extract_features
+from gleaner.operators.features import extract_features
 from gleaner.plans.ordering import slice_of
-from gleaner.plans.sizing import materialise
+from gleaner.plans.sizing import broadcast_if, fits_broadcast, materialise
 
 ONE_HOT = tuple(f"is_{t}" for t in SOURCE_TYPES)
 MODEL_COLUMNS = (*NUMERIC_FEATURES, *ONE_HOT)
@@ -214,20 +215,16 @@ def rank_with_features(
     k: int = RETRIEVAL_TOP_K,
     scope: Sequence[str] = (),
     retriever: retrieval.Retriever | None = None,
-    token_count=None,
+    token_count=count_tokens,
 ) -> DataFrame:
     """Retrieve and featurise: keys, feature columns, ``retrieval_score, tokens``."""
-    from gleaner.functions.text import count_tokens
-
-    token_count = token_count or count_tokens
     ranked = (
         retriever(queries, chunks, k)
         if retriever
         else retrieval.retrieve(queries, chunks, k, scope=scope)
     )
     keys = [*scope, "query_id"]
-    n_queries = queries.count()
-    bound = n_queries * k
+    bound = queries.count() * k
     pairs = retrieval.with_chunk_columns(
         ranked,
         chunks,
@@ -236,8 +233,7 @@ def rank_with_features(
         max_rows=bound,
     )
     texts = queries.select(*keys, "query_text")
-    small = bound <= retrieval.MAX_BROADCAST_ROWS // 2
-    pairs = pairs.join(F.broadcast(texts) if small else texts, keys)
+    pairs = pairs.join(broadcast_if(fits_broadcast(texts, "query_text"), texts), keys)
     counted = pairs.withColumn("tokens", token_count(F.col("text")))
     # tokens rides with the chunk id so that text stops here
     features = extract_features(
@@ -357,9 +353,6 @@ def canary_recall(canary: DataFrame, model: LogisticModel) -> DataFrame:
     return canary.agg(F.coalesce(hit, F.lit(1.0)).alias("canary_recall"))
 
 
-def to_row(model: LogisticModel) -> dict:
-    return asdict(model)
-
 
 def parameters(spark: SparkSession, model: LogisticModel) -> DataFrame:
     """Model parameters as rows ``name, mean, std, coef`` (fourteen rows)."""

@@ -25,7 +25,7 @@ from gleaner.operators import (
 )
 from gleaner.operators.scoring import LogisticModel, Scaler
 from gleaner.plans.ordering import order_bounds, order_micros, slice_of
-from gleaner.plans.sizing import materialise
+from gleaner.plans.sizing import broadcast_if, fits_broadcast, materialise
 from gleaner.sources.corpus import corpus_violations
 from gleaner.workload import views as V
 
@@ -926,7 +926,7 @@ def replayed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = log.withColumn("query_id", F.pmod("k", F.lit(n))).withColumn("rank", F.pmod("event_id", F.lit(12)).cast("int"))
     x = F.array(*scoring.model_columns(STATED_MODEL.scaler))
     known = pairs.select("query_id", "rank", x.alias("x"))
-    return log.join(F.broadcast(known), ["query_id", "rank"], "left")
+    return log.join(broadcast_if(fits_broadcast(known), known), ["query_id", "rank"], "left")
 
 
 @query
@@ -962,12 +962,20 @@ def replay_calibrated(spark, sf_dir):
         F.col("before.min_context").alias("min_context"), F.col("before.token_budget").alias("token_budget"),
     )
     runs = asked.select("session_id", "event_id", "query_id", F.inline(F.array(static, moving)))
-    sets = runs.join(F.broadcast(scored(spark, sf_dir)), "query_id").withColumn("preset_name", F.col("policy"))
-    keys = ["session_id", "event_id", "policy"]
-    decided = rules.apply_rules(sets, keys)
-    return decided.groupBy(*keys).agg(
+    # Calibration moves on a grid, so many trials share query and policy: decide
+    # once per combination and hand the figures to its trials.
+    combination = ["query_id", "threshold", "min_context", "token_budget"]
+    pairs = scored(spark, sf_dir)
+    sets = runs.select(*combination).distinct().join(
+        broadcast_if(fits_broadcast(pairs, "chunk_id"), pairs), "query_id"
+    )
+    decided = rules.apply_rules(sets, combination)
+    figures = decided.groupBy(*combination).agg(
         F.count(F.when(F.col("kept"), 1)).alias("kept_chunks"),
-        F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))), F.lit(0)).alias("retained_tokens"),
-    ).select(*keys, "kept_chunks", _long("retained_tokens").alias("retained_tokens"))
+        _long(F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))), F.lit(0))).alias("retained_tokens"),
+    )
+    return runs.join(figures, combination).select(
+        "session_id", "event_id", "policy", "kept_chunks", "retained_tokens"
+    )
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from gleaner.config import MARKER_CLOSE, MARKER_OPEN
 from gleaner.functions.sections import infer_source_type, sections, wrap_as_marked
 from gleaner.functions.text import split_sentences
-from gleaner.plans.sizing import spread
+from gleaner.plans.sizing import broadcast_if, fits_broadcast, spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -67,7 +67,8 @@ def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = document_chunks(spark, sf_dir).select(
         "doc_id", "chunk_id", F.explode_outer(split_sentences(F.col("text"))).alias("sentence")
     )
-    return held.join(asked, "sentence").select("query_id", "chunk_id", "doc_id").distinct()
+    small = fits_broadcast(asked, "sentence")
+    return held.join(broadcast_if(small, asked), "sentence").select("query_id", "chunk_id", "doc_id").distinct()
 
 
 def markdown_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
