@@ -838,6 +838,10 @@ ORACLES["canary_pairs"] = f"WITH {EXAMPLES}, {EX_SCORED}, {_canary} SELECT query
 ORACLES["canary_recall"] = (
     f"WITH {EXAMPLES}, {EX_SCORED}, {_canary} SELECT round(coalesce(avg((score >= 0.5::DOUBLE)::INT), 1.0), 6) AS canary_recall FROM cy"
 )
+ORACLES["coefficient_distance"] = """
+SELECT vec_id, round(list_distance(embedding::DOUBLE[], b::DOUBLE[]), 6) AS distance FROM embeddings
+JOIN (SELECT label, arg_min(embedding, vec_id) AS b FROM embeddings GROUP BY label) USING (label)
+"""
 ORACLES["replay_calibrated"] = f"""
 WITH RECURSIVE {FEATURED}, {SCORED}, {FEED}, {DECIDED}, {WALK}, nq AS (SELECT count(*) AS nn FROM benchmark),
 rp AS (SELECT session_id, event_id, k % nn AS query_id, 'static' AS policy, 0.5::DOUBLE AS threshold, 2 AS min_context, 2000 AS token_budget

@@ -638,6 +638,7 @@ def trial_recall(spark, sf_dir):
     )
 
 
+# The price list.
 PRICES = [
     # provider, model, input and output price per million tokens, list version
     ("groq", "openai/gpt-oss-20b", 0.075, 0.30, "2026-08-22"),
@@ -917,6 +918,19 @@ def canary_recall(spark, sf_dir):
     )
 
 
+@query
+def coefficient_distance(spark, sf_dir):
+    """Distance of parameter vectors from their base: the rows of ``embeddings``
+    against the first vector of their label."""
+    vectors = V.table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", F.col("embedding").cast("array<double>").alias("v")
+    )
+    base = vectors.groupBy("label").agg(F.min_by("v", "vec_id").alias("b"))
+    return vectors.join(base, "label").select(
+        "vec_id", _r(scoring.coef_vector_distance(F.col("v"), F.col("b"))).alias("distance")
+    )
+
+
 def replayed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Label events tied to ranked pairs: the k-th event number names the query
     (in id order) and the event id the rank it is about."""
