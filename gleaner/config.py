@@ -62,7 +62,7 @@ SPLIT_RATIOS = (0.6, 0.2, 0.2)
 MARKER_OPEN = "<gleaner:context>"
 MARKER_CLOSE = "</gleaner:context>"
 
-# Phrases that a report may not contain, in the order they are looked for.
+# Phrases that a report may not contain, in the order they are looked for.
 BANNED_PHRASES = (
     "slashes cost by",
     "guarantees",
@@ -74,7 +74,7 @@ BANNED_PHRASES = (
     "no downside",
 )
 
-# Prompt wording.
+# Prompt wording.
 SYSTEM_INSTRUCTION = (
     "You are a helpful assistant answering questions using only the "
     "provided context. If the context does not contain the answer, say "
@@ -82,7 +82,7 @@ SYSTEM_INSTRUCTION = (
 )
 EMPTY_CONTEXT = "(no context retrieved)"
 
-# The fixed English stop-word list (318 words, alphabetical).
+# The English stop-word list (318 words, alphabetical).
 STOP_WORDS = tuple(
     """
 a about above across after afterwards again against all almost alone along
