@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Arrow batches: rows per batch, so that a batch of very long texts stays in memory.
 BATCH_ROWS = 1000
 
-# A membership table has at most this many rows of 64 bits, whatever was put into it.
+# A membership table has at most so many rows of 64 bits, whatever was put into it.
 MEMBER_WORDS = 1 << 16
 
 # ASCII white space, the separator of words in all word-based operators.
@@ -40,16 +40,16 @@ def learnable(doc_id: Column, modulus: int) -> Column:
     return doc_id.isNotNull() & ~held_out(doc_id, modulus)
 
 
-def _slot(columns: list[Column]) -> tuple[Column, Column]:
-    place = F.pmod(F.xxhash64(*columns), F.lit(MEMBER_WORDS * 64))
+def _slot(columns: list[Column], words: int) -> tuple[Column, Column]:
+    place = F.pmod(F.xxhash64(*columns), F.lit(words * 64))
     word = F.floor(place / 64).cast("int")
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (place % 64).cast("int"))
     return word, bit
 
 
-def members(keys: DataFrame, *columns: str) -> DataFrame:
-    """A bit set of the keys' hashes: at most MEMBER_WORDS rows, so it may be broadcast."""
-    word, bit = _slot([F.col(c) for c in columns])
+def members(keys: DataFrame, *columns: str, words: int = MEMBER_WORDS) -> DataFrame:
+    """A bit set of the keys' hashes: at most ``words`` rows, so it may be broadcast."""
+    word, bit = _slot([F.col(c) for c in columns], words)
     return (
         keys.select(word.alias("_word"), bit.alias("_bit"))
         .groupBy("_word")
@@ -65,9 +65,9 @@ def fresh(df: DataFrame, name: str) -> str:
     return name
 
 
-def flag_members(df: DataFrame, bits: DataFrame, flag: str, *columns: str) -> DataFrame:
+def flag_members(df: DataFrame, bits: DataFrame, flag: str, *columns: str, words: int = MEMBER_WORDS) -> DataFrame:
     """Add ``flag``: false only if the key is surely not among the members."""
-    word, bit = _slot([F.col(c) for c in columns])
+    word, bit = _slot([F.col(c) for c in columns], words)
     at, held = fresh(df, "_at"), fresh(df, "_held")
     bits = bits.select(F.col("_word").alias(at), F.col("_mask").alias(held))
     found = F.coalesce(F.col(held).bitwiseAND(bit) != 0, F.lit(False))

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup, language_id, packing, simhash
+from gleaner.llm import exact_dedup, language_id, packing, simhash, substring_dedup
 from gleaner.llm.common import documents, held_out, learnable
 
 
@@ -42,11 +42,18 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).select(
+        "doc_id", "cleaned.text", "cleaned.removed", "cleaned.spans"
+    )
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op7_substring_dedup": op7_substring_dedup,
 }
 
 LLM_ORACLES: dict[str, str] = {
