@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import exact_dedup, language_id, packing, simhash, substring_dedup
+from gleaner.llm import byte_bpe, exact_dedup, language_id, packing, simhash, substring_dedup, token_counts
 from gleaner.llm.common import documents, held_out, learnable
 
 
@@ -42,6 +42,22 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.token_counts(documents(spark, sf_dir), _vocabulary("word_bpe_49k.json"))
+    return counted.select("doc_id", "counts.n_bytes", "counts.n_tokens", "counts.over_limit")
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _vocabulary("byte_bpe_multi_50k.tiktoken")
+    encoded = byte_bpe.encode(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+    return encoded.select(
+        "doc_id",
+        "encoded.n_tokens",
+        F.sha2("encoded.ids", 256).alias("ids_sha256"),
+        F.sha2("encoded.decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir)).select(
         "doc_id", "cleaned.text", "cleaned.removed", "cleaned.spans"
@@ -53,6 +69,8 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_simhash": op3_simhash,
     "op4_language_id": op4_language_id,
+    "op5_token_counts": op5_token_counts,
+    "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
 }
 
