@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, exact_dedup, language_id, packing, simhash, substring_dedup, token_counts
+from gleaner.llm import byte_bpe, exact_dedup, language_id, packing, rp_forest, simhash, substring_dedup, token_counts
 from gleaner.llm.common import documents, held_out, learnable
 
 
@@ -64,6 +64,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return rp_forest.search(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_packing": op2_packing,
@@ -72,6 +77,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op10_rp_forest": op10_rp_forest,
 }
 
 LLM_ORACLES: dict[str, str] = {
