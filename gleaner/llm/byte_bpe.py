@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from gleaner.llm.common import bounded_batches, fresh, worker_cache
+from gleaner.llm.common import bounded_batches, frequency_floor, fresh, worker_cache
 from gleaner.llm.pieces import spaced_out
 from gleaner.plans.sizing import materialise
 
@@ -155,22 +155,11 @@ def cut_pieces(text: str) -> list[str]:
 
 
 def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted word hashes, bounds and ids of at most ``frequent`` words, most frequent first.
-
-    The least count is taken from the histogram of counts, so no task sorts the words.
-    """
+    """Sorted word hashes, bounds and ids of at most ``frequent`` words, the most frequent ones."""
     from xxhash import xxh64_intdigest
 
     words = materialise(words)
-    steps = words.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).limit(frequent).collect()
-    total, least = 0, None
-    for row in steps:
-        total += row["words"]
-        if total > frequent:
-            break
-        least = row["n"]
-    if least is None:
-        return np.zeros(0, np.uint64), np.zeros(1, np.int64), np.zeros(0, np.uint32)
+    least = frequency_floor(words, frequent)
     found = words.filter(F.col("n") >= least).select("word", merged_ranks(F.col("word"), table).alias("ids")).toArrow()
     ids = found["ids"].combine_chunks()
     hashes = np.array([xxh64_intdigest(w) for w in found["word"].to_pylist()], np.uint64)

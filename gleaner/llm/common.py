@@ -74,6 +74,21 @@ def flag_members(df: DataFrame, bits: DataFrame, flag: str, *columns: str, words
     return df.withColumn(at, word).join(F.broadcast(bits), at, "left").withColumn(flag, found).drop(at, held)
 
 
+def frequency_floor(counts: DataFrame, limit: int) -> int:
+    """The smallest count such that at most ``limit`` rows of (.., n) have at least it.
+
+    It comes from the histogram of counts, so no task sorts the rows.
+    """
+    steps = counts.groupBy("n").agg(F.count("*").alias("rows")).orderBy(F.desc("n")).limit(limit + 1).collect()
+    total, least = 0, 2**62
+    for row in steps:
+        total += row["rows"]
+        if total > limit:
+            break
+        least = row["n"]
+    return least
+
+
 def worker_cache(name: str) -> dict:
     """A dict that lives as long as the Python worker, over all of its tasks."""
     module = sys.modules.setdefault("_gleaner_worker", types.ModuleType("_gleaner_worker"))

@@ -36,6 +36,8 @@ DEVIATIONS, FACTOR = 6.0, 1.5
 SHARPNESS = 8.0
 UNKNOWN = "und"
 CACHE_PIECES = 400_000
+# New words that are scored at once.
+CHUNK_WORDS = 1 << 14
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
@@ -140,18 +142,20 @@ def fit(counts: dict[str, dict[str, int]]) -> Model:
 def _entropies(model: Model, key: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Per text: nats per character in each language, and the characters predicted."""
     store = worker_cache(f"language {key}")
-    if not store or len(store["at"]) > CACHE_PIECES:
-        store.update(at={}, table=np.zeros((1 << 16, len(model.languages) + 1), np.float32))
-    at, table = store["at"], store["table"]
     sums = np.zeros((len(texts), len(model.languages) + 1))
     parts = [(t or "").split() for t in texts]
-    fresh = list(set().union(*parts).difference(at))
+    met = set().union(*parts)
+    if not store or len(store["at"]) + len(met) > CACHE_PIECES:
+        store.update(at={}, table=np.zeros((1 << 16, len(model.languages) + 1), np.float32))
+    at, table = store["at"], store["table"]
+    fresh = list(met.difference(at))
     runs = [letter_runs(piece) for piece in fresh]
     words = list(dict.fromkeys(w for r in runs for w in r))
     score = {}
-    if words:
-        logs, sizes = model.log_probabilities(words)
-        score = dict(zip(words, np.column_stack([logs, sizes]).astype(np.float32), strict=True))
+    for i in range(0, len(words), CHUNK_WORDS):
+        some = words[i : i + CHUNK_WORDS]
+        logs, sizes = model.log_probabilities(some)
+        score.update(zip(some, np.column_stack([logs, sizes]).astype(np.float32), strict=True))
     while len(at) + len(fresh) > len(table):
         table = store["table"] = np.concatenate([table, np.zeros_like(table)])
     for piece, own in zip(fresh, runs, strict=True):

@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import byte_bpe, exact_dedup, language_id, packing, rp_forest, simhash, substring_dedup, token_counts
+from gleaner.llm import brown_lm, byte_bpe, exact_dedup, language_id, packing, rp_forest, simhash, substring_dedup, token_counts
 from gleaner.llm.common import documents, held_out, learnable
 
 
@@ -64,6 +64,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model, counts = brown_lm.train(docs.filter(learnable(F.col("doc_id"), 7)))
+    scored = brown_lm.score(docs, model, counts)
+    return scored.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), *scored.columns[1:])
+
+
 def op10_rp_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return rp_forest.search(vectors, vectors.filter("vec_id % 50 = 0"))
@@ -77,6 +84,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op9_brown_lm": op9_brown_lm,
     "op10_rp_forest": op10_rp_forest,
 }
 
