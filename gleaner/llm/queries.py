@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm import brown_lm, byte_bpe, exact_dedup, language_id, packing, rp_forest, simhash, substring_dedup, token_counts
+from gleaner.llm import brown_lm, byte_bpe, exact_dedup, language_id, license_scan, packing, rp_forest, simhash, substring_dedup, token_counts
 from gleaner.llm.common import documents, held_out, learnable
 
 
@@ -64,6 +64,11 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return license_scan.scan(docs, license_scan.train(docs))
+
+
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model, counts = brown_lm.train(docs.filter(learnable(F.col("doc_id"), 7)))
@@ -84,6 +89,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_token_counts": op5_token_counts,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_substring_dedup": op7_substring_dedup,
+    "op8_license_scan": op8_license_scan,
     "op9_brown_lm": op9_brown_lm,
     "op10_rp_forest": op10_rp_forest,
 }
