@@ -171,7 +171,7 @@ def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> t
     return hashes[order], bounds, ids.values.to_numpy()[take].astype("<u4")
 
 
-def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "encoded") -> DataFrame:
+def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "encoded", frequent: int = FREQUENT) -> DataFrame:
     """``docs`` with a struct ``out_col``: ids and decoded bytes (binary), n_tokens.
 
     ``ranks`` is the text of a rank file.  Frequent words of the corpus are folded once
@@ -187,7 +187,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     bounded_batches(spark)
     rank = parse_ranks(ranks)
     table = rank_literal(rank)
-    shipped = spark.sparkContext.broadcast(frequent_ids(corpus_words(docs, pattern, text_col), table))
+    shipped = spark.sparkContext.broadcast(frequent_ids(corpus_words(docs, pattern, text_col), table, frequent))
     vocabulary = spark.sparkContext.broadcast(rank)
     key = f"{zlib.crc32(ranks.encode())} {uuid.uuid4().hex}"
 
