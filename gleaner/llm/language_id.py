@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -213,19 +214,21 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
         .select("lang", "text", (F.pmod(F.xxhash64("id", F.lit(5)), F.lit(CALIBRATION)) == 0).alias("held"))
     )
 
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: Counter[tuple[str, str]] = Counter()
-        for frame in frames:
-            for lang, text in zip(frame["lang"], frame["text"], strict=True):
+        for batch in batches:
+            for lang, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for piece, n in Counter(text.split()).items():
                     for run in letter_runs(piece):
                         words[lang, run] += n
-        yield pd.DataFrame({"lang": [k[0] for k in words], "word": [k[1] for k in words], "n": list(words.values())})
+        langs, runs = ([k[i] for k in words] for i in (0, 1))
+        columns = [pa.array(langs, pa.string()), pa.array(runs, pa.string()), pa.array(list(words.values()), pa.int64())]
+        yield pa.RecordBatch.from_arrays(columns, names=["lang", "word", "n"])
 
     counted = (
         drawn.filter("not held")
         .select("lang", "text")
-        .mapInPandas(count, "lang string, word string, n long")
+        .mapInArrow(count, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
         .toPandas()

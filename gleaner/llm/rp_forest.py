@@ -171,7 +171,7 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         """The best of the opened leaves of one tree and part, for each query."""
         columns = ["key", "ids", "score"]
         if not len(queries) or not len(found):
-            return pd.DataFrame({c: [] for c in columns})
+            return pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in zip(columns, (int, object, float), strict=True)})
         q, v = _stack(queries["blob"], width), _stack(found["blob"], width)
         q_size, v_size = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
         order = np.argsort(found["leaf"].to_numpy(), kind="stable")
