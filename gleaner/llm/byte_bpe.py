@@ -5,10 +5,11 @@ from __future__ import annotations
 import base64
 import heapq
 import json
+import re
 import uuid
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -29,7 +30,10 @@ FREQUENT = 1 << 20
 LONG = 256
 # Distinct pieces that a task counts, and that a worker remembers.
 COUNTED = 1 << 19
-CACHE_PIECES = 300_000
+CACHE_PIECES = 500_000
+# Letters, and letters with one mark: one match and two, in patterns that keep words whole.
+_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
+_MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]")
 
 
 def parse_ranks(text: str) -> dict[bytes, int]:
@@ -103,18 +107,39 @@ def _fold(text: Column, table: Column) -> Column:
     return F.when(size == 0, none).otherwise(whole)
 
 
-def _pretokens(pattern: str):
+def _matches(pattern: str) -> Callable[[str, bool], list[str]]:
+    """The pattern's matches in a piece, with or without the space before it."""
     import regex
 
-    return regex.compile(pattern).findall
+    found = regex.compile(pattern).findall
+    plain = pattern == public_pattern()
 
+    def matches(piece: str, spaced: bool) -> list[str]:
+        text = " " + piece if spaced else piece
+        if plain and _LETTERS.fullmatch(piece):
+            return [text]
+        if plain and _MARKED.fullmatch(piece):
+            return [text[:-1], text[-1]]
+        return found(text)
 
-def _expand(found: Counter[str], matches) -> Counter[str]:
-    words: Counter[str] = Counter()
-    for piece, n in found.items():
-        for word in matches(piece):
-            words[word] += n
-    return words
+    return matches
+
+
+def public_pattern() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
+def cut_pieces(text: str) -> tuple[str, list[str]]:
+    """The head of a text and its other pieces without the space before each.
+
+    Their matches together are those of the text.
+    """
+    if spaced_out(text):
+        return text, []
+    head, *rest = text.split(" ")
+    return head, rest
 
 
 def corpus_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
@@ -125,11 +150,16 @@ def corpus_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataF
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = _pretokens(pattern)
+        matches = _matches(pattern)
         seen: Counter[str] = Counter()
+        heads: Counter[str] = Counter()
 
         def rows() -> pa.RecordBatch:
-            words = _expand(seen, matches)
+            words: Counter[str] = Counter()
+            for pieces, spaced in ((seen, True), (heads, False)):
+                for piece, n in pieces.items():
+                    for word in matches(piece, spaced):
+                        words[word] += n
             return pa.RecordBatch.from_arrays(
                 [pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())],
                 names=["word", "n"],
@@ -137,25 +167,20 @@ def corpus_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataF
 
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                seen.update(cut_pieces(text or ""))
-            if len(seen) > COUNTED:
+                head, rest = cut_pieces(text or "")
+                heads[head] += 1
+                seen.update(rest)
+            if len(seen) + len(heads) > COUNTED:
                 yield rows()
                 seen.clear()
+                heads.clear()
         yield rows()
 
     return docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def cut_pieces(text: str) -> list[str]:
-    """Pieces whose matches together are those of the text."""
-    if spaced_out(text):
-        return [text]
-    first, *rest = text.split(" ")
-    return [first, *[" " + piece for piece in rest]]
-
-
-def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted word hashes, bounds and ids of at most ``frequent`` words, the most frequent ones."""
+def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, bytes]:
+    """Sorted word hashes, and bounds and bytes of the packed ids, of at most ``frequent`` words, the most frequent ones."""
     from xxhash import xxh64_intdigest
 
     words = materialise(words)
@@ -168,7 +193,7 @@ def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> t
     bounds = np.concatenate([[0], np.cumsum(sizes[order])])
     starts = ids.offsets.to_numpy()[:-1][order]
     take = np.repeat(starts - bounds[:-1], sizes[order]) + np.arange(bounds[-1])
-    return hashes[order], bounds, ids.values.to_numpy()[take].astype("<u4")
+    return hashes[order], 4 * bounds, ids.values.to_numpy()[take].astype("<u4").tobytes()
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "encoded", frequent: int = FREQUENT) -> DataFrame:
@@ -191,71 +216,89 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     vocabulary = spark.sparkContext.broadcast(rank)
     key = f"{zlib.crc32(ranks.encode())} {uuid.uuid4().hex}"
 
-    def lookup(words: list[str], long: dict[bytes, int]) -> list[bytes | None]:
+    def lookup(words: list[str]) -> list[bytes | None]:
         """Packed ids of each word, None if it is not in the table."""
-        hashes, bounds, ids = shipped.value
+        hashes, bounds, packed = shipped.value
         raw = [w.encode() for w in words]
-        hashed = np.array([xxh64_intdigest(w) for w in raw], np.uint64)
-        if not len(hashes) or not len(raw):
-            hit, at = np.zeros(len(raw), bool), np.zeros(len(raw), np.int64)
-        else:
+        hit, at = np.zeros(len(raw), bool), np.zeros(len(raw), np.int64)
+        if len(hashes) and raw:
+            hashed = np.array([xxh64_intdigest(w) for w in raw], np.uint64)
             at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
             hit = hashes[at] == hashed
-        blob = memoryview(ids.tobytes())
-        a, b = bounds[at] * 4 if len(hashes) else at, bounds[at + 1] * 4 if len(hashes) else at
-        out = [bytes(blob[i:j]) if h else None for h, i, j in zip(hit, a.tolist(), b.tolist(), strict=True)]
+        out = [packed[i:j] if h else None for h, i, j in zip(hit, bounds[at], bounds[at + hit], strict=True)]
         return [
-            np.array(merge_long(w, long), "<u4").tobytes() if o is None and len(w) > LONG else o
+            np.array(merge_long(w, vocabulary.value), "<u4").tobytes() if o is None and len(w) > LONG else o
             for w, o in zip(raw, out, strict=True)
         ]
 
-    def resolve(cut: list[list[str]], store: dict, matches) -> dict[str, tuple[bytes | None, tuple[str, ...]]]:
-        """piece -> (its ids, or None) and its matches that are not in the table."""
-        cache = store.setdefault("pieces", {})
-        met = set().union(*cut)
-        if len(cache) + len(met) > CACHE_PIECES:
+    def resolve(texts: list[str | None], store: dict, matches):
+        """The cut texts, ids of their heads and pieces, and those that are not in the table.
+
+        The latter have, instead of ids, a list of ids and of the matches that are missing.
+        """
+        cut = [cut_pieces(t or "") for t in texts]
+        heads = list({head for head, _ in cut})
+        met = set().union(*(rest for _, rest in cut))
+        cache, mixed = store.setdefault("pieces", {}), store.setdefault("mixed", set())
+        if len(cache) + len(met.difference(cache)) > CACHE_PIECES:
             cache.clear()
+            mixed.clear()
         new = list(met.difference(cache))
-        parts = [matches(piece) for piece in new]
-        words = list(dict.fromkeys(w for own in parts for w in own))
-        ids = dict(zip(words, lookup(words, vocabulary.value), strict=True))
-        for piece, own in zip(new, parts, strict=True):
-            missing = tuple(w for w in own if ids[w] is None)
-            cache[piece] = (None if missing else b"".join([ids[w] for w in own]), missing)
-        return cache
+        parts = [matches(piece, True) for piece in new] + [matches(head, False) for head in heads]
+        words = list({w for own in parts for w in own})
+        ids = {w: w if x is None else x for w, x in zip(words, lookup(words), strict=True)}
+        found = []
+        for own in parts:
+            x = [ids[w] for w in own]
+            found.append(x if str in map(type, x) else b"".join(x))
+        cache.update(zip(new, found, strict=False))
+        mixed.update(piece for piece, x in zip(new, found, strict=False) if type(x) is list)
+        return cut, dict(zip(heads, found[len(new) :], strict=True)), cache, mixed
 
     def rare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matches, store = _pretokens(pattern), worker_cache(f"rare {key}")
+        matches, store = _matches(pattern), worker_cache(f"rare {key}")
         for texts in batches:
-            cut = [cut_pieces(t or "") for t in texts]
-            cache = resolve(cut, store, matches)
-            yield pd.Series(
-                [[w.encode() for w in dict.fromkeys(w for piece in set(own) for w in cache[piece][1])] for own in cut]
-            )
+            cut, heads, cache, mixed = resolve(texts.tolist(), store, matches)
+            out = []
+            for head, rest in cut:
+                own = [cache[piece] for piece in mixed.intersection(rest)]
+                own += [heads[head]] if type(heads[head]) is list else []
+                out.append([w.encode() for w in {y for x in own for y in x if type(y) is str}])
+            yield pd.Series(out)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Replaces the last two columns, rare words and their ids, by the result."""
-        matches, store = _pretokens(pattern), worker_cache(f"ids {key}")
-        pieces = {n: token for token, n in vocabulary.value.items()}
+        matches, store = _matches(pattern), worker_cache(f"ids {key}")
         for batch in batches:
-            cut = [cut_pieces(t or "") for t in batch.column(place).to_pylist()]
-            cache = resolve(cut, store, matches)
-            ids, decoded = [], []
-            for own, words, folded in zip(cut, *(c.to_pylist() for c in batch.columns[-2:]), strict=True):
+            cut, heads, cache, _ = resolve(batch.column(place).to_pylist(), store, matches)
+            ids = []
+            for (head, rest), words, folded in zip(cut, *(c.to_pylist() for c in batch.columns[-2:]), strict=True):
+                own = [heads[head], *map(cache.__getitem__, rest)]
                 if words:
-                    rare_ids = {w.decode(): np.array(x, "<u4").tobytes() for w, x in zip(words, folded, strict=True)}
-                    done = {p: _with_rare(cache[p], p, rare_ids, matches, lookup, vocabulary.value) for p in set(own)}
-                    packed = b"".join(map(done.__getitem__, own))
-                else:
-                    packed = b"".join([cache[piece][0] for piece in own])
-                ids.append(packed)
-                decoded.append(b"".join(map(pieces.__getitem__, np.frombuffer(packed, "<u4").tolist())))
+                    known = {w.decode(): np.array(x, "<u4").tobytes() for w, x in zip(words, folded, strict=True)}
+                    own = [x if type(x) is bytes else b"".join([known.get(y, y) for y in x]) for x in own]
+                ids.append(b"".join(own))
+            decoded = [decode(np.frombuffer(x, "<u4")) for x in ids]
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             result = pa.StructArray.from_arrays(
                 [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()), sizes], names=["ids", "decoded", "n_tokens"]
             )
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*names, out_col])
 
+    largest = max(rank.values(), default=0)
+    tokens = [b""] * (largest + 1)
+    for token, n in rank.items():
+        tokens[n] = token
+    token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
+    token_ends = np.cumsum([len(t) for t in tokens])
+
+    def decode(ids: np.ndarray) -> bytes:
+        """The pieces of the ids, concatenated."""
+        ends = token_ends[ids]
+        sizes = ends - np.where(ids > 0, token_ends[ids.astype(np.int64) - 1], 0)
+        at = np.cumsum(sizes)
+        return token_bytes[np.repeat(ends - at, sizes) + np.arange(at[-1] if len(at) else 0)].tobytes()
+
     words, folds = fresh(docs, "_words"), fresh(docs, "_folds")
     names, place = docs.columns, docs.columns.index(text_col)
     kind = StructType.fromDDL("ids binary, decoded binary, n_tokens long")
@@ -266,16 +309,6 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     )
 
 
-def _with_rare(known, piece: str, rare: dict[str, bytes], matches, lookup, vocabulary) -> bytes:
-    ids, missing = known
-    if not missing:
-        return ids
-    words = matches(piece)
-    found = lookup([w for w in words if w not in rare], vocabulary)
-    rest = iter(found)
-    return b"".join([rare[w] if w in rare else next(rest) for w in words])
-
-
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     """The same merges for one long word, with a heap of pairs."""
     n = len(word)
