@@ -92,7 +92,7 @@ def term_counts(terms: Column) -> Column:
 
     empty = F.expr("cast(array() as array<struct<term:string,tf:int>>)")
     return bind(
-        F.array_sort(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty)
+        F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty)
     )
 
 

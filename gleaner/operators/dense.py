@@ -63,9 +63,13 @@ def cosine_top_k(
         q_unit = _unit(_matrix(local["vector"])) if n else np.zeros((0, 1))
 
         def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            # The best so far is carried from batch to batch and leaves the task once.
+            held: pd.DataFrame | None = None
             for frame in batches:
                 if len(frame) and len(q_ids):
-                    yield _block_best(q_ids, q_unit, frame, k)
+                    held = _merge_best(held, _block_best(q_ids, q_unit, frame, k), k)
+            if held is not None:
+                yield held
 
         best = vectors.select("chunk_id", "vector").mapInPandas(partial, schema)
         return top_k(best, k)
@@ -86,6 +90,13 @@ def cosine_top_k(
     return top_k(best, k)
 
 
+def _merge_best(held: pd.DataFrame | None, new: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best rows of each query in both frames, by (rounded score desc, id asc)."""
+    both = new if held is None else pd.concat([held, new], ignore_index=True)
+    both = both.assign(_s=-np.round(both["score"], SCORE_DIGITS)).sort_values(["query_id", "_s", "chunk_id"], kind="stable")
+    return both.groupby("query_id", sort=False).head(k).drop(columns="_s")
+
+
 def _block_best(q_ids: np.ndarray, q_unit: np.ndarray, frame: pd.DataFrame, k: int) -> pd.DataFrame:
     ids = frame["chunk_id"].to_numpy()
     scores = q_unit @ _unit(_matrix(frame["vector"])).T

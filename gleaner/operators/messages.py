@@ -263,7 +263,9 @@ def prune_chat(
             "text",
             F.when(F.col("role") == "tool", wrap_as_marked(F.col("text"))).otherwise(F.col("text")),
         )
-    ready = rules.with_preset(everything.join(query, key), preset)
+    # A request may hold a system field only; its query is empty.
+    asked = everything.join(query, key, "left").withColumn("query_text", F.coalesce("query_text", F.lit("")))
+    ready = rules.with_preset(asked, preset)
     return prune_text(ready, [key, "turn"]).select(key, "turn", "role", "text", "tokens_pruned")
 
 
@@ -377,7 +379,8 @@ def prune_block_messages(
             )
         )
     keys = [key, "turn"]
-    leaves = _leaves(everything, keys, auto_mark_tool_results).join(query, key)
+    leaves = _leaves(everything, keys, auto_mark_tool_results).join(query, key, "left")
+    leaves = leaves.withColumn("query_text", F.coalesce("query_text", F.lit("")))
     pruned = prune_text(rules.with_preset(leaves, preset), [*keys, "part_no", "sub_no"])
     new = pruned.groupBy(*keys).agg(
         F.collect_list(F.struct("part_no", "sub_no", "text")).alias("_new"),

@@ -21,7 +21,9 @@ def presets(spark: SparkSession) -> DataFrame:
 
 
 def with_preset(df: DataFrame, preset: str = DEFAULT_PRESET) -> DataFrame:
-    return with_policy(df, *PRESETS[preset], preset_name=preset)
+    """Attach a preset by name; an unknown name means the default preset."""
+    name = preset if preset in PRESETS else DEFAULT_PRESET
+    return with_policy(df, *PRESETS[name], preset_name=name)
 
 
 def with_policy(

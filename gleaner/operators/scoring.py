@@ -173,8 +173,9 @@ def threshold_table(
 
     Scores are counted by the number of thresholds they clear (at most nineteen
     groups per key, combined on the map side); the rest is suffix sums over those
-    few rows."""
-    cleared = scored.groupBy(*keys, slice_of(F.col(score), THRESHOLDS).alias("_b")).agg(
+    few rows.  A null score clears none."""
+    clears = F.coalesce(F.when(F.col(score).isNotNull(), slice_of(F.col(score), THRESHOLDS)), F.lit(0))
+    cleared = scored.groupBy(*keys, clears.alias("_b")).agg(
         F.count(F.when(F.col(label) == 1, 1)).alias("pos"),
         F.count(F.when(F.col(label) == 0, 1)).alias("neg"),
     )

@@ -15,19 +15,26 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DEFAULT_SLICES = 64
+# Longer inputs are cut finer: a slice for so many rows, up to MAX_SLICES.
+SLICE_ROWS = 100_000
+MAX_SLICES = 4096
 
 
 def order_bounds(df: DataFrame, order: str, slices: int = DEFAULT_SLICES) -> list:
-    """At most ``slices - 1`` ascending cut points, about evenly filled.
+    """Ascending cut points, about evenly filled; more than ``slices`` parts only for
+    inputs of more than ``slices * SLICE_ROWS`` rows.
 
     Runs one aggregate job.  The bounds are literals afterwards, so every branch
     of a plan (and every recomputation after a lost executor) slices alike.
     """
     if slices <= 1:
         return []
-    shares = F.array(*[F.lit(i / slices) for i in range(1, slices)])
-    row = df.agg(F.percentile_approx(F.col(order), shares, 10_000).alias("b")).first()
-    return sorted(set(row["b"] or []))
+    finest = max(slices, MAX_SLICES)
+    shares = F.array(*[F.lit(i / finest) for i in range(1, finest)])
+    row = df.agg(F.percentile_approx(F.col(order), shares, 10_000).alias("b"), F.count("*").alias("n")).first()
+    parts = min(finest, max(slices, row["n"] // SLICE_ROWS))
+    fine = row["b"] or []
+    return sorted({fine[finest * i // parts - 1] for i in range(1, parts)}) if fine else []
 
 
 def slice_of(order: Column, bounds: Sequence) -> Column:

@@ -36,10 +36,10 @@ def list_names(spark: SparkSession, path: str, directories: bool = True) -> list
 
 def load_documents(spark: SparkSession, folder: str, multi_line: bool = True) -> DataFrame:
     """One JSON object per file (or per line with ``multi_line=False``); of files
-    with the same doc_id the last path wins."""
+    with the same doc_id the last path wins.  A malformed object raises when read."""
     raw = (
         spark.read.schema(schemas.DOCUMENT)
-        .json(folder, multiLine=multi_line)
+        .json(folder, multiLine=multi_line, mode="FAILFAST")
         .withColumn("_path", F.col("_metadata.file_path"))
     )
     last = raw.groupBy("doc_id").agg(F.max("_path").alias("_path"))
@@ -57,17 +57,20 @@ def load_all_chunks(spark: SparkSession, folder: str, multi_line: bool = True) -
 
 
 def load_label_rows(spark: SparkSession, path: str) -> DataFrame:
-    """Relevant label rows of a JSON-lines file, blank lines skipped."""
-    rows = spark.read.schema(schemas.LABEL).json(path)
+    """Relevant label rows of a JSON-lines file, blank lines skipped.
+
+    A malformed line raises when read."""
+    rows = spark.read.schema(schemas.LABEL).json(path, mode="FAILFAST")
     return rows.filter(F.col("question_id").isNotNull() & F.coalesce("relevant", F.lit(False)))
 
 
 def load_question_labels(spark: SparkSession, path: str) -> DataFrame:
     """question_id, question_text, relevant_chunk_ids, relevant_doc_ids.
 
-    The first text of a question wins; a question without a relevant row does not
-    appear."""
-    line = F.monotonically_increasing_id()  # file order, fixed by the scan
+    The first text of a question wins, by file and place in it; a question without a
+    relevant row does not appear."""
+    # Within a file the blocks and their rows are numbered in order.
+    line = F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
     return (
         load_label_rows(spark, path)
         .withColumn("_line", line)

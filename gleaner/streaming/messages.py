@@ -18,8 +18,10 @@ from gleaner.operators.messages import prune_chat
 
 
 def explode_requests(requests: DataFrame) -> DataFrame:
-    """``conv_id, messages array<struct<role, text>>`` to one row per message."""
-    return requests.select("conv_id", F.posexplode("messages").alias("turn", "_m")).select(
+    """``conv_id, messages array<struct<role, text>>`` to one row per message.
+
+    A request without messages keeps one row with a null turn."""
+    return requests.select("conv_id", F.posexplode_outer("messages").alias("turn", "_m")).select(
         "conv_id", F.col("turn").cast("long").alias("turn"), "_m.role", "_m.text"
     )
 

@@ -281,8 +281,11 @@ SELECT 'duplicate document' AS violation, md5(text) AS item FROM documents GROUP
 UNION ALL
 SELECT 'duplicate question', md5(text) FROM benchmark GROUP BY 2 HAVING count(*) > 1
 UNION ALL
-SELECT DISTINCT 'unknown document', doc_id::VARCHAR FROM labels
+SELECT DISTINCT 'unknown document', md5(doc_id::VARCHAR) FROM labels
 WHERE md5(doc_id::VARCHAR) NOT IN (SELECT md5(text) FROM documents)
+UNION ALL
+SELECT DISTINCT 'unknown question', md5(doc_id::VARCHAR) FROM labels
+WHERE md5(doc_id::VARCHAR) NOT IN (SELECT md5(text) FROM benchmark)
 """
 ORACLES["tfidf_vocabulary"] = (
     f"WITH {CHUNKS}, {tfidf()} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idf"
@@ -455,7 +458,7 @@ ORACLES["prompts"] = f"""{DECISIONS},
 ctx AS (SELECT query_id, string_agg('[Source: ' || title || ' - ' || dec.chunk_id || ']' || {NL} || c.text,
         {NL} || {NL} ORDER BY rank) AS block FROM dec JOIN chunks c USING (chunk_id) WHERE kept GROUP BY query_id)
 SELECT query_id, md5({_head} || coalesce(block, {lit(EMPTY_CONTEXT)}) || {_tail}) AS plain,
- md5({_head} || {OPEN} || {NL} || block || {NL} || {CLOSE} || {_tail}) AS marked FROM ctx JOIN q USING (query_id)
+ md5({_head} || {OPEN} || {NL} || coalesce(block, {lit(EMPTY_CONTEXT)}) || {NL} || {CLOSE} || {_tail}) AS marked FROM q LEFT JOIN ctx USING (query_id)
 """
 
 # --- splits and examples ----------------------------------------------------
@@ -703,7 +706,7 @@ CHATS = f"""
 ch AS (SELECT conv_id, turn, CASE WHEN role = 'assistant' THEN 'tool' ELSE role END AS role,
   CASE WHEN role = 'assistant' THEN replace(text, {NL}, {NL} || {NL}) ELSE text END AS text FROM conversations WHERE role <> 'system'),
 cq AS (SELECT conv_id, coalesce({strip("arg_max(text, turn) FILTER (WHERE role = 'user')")}, '') AS query_text FROM ch GROUP BY conv_id),
-allm AS (SELECT * FROM ch UNION ALL SELECT conv_id, -1, 'system', arg_min(replace(text, {NL}, {NL} || {NL}), turn)
+allm AS (SELECT * FROM ch UNION ALL SELECT conv_id, -1, 'system', string_agg(replace(text, {NL}, {NL} || {NL}), {NL} || {NL} ORDER BY turn)
   FROM conversations WHERE role = 'system' GROUP BY conv_id)"""
 
 
@@ -732,13 +735,13 @@ bs AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY round(sc
   CASE WHEN v IS NULL THEN position ELSE 0 END, position::VARCHAR) - 1 AS rank FROM bx)"""
 
 
-TOOL = "tm AS (SELECT conv_id, turn, role, text, query_text FROM {} JOIN cq USING (conv_id) WHERE role IN ({}))"
+TOOL = "tm AS (SELECT conv_id, turn, role, text, coalesce(query_text, '') AS query_text FROM {} LEFT JOIN cq USING (conv_id) WHERE role IN ({}))"
 ORACLES["chat_queries"] = f"WITH {CHATS} SELECT conv_id, query_text FROM cq"
 ORACLES["block_scores"] = (
     f"WITH {CHATS}, {TOOL.format('ch', lit('tool'))}, {blocks('tm')}"
     " SELECT conv_id, turn, position, rank, round(score, 6) AS score FROM bs"
 )
-# A system field may belong to a conversation without other turns; it then has no query.
+# A system field may belong to a conversation without other turns; its query is empty.
 _tool2 = TOOL.format("allm", "'tool', 'system'")
 PRUNED = f"""WITH RECURSIVE {CHATS}, {_tool2}, {blocks('tm')},
 sc AS (SELECT conv_id, turn, position, position AS chunk_id, 0 AS doc_id, rank, score, {count_tokens('text')} AS tokens, text AS body,
@@ -746,7 +749,7 @@ sc AS (SELECT conv_id, turn, position, position AS chunk_id, 0 AS doc_id, rank,
 mp AS (SELECT conv_id, turn, coalesce(string_agg(body, {NL} || {NL} ORDER BY position) FILTER (WHERE kept), '') AS text,
   coalesce(sum(tokens) FILTER (WHERE NOT kept), 0)::BIGINT AS tokens_pruned FROM dec GROUP BY conv_id, turn),
 pm AS (SELECT m.conv_id, m.turn, m.role, CASE WHEN m.role = 'user' THEN m.text ELSE coalesce(mp.text, '') END AS text,
-  coalesce(tokens_pruned, 0)::BIGINT AS tokens_pruned FROM allm m JOIN cq USING (conv_id)
+  coalesce(tokens_pruned, 0)::BIGINT AS tokens_pruned FROM allm m
   LEFT JOIN mp ON mp.conv_id = m.conv_id AND mp.turn = m.turn)"""
 ORACLES["chat_pruned"] = f"{PRUNED} SELECT conv_id, turn, role, md5(text) AS text_digest, tokens_pruned FROM pm"
 ORACLES["chat_pruned_totals"] = (

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import lru_cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -210,7 +209,7 @@ def corpus_checks(spark, sf_dir):
     docs = V.table(spark, sf_dir, "documents", "text", "lang").select(F.md5("text").alias("doc_id"), "lang")
     asked = V.table(spark, sf_dir, "benchmark").select(F.md5("text").alias("query_id"))
     pointers = V.table(spark, sf_dir, "labels").select(
-        F.col("doc_id").alias("query_id"), F.md5(F.col("doc_id").cast("string")).alias("doc_id")
+        F.md5(F.col("doc_id").cast("string")).alias("query_id"), F.md5(F.col("doc_id").cast("string")).alias("doc_id")
     )
     return corpus_violations(docs, asked, pointers)
 
@@ -272,21 +271,13 @@ def dense_top_k(spark, sf_dir):
 def latent_top_k(spark, sf_dir):
     """Latent-space retrieval over documents (no SQL form)."""
     docs = _documents(spark, sf_dir).select(F.col("doc_id").cast("string").alias("chunk_id"), "text")
-    ranked = dense.latent_retrieve(V.questions(spark, sf_dir), docs, components=20, iterations=2)
+    ranked = dense.latent_retrieve(V.questions(spark, sf_dir), docs)
     return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
 
 
-@lru_cache(maxsize=8)
-def _featured_for(app: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return materialise(
-        scoring.rank_with_features(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir))
-    )
-
-
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranked pairs with features, computed once per session and kept as a
-    reliable checkpoint (queries times k rows)."""
-    return _featured_for(spark.sparkContext.applicationId, spark, sf_dir)
+    """Ranked pairs with features, written once per query (queries times k rows)."""
+    return materialise(scoring.rank_with_features(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir)))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -405,7 +396,8 @@ def prompts(spark, sf_dir):
             F.collect_list(F.struct("rank", F.col("doc_title").alias("title"), "heading", "chunk_id", "text"))
         ).alias("context")
     )
-    ready = V.questions(spark, sf_dir).join(context, "query_id")
+    empty = F.array().cast(context.schema["context"].dataType)
+    ready = V.questions(spark, sf_dir).join(context, "query_id", "left").withColumn("context", F.coalesce("context", empty))
     return ready.select(
         "query_id",
         F.md5(P.build_prompt(F.col("query_text"), F.col("context"))).alias("plain"),
@@ -446,8 +438,7 @@ def split_invariants(spark, sf_dir):
     )
 
 
-@lru_cache(maxsize=8)
-def _examples_for(app: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = doc_splits(spark, sf_dir).select("doc_id", "split")
     proof = materialise(V.evidence(spark, sf_dir))
     asked = splits.assign_question_splits(proof, docs).filter(F.col("split").isNotNull())
@@ -456,10 +447,6 @@ def _examples_for(app: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialise(scoring.build_examples(questions, chunks, proof))
 
 
-def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _examples_for(spark.sparkContext.applicationId, spark, sf_dir)
-
-
 @query
 def training_examples(spark, sf_dir):
     return examples(spark, sf_dir).select(
@@ -546,13 +533,7 @@ def token_reduction(spark, sf_dir):
 @query
 def latency_percentiles(spark, sf_dir):
     events = V.table(spark, sf_dir, "events", "event_type", "value")
-    out = None
-    for pct in (0.5, 0.9, 0.99):
-        part = metrics.latency_percentile(events, pct, "value", ["event_type"]).select(
-            "event_type", F.lit(pct).alias("pct"), "percentile_value"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    return metrics.latency_percentile(events, (0.5, 0.9, 0.99), "value", ["event_type"])
 
 
 @query

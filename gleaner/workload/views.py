@@ -98,12 +98,13 @@ def chats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def system_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """System turns, marked, one per conversation."""
+    """System turns of a conversation, joined in turn order and marked."""
     return (
         table(spark, sf_dir, "conversations")
         .filter(F.col("role") == "system")
         .groupBy("conv_id")
-        .agg(F.min_by("text", "turn").alias("text"))
+        .agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("_all"))
+        .select("conv_id", F.array_join(F.transform("_all", lambda t: t["text"]), "\n").alias("text"))
         .select("conv_id", wrap_as_marked(F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n"))).alias("text"))
     )
 
