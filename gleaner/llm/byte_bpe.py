@@ -256,7 +256,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         return cut, dict(zip(heads, found[len(new) :], strict=True)), cache, mixed
 
     def rare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matches, store = _matches(pattern), worker_cache(f"rare {key}")
+        matches, store = _matches(pattern), worker_cache(key, "rare")
         for texts in batches:
             cut, heads, cache, mixed = resolve(texts.tolist(), store, matches)
             out = []
@@ -268,7 +268,7 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Replaces the last two columns, rare words and their ids, by the result."""
-        matches, store = _matches(pattern), worker_cache(f"ids {key}")
+        matches, store = _matches(pattern), worker_cache(key, "ids")
         for batch in batches:
             cut, heads, cache, _ = resolve(batch.column(place).to_pylist(), store, matches)
             ids = []

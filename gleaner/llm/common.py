@@ -89,7 +89,13 @@ def frequency_floor(counts: DataFrame, limit: int) -> int:
     return least
 
 
-def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, over all of its tasks."""
+def worker_cache(owner: str, name: str = "") -> dict:
+    """A dict that lives in the Python worker over the tasks of one owner.
+
+    Another owner (a query, a model) takes the worker's only place, so that what earlier
+    ones remembered is freed.
+    """
     module = sys.modules.setdefault("_gleaner_worker", types.ModuleType("_gleaner_worker"))
-    return module.__dict__.setdefault(name, {})
+    if module.__dict__.get("owner") != owner:
+        module.__dict__.update(owner=owner, caches={})
+    return module.__dict__["caches"].setdefault(name, {})
