@@ -13,6 +13,7 @@ text is scored whole.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -142,7 +143,7 @@ def fit(counts: dict[str, dict[str, int]]) -> Model:
 
 def _entropies(model: Model, key: str, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Per text: nats per character in each language, and the characters predicted."""
-    store = worker_cache(f"language {key}")
+    store = worker_cache(key)
     sums = np.zeros((len(texts), len(model.languages) + 1))
     parts = [(t or "").split() for t in texts]
     met = set().union(*parts)
@@ -169,8 +170,9 @@ def _entropies(model: Model, key: str, texts: list[str | None]) -> tuple[np.ndar
     return -sums[:, :-1] / np.maximum(n, 1)[:, None], n
 
 
-def _predictor(model: Model, key: str):
+def _predictor(model: Model):
     """A vectorised column function: text -> struct(lang, score, entropy, n, rejected)."""
+    key = f"language {uuid.uuid4().hex}"
 
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
@@ -236,7 +238,7 @@ def train(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     if not len(counted):
         return Model([])
     model = fit({lang: dict(zip(g["word"], g["n"], strict=True)) for lang, g in counted.groupby("lang")})
-    predicted = _predictor(model, f"draft {id(model)}")(F.col("text"))
+    predicted = _predictor(model)(F.col("text"))
     for row in (
         drawn.filter("held")
         .select("lang", predicted.alias("p"))
@@ -273,5 +275,4 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", out_col: str
             F.lit(0).cast("long").alias("characters"), F.lit(True).alias("rejected"),
         )
         return docs.withColumn(out_col, nothing)
-    key = f"{hash(tuple(model.languages))} {float(model.mean.sum())} {model.floor} {len(model.grams[-1])}"
-    return docs.withColumn(out_col, _predictor(model, key)(F.col(text_col)))
+    return docs.withColumn(out_col, _predictor(model)(F.col(text_col)))
