@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from gleaner.config import BANNED_PHRASES, STOP_WORDS
 
-# Unicode white space as a regex class body (valid in Java and in RE2).
+# What counts as white space, a word, a term, an entity, a number and an
+# identifier.  The class bodies are valid in Java and in RE2.
 WS_CLASS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
 WS = f"[{WS_CLASS}]"
 LINE_BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"

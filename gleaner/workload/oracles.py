@@ -15,13 +15,20 @@ from gleaner.config import (
     STOP_WORDS,
     SYSTEM_INSTRUCTION,
 )
-from gleaner.functions.text import ENTITY, TERM, TOKEN_PIECE, WORD, WS, WS_CLASS
 from gleaner.operators.sessions import REASONS
 from gleaner.workload.queries import PRICES, STATED_MODEL
 from gleaner.workload.views import FEEDBACK, GOOD_VALUE
 
 ORACLES: dict[str, str] = {}
 
+# Written out here once more, so that a change of the patterns under test shows.
+WS_CLASS = r"\s\x0b\x1c-\x1f\x85\p{Z}"
+WS = f"[{WS_CLASS}]"
+WORD = "[A-Za-z0-9_]+"
+TERM = r"[\p{L}\p{N}_]{2,}"
+ENTITY = "[A-Za-z][A-Za-z0-9_./:-]*"
+TOKEN_PIECE = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]"
+
 
 def lit(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"

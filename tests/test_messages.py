@@ -101,3 +101,15 @@ def test_stream_equals_batch(spark, tmp_path):
     got = spark.read.parquet(out).drop("batch")
     want = m.prune_chat(flat, auto_mark_tool_results=True)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_requests_are_never_lost(spark):
+    from gleaner.streaming.messages import explode_requests
+
+    mark = f"{O}alpha beta\n\ngamma delta{C}"
+    said = spark.createDataFrame([(1, 0, "user", "alpha?")], "conv_id long, turn long, role string, text string")
+    system = spark.createDataFrame([(1, mark), (2, mark)], "conv_id long, text string")
+    got = m.prune_chat(said, system=system, preset="no such preset").collect()
+    assert sorted((r.conv_id, r.turn) for r in got) == [(1, -1), (1, 0), (2, -1)]
+    requests = spark.createDataFrame([(1, [("user", "a")]), (2, [])], "conv_id long, messages array<struct<role:string,text:string>>")
+    assert sorted((r.conv_id, r.turn) for r in explode_requests(requests).collect()) == [(1, 0), (2, None)]

@@ -172,6 +172,27 @@ def test_costs_and_report(spark):
     held = spark.createDataFrame([("pruner", 0.5, 0.25, 0.4), ("top_k", 0.3, 0.2, 0.1), ("retrieval_threshold", 0.2, 0.1, 0.9)], "method string, recall double, precision double, token_reduction_pct double")
     meta = spark.createDataFrame([("c", "now", "v1", 7)], "corpus_id string, trained_at string, feature_version string, num_questions long")
     row = metrics.render_report(spark, held, meta).first()
-    assert "Evidence recall (pruner): 50%" in row.report and row.banned_claim is None
+    assert "| model and rules | 50% | 25% | 40% |" in row.report and row.banned_claim is None
     with pytest.raises(ValueError):
         metrics.require_rows(held.limit(0), "test split is empty")
+
+
+def test_null_scores_clear_no_threshold(spark):
+    rows = spark.createDataFrame([(1, 0.99), (1, None), (0, None)], "label int, score double")
+    got = scoring.threshold_table(rows).collect()
+    assert all(r.recall == 0.5 and r.precision == 1.0 for r in got)
+
+
+def test_best_of_all_batches_leaves_a_task_once(spark):
+    from gleaner.operators import dense
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    rows = [(f"c{i:04d}", [float(i % 97), 1.0 + i % 13]) for i in range(1000)]
+    vectors = spark.createDataFrame(rows, "chunk_id string, vector array<double>").coalesce(1)
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "query_id long, vector array<double>")
+    got = dense.cosine_top_k(asked, vectors, k=5).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q, v in ((1, (1.0, 0.0)), (2, (0.0, 1.0))):
+        cos = {c: round((v[0] * x + v[1] * y) / (x * x + y * y) ** 0.5, 9) for c, (x, y) in rows}
+        want = sorted(cos, key=lambda c: (-cos[c], c))[:5]
+        assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want

@@ -76,3 +76,21 @@ def test_persisted_splits(spark, tmp_path):
     assert {r.query_id: r.split for r in q.collect()} == {1: "train", 2: None}
     members = splits.membership(d, q).groupBy("split").agg(F.count("*").alias("n")).collect()
     assert {r.split: r.n for r in members} == {"train": 7, "val": 2, "test": 2, "excluded": 1}
+
+
+def test_malformed_input_raises(spark, tmp_path):
+    (tmp_path / "docs").mkdir()
+    (tmp_path / "docs" / "a.json").write_text('{"doc_id": "a", "chunks": []}')
+    (tmp_path / "docs" / "b.json").write_text('{"doc_id": "b", "chunks": [')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.load_documents(spark, str(tmp_path / "docs")).collect()
+    (tmp_path / "labels.jsonl").write_text('{"question_id": "q", "question_text": "t", "relevant": true}\n{"question_id":\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.load_label_rows(spark, str(tmp_path / "labels.jsonl")).collect()
+
+
+def test_evidence_of_unknown_questions_is_a_violation(spark):
+    docs = spark.createDataFrame([("d",)], "doc_id string")
+    asked = spark.createDataFrame([("q",)], "query_id string")
+    proof = spark.createDataFrame([("q", "d"), ("other", "d")], "query_id string, doc_id string")
+    assert [tuple(r) for r in corpus.corpus_violations(docs, asked, proof).collect()] == [("unknown question", "other")]
