@@ -425,17 +425,16 @@ def split_questions(spark, sf_dir):
 
 @query
 def split_membership(spark, sf_dir):
-    docs = doc_splits(spark, sf_dir)
+    docs = materialise(doc_splits(spark, sf_dir))
     return splits.membership(docs, splits.assign_question_splits(V.evidence(spark, sf_dir), docs))
 
 
 @query
 def split_invariants(spark, sf_dir):
-    docs, proof = doc_splits(spark, sf_dir), V.evidence(spark, sf_dir)
-    return splits.check_invariants(
-        V.table(spark, sf_dir, "documents", "doc_id", "lang"), docs, proof,
-        splits.assign_question_splits(proof, docs),
-    )
+    # Each is read by several checks: built once, without text.
+    docs, proof = materialise(doc_splits(spark, sf_dir)), materialise(V.evidence(spark, sf_dir))
+    asked = materialise(splits.assign_question_splits(proof, docs))
+    return splits.check_invariants(V.table(spark, sf_dir, "documents", "doc_id", "lang"), docs, proof, asked)
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -689,12 +688,14 @@ def held_out_report(spark, sf_dir):
 # --- validation -------------------------------------------------------------
 
 
-def kept_context(spark: SparkSession, sf_dir: str, only_kept: bool = True) -> DataFrame:
-    decided = decisions(spark, sf_dir)
-    rows = (decided.filter("kept") if only_kept else decided).select("query_id", "chunk_id", "rank")
+def kept_context(spark: SparkSession, sf_dir: str, decided: DataFrame | None = None) -> DataFrame:
+    """Texts of the kept chunks, or of all chunks in ``decided``; written once
+    (queries times k rows), since every check reads them again."""
+    rows = decisions(spark, sf_dir).filter("kept") if decided is None else decided
+    rows = rows.select("query_id", "chunk_id", "rank")
     texts = retrieval.with_chunk_columns(rows, V.document_chunks(spark, sf_dir), ["text"])
-    return texts.select(
-        F.col("query_id").alias("answer_id"), "chunk_id", F.col("rank").alias("chunk_order"), "text"
+    return materialise(
+        texts.select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("rank").alias("chunk_order"), "text")
     )
 
 
@@ -756,9 +757,10 @@ def counterfactual(spark, sf_dir):
     """First sentence from the kept chunks against the passage from all twelve."""
     restored = V.answers(spark, sf_dir)
     pruned = restored.select("answer_id", F.col("query_text").alias("answer_text"))
-    retained = decisions(spark, sf_dir).filter("kept").select(F.col("query_id").alias("answer_id"), "chunk_id")
+    decided = materialise(decisions(spark, sf_dir).select("query_id", "chunk_id", "rank", "kept"))
+    retained = decided.filter("kept").select(F.col("query_id").alias("answer_id"), "chunk_id")
     return validation.compare_counterfactual(
-        pruned, restored, kept_context(spark, sf_dir, only_kept=False), retained
+        pruned, restored, kept_context(spark, sf_dir, decided), retained
     ).select(
         "answer_id", "improved", _r("pruned_grounded_ratio").alias("pruned_grounded_ratio"),
         _r("restored_grounded_ratio").alias("restored_grounded_ratio"),
@@ -946,7 +948,7 @@ def replay_calibrated(spark, sf_dir):
     """Every logged event as a trial: the session's policy before the event
     decides on the event's query, next to the static policy."""
     n = V.questions(spark, sf_dir).count()
-    states = calibrated(spark, sf_dir).select("session_id", "event_id", "k", "before")
+    states = materialise(calibrated(spark, sf_dir).select("session_id", "event_id", "k", "before"))
     asked = states.withColumn("query_id", F.pmod("k", F.lit(n)))
     static = F.struct(
         F.lit("static").alias("policy"), F.lit(0.5).alias("threshold"), F.lit(2).alias("min_context"),
@@ -969,7 +971,8 @@ def replay_calibrated(spark, sf_dir):
         F.count(F.when(F.col("kept"), 1)).alias("kept_chunks"),
         _long(F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))), F.lit(0))).alias("retained_tokens"),
     )
-    return runs.join(figures, combination).select(
+    figures = materialise(figures)
+    return runs.join(broadcast_if(fits_broadcast(figures), figures), combination).select(
         "session_id", "event_id", "policy", "kept_chunks", "retained_tokens"
     )
 
