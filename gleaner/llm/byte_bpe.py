@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from gleaner.llm.common import bounded_batches, frequency_floor, fresh, worker_cache
+from gleaner.llm.common import bounded_batches, frequency_floor, fresh, trim, worker_cache
 from gleaner.llm.pieces import spaced_out
 from gleaner.plans.sizing import materialise
 
@@ -240,10 +240,9 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         heads = list({head for head, _ in cut})
         met = set().union(*(rest for _, rest in cut))
         cache, mixed = store.setdefault("pieces", {}), store.setdefault("mixed", set())
-        if len(cache) + len(met.difference(cache)) > CACHE_PIECES:
-            cache.clear()
-            mixed.clear()
         new = list(met.difference(cache))
+        trim(cache, met, len(new), CACHE_PIECES)
+        mixed.intersection_update(cache)
         parts = [matches(piece, True) for piece in new] + [matches(head, False) for head in heads]
         words = list({w for own in parts for w in own})
         ids = {w: w if x is None else x for w, x in zip(words, lookup(words), strict=True)}

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 # Arrow batches: rows per batch, so that a batch of very long texts stays in memory.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 # A membership table has at most so many rows of 64 bits, whatever was put into it.
 MEMBER_WORDS = 1 << 16
@@ -89,6 +89,14 @@ def frequency_floor(counts: DataFrame, limit: int) -> int:
     return least
 
 
+def trim(cache: dict, met: set, more: int, limit: int) -> None:
+    """Before ``more`` entries come: of a full cache, keep what the batch at hand uses."""
+    if len(cache) + more > limit:
+        kept = {key: cache[key] for key in met if key in cache}
+        cache.clear()
+        cache.update(kept)
+
+
 def worker_cache(owner: str, name: str = "") -> dict:
     """A dict that lives in the Python worker over the tasks of one owner.
 

@@ -37,7 +37,7 @@ DEVIATIONS, FACTOR = 6.0, 1.5
 # Sharpness of the score: nats per character that separate languages.
 SHARPNESS = 8.0
 UNKNOWN = "und"
-CACHE_PIECES = 400_000
+CACHE_PIECES = 250_000
 # New words that are scored at once.
 CHUNK_WORDS = 1 << 14
 
@@ -147,10 +147,14 @@ def _entropies(model: Model, key: str, texts: list[str | None]) -> tuple[np.ndar
     sums = np.zeros((len(texts), len(model.languages) + 1))
     parts = [(t or "").split() for t in texts]
     met = set().union(*parts)
-    if not store or len(store["at"]) + len(met) > CACHE_PIECES:
+    if not store:
         store.update(at={}, table=np.zeros((1 << 16, len(model.languages) + 1), np.float32))
+    fresh = list(met.difference(store["at"]))
+    if len(store["at"]) + len(fresh) > CACHE_PIECES:
+        kept = [piece for piece in met if piece in store["at"]]
+        rows = store["table"][[store["at"][piece] for piece in kept]]
+        store.update(at={piece: i for i, piece in enumerate(kept)}, table=np.concatenate([rows, np.zeros_like(rows[:1])]))
     at, table = store["at"], store["table"]
-    fresh = list(met.difference(at))
     runs = [letter_runs(piece) for piece in fresh]
     words = list(dict.fromkeys(w for r in runs for w in r))
     score = {}
@@ -158,8 +162,9 @@ def _entropies(model: Model, key: str, texts: list[str | None]) -> tuple[np.ndar
         some = words[i : i + CHUNK_WORDS]
         logs, sizes = model.log_probabilities(some)
         score.update(zip(some, np.column_stack([logs, sizes]).astype(np.float32), strict=True))
-    while len(at) + len(fresh) > len(table):
-        table = store["table"] = np.concatenate([table, np.zeros_like(table)])
+    if len(at) + len(fresh) > len(table):
+        room = np.zeros((len(fresh) + CHUNK_WORDS, table.shape[1]), np.float32)
+        table = store["table"] = np.concatenate([table, room])
     for piece, own in zip(fresh, runs, strict=True):
         place = at[piece] = len(at)
         table[place] = sum(score[w] for w in own) if own else 0

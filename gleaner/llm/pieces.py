@@ -11,13 +11,16 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from gleaner.llm.common import trim
+
 _RUN = re.compile(r"\s \s")
 
 # A letter word and the mark behind it are separate matches of the pattern.
 _MARKED = re.compile(r"[A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+[.,]")
 
-# A worker keeps at most this many encoded pieces; a full cache is emptied.
-CACHE_PIECES = 800_000
+# A worker keeps at most this many encoded pieces; a full one keeps
+# those of the batch at hand.
+CACHE_PIECES = 600_000
 
 
 def spaced_out(text: str) -> bool:
@@ -31,14 +34,9 @@ def encode_texts(texts: list[str], cache: dict[str, bytes], encode: Callable[[li
     ``cache`` maps a piece without its leading space to the ids of space and piece.
     """
     cuts = [None if spaced_out(text) else text.split(" ") for text in texts]
-    unknown: set[str] = set()
-    for parts in cuts:
-        if parts is not None:
-            unknown.update(set(parts[1:]).difference(cache))
-    if len(cache) + len(unknown) > CACHE_PIECES:
-        cache.clear()
-        for parts in cuts:
-            unknown.update(parts[1:] if parts else ())
+    met = set().union(*(parts[1:] for parts in cuts if parts is not None))
+    unknown = met.difference(cache)
+    trim(cache, met, len(unknown), CACHE_PIECES)
     marked = [piece for piece in unknown if _MARKED.fullmatch(piece)]
     fresh = list((unknown.difference(marked) | {piece[:-1] for piece in marked}).difference(cache))
     cache.update(zip(fresh, encode([" " + piece for piece in fresh]), strict=True))

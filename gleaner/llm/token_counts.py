@@ -23,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, worker_cache
+from gleaner.llm.common import bounded_batches, trim, worker_cache
 
 # Pieces in the broadcast table, and in the summary of one task.
 FREQUENT = 1 << 16
 SUMMARY = 1 << 14
 # Distinct pieces a task counts before it forgets those seen least.
 COUNTED = 1 << 19
-CACHE_PIECES = 800_000
+CACHE_PIECES = 600_000
 LIMIT = 2048
 
 # A word and one mark behind it are separate matches.  The letters stay letters when
@@ -108,8 +108,7 @@ def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", out_c
             raw = [(t or "").encode("utf-8", "replace") for t in texts]
             cut = [t.split() for t in raw]
             met = list(set().union(*cut))
-            if len(cache) + len(met) > CACHE_PIECES:
-                cache.clear()
+            trim(cache, set(met), len(met), CACHE_PIECES)
             hashed = np.array([xxh64_intdigest(p) for p in met], np.uint64)
             if len(table) and met:
                 at = np.minimum(np.searchsorted(table, hashed), len(table) - 1)
