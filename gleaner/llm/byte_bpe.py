@@ -29,8 +29,8 @@ FREQUENT = 1 << 20
 # Longer words are merged in the worker.
 LONG = 256
 # Distinct pieces that a task counts, and that a worker remembers.
-COUNTED = 1 << 19
-CACHE_PIECES = 500_000
+COUNTED = 1 << 18
+CACHE_PIECES = 200_000
 # Letters, and letters with one mark: one match and two, in patterns that keep words whole.
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
 _MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]")
