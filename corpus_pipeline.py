@@ -15,6 +15,8 @@ from gleaner.plans.sizing import materialise
 
 
 TOKENIZER = "byte_bpe_50k.json"
+# Workers still hold what earlier stages grew to, so packing remembers fewer pieces.
+CACHED = 200_000
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,7 +49,7 @@ def drop_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
     vocabulary = Path(public_tokenizers.path(TOKENIZER)).read_text(encoding="utf-8")
-    return packing.pack(packing.tokenised_pieces(docs, vocabulary))
+    return packing.pack(packing.tokenised_pieces(docs, vocabulary, cached=CACHED))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, worker_cache
-from gleaner.llm.pieces import encode_texts
+from gleaner.llm.pieces import CACHE_PIECES, encode_texts
 from gleaner.plans.sizing import materialise
 
 CAPACITY = 1024
@@ -38,10 +38,11 @@ SLICE_ROWS = 50_000
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
+def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, end_id: int = END_ID, cached: int = CACHE_PIECES) -> DataFrame:
     """Pieces of at most ``capacity`` ids of each document, its end id included.
 
-    ``vocabulary`` is the text of a tokenizers JSON file.  Null text counts as empty,
+    ``vocabulary`` is the text of a tokenizers JSON file; a worker remembers at most
+    ``cached`` encoded pieces.  Null text counts as empty,
     so each row gives at least the piece that holds its end id.  Rows that repeat an
     id are separate documents; other columns are ignored.
     """
@@ -64,7 +65,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
         for batch in batches:
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(texts, cache, encode), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode_texts(texts, cache, encode, cached), strict=True):
                 ids += end
                 n = len(ids) // 4
                 stop = n % capacity or capacity

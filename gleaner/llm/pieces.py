@@ -28,7 +28,7 @@ def spaced_out(text: str) -> bool:
     return _RUN.search(text) is not None
 
 
-def encode_texts(texts: list[str], cache: dict[str, bytes], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+def encode_texts(texts: list[str], cache: dict[str, bytes], encode: Callable[[list[str]], list[bytes]], limit: int = CACHE_PIECES) -> list[bytes]:
     """The packed ids of each text; ``encode`` maps pieces to packed ids.
 
     ``cache`` maps a piece without its leading space to the ids of space and piece.
@@ -36,7 +36,7 @@ def encode_texts(texts: list[str], cache: dict[str, bytes], encode: Callable[[li
     cuts = [None if spaced_out(text) else text.split(" ") for text in texts]
     met = set().union(*(parts[1:] for parts in cuts if parts is not None))
     unknown = met.difference(cache)
-    trim(cache, met, len(unknown), CACHE_PIECES)
+    trim(cache, met, len(unknown), limit)
     marked = [piece for piece in unknown if _MARKED.fullmatch(piece)]
     fresh = list((unknown.difference(marked) | {piece[:-1] for piece in marked}).difference(cache))
     cache.update(zip(fresh, encode([" " + piece for piece in fresh]), strict=True))
