@@ -11,7 +11,6 @@ bounded size lets a document test its own runs where it is read.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,45 +24,66 @@ from gleaner.plans.sizing import materialise
 
 MIN_SENTENCES = 2
 MIN_WORDS = 30
-# A sentence longer than this is cut behind words that its own content picks, so that a
-# passage is cut alike wherever it stands, and after MAX_WORDS at the latest.
-LONG_WORDS, CUT_ONE_IN, MAX_WORDS = 16, 8, 24
+# A sentence is also cut behind the word of smallest hash in every window of so many of its
+# words, the last of equal ones.  Windows inside a passage pick the same words wherever it
+# stands, so beyond its first and last WINDOW words at most it is cut alike everywhere, and a
+# passage of MIN_WORDS + 2 * WINDOW - 1 words always holds a whole run.
+WINDOW = 6
 # Rows of the bit set of repeated hashes (64 bits each).
 HASH_WORDS = 1 << 19
 
-_STOP = re.compile(r"(?<=[.!?])\s+|\n\s*")
-_WORD = re.compile(r"\s*\S+\s*")
+# White space as str.split() sees it.
+_SPACES = np.array([c for c in range(0x3001) if chr(c).isspace()], np.uint32)
+_STOPS = np.array([ord(c) for c in ".!?"], np.uint32)
 # An odd base and its inverse modulo 2 ** 64.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 
 
 def sentences(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start of each sentence (and the end of the text), its words, and its content hash."""
+    """Start of each sentence (and the end of the text), its words, and its content hash.
+
+    A sentence ends at a full stop before white space, at a line break, or at a cut.
+    """
     from xxhash import xxh64_intdigest
 
-    starts, sizes, hashes = [], [], []
-    begin = i = 0
-    for j in [*(m.end() for m in _STOP.finditer(text)), len(text)]:
-        words = text[i:j].split()
-        if len(words) > LONG_WORDS:
-            ends = [i + m.end() for m in _WORD.finditer(text[i:j])]
-            held: list[str] = []
-            for word, end in zip(words[:-1], ends, strict=False):
-                held.append(word)
-                if (ord(word[0]) + len(word)) % CUT_ONE_IN == 0 or len(held) >= MAX_WORDS:
-                    starts.append(begin)
-                    sizes.append(len(held))
-                    hashes.append(xxh64_intdigest(" ".join(held).encode("utf-8", "replace")))
-                    begin, held = end, []
-            words = [*held, words[-1]]
-        if words:
-            starts.append(begin)
-            sizes.append(len(words))
-            hashes.append(xxh64_intdigest(" ".join(words).encode("utf-8", "replace")))
-            begin = j
-        i = j
-    return np.array([*starts, len(text)], np.int64), np.array(sizes, np.int64), np.array(hashes, np.uint64)
+    words = text.split()
+    n = len(words)
+    if not n:
+        return np.array([len(text)], np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    letters = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    blank = np.concatenate([[True], np.isin(letters, _SPACES), [True]])
+    begins = np.flatnonzero(blank[:-2] & ~blank[1:-1])
+    last = np.flatnonzero(~blank[1:-1] & blank[2:])
+    lines = np.cumsum(letters == ord("\n"))
+    ends = np.isin(letters[last], _STOPS)
+    ends[:-1] |= lines[begins[1:]] > lines[begins[:-1]]
+    ends[-1] = True
+    coded = "\n".join(words).encode("utf-8", "replace").split(b"\n")
+    h = np.fromiter(map(xxh64_intdigest, coded), np.uint64, n)
+    cut = ends.copy()
+    if n >= WINDOW:
+        within = np.concatenate([[0], np.cumsum(ends)])
+        inside = np.flatnonzero(within[: n - WINDOW + 1] == within[WINDOW - 1 : n])
+        smallest = np.lib.stride_tricks.sliding_window_view(h, WINDOW)[inside, ::-1].argmin(axis=1)
+        cut[inside + WINDOW - 1 - smallest] = True
+    stop = np.flatnonzero(cut) + 1
+    first = np.concatenate([[0], stop[:-1]])
+    value = _spans(h, first, stop)
+    value ^= value >> np.uint64(32)
+    starts = np.append(begins[first], len(text))
+    starts[0] = 0
+    return starts, stop - first, value * _INVERSE
+
+
+def _spans(hashes: np.ndarray, first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """Polynomial in the hashes of each span, the same wherever the span stands."""
+    n = len(hashes)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)))
+    # prefix[j] = sum of hash[k] * base ** k below j; a span is divided by base ** first.
+    prefix = np.append(np.uint64(0), np.cumsum(hashes * powers[:n], dtype=np.uint64))
+    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)))
+    return (prefix[stop] - prefix[first]) * inverse[first] + (stop - first).astype(np.uint64)
 
 
 def runs(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -81,11 +101,7 @@ def runs(sizes: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     ahead, back = stop <= n, start >= 0
     both = np.unique(np.concatenate([first[ahead] * (n + 1) + stop[ahead], start[back] * (n + 1) + last[back]]))
     first, stop = both // (n + 1), both % (n + 1)
-    powers = np.cumprod(np.append(np.uint64(1), np.full(n, _BASE)))
-    # prefix[j] = sum of hash[k] * base ** k below j; a run is divided by base ** first.
-    prefix = np.append(np.uint64(0), np.cumsum(hashes * powers[:n], dtype=np.uint64))
-    inverse = np.cumprod(np.append(np.uint64(1), np.full(n, _INVERSE)))
-    value = (prefix[stop] - prefix[first]) * inverse[first] + (stop - first).astype(np.uint64)
+    value = _spans(hashes, first, stop)
     value ^= value >> np.uint64(32)
     return first, stop, value * _BASE
 

@@ -175,3 +175,36 @@ def test_run_hashes_stand_for_their_text():
         own = " ".join(text[starts[i] : starts[j]].split())
         assert content.setdefault(int(value), own) == own
     assert len(set(content.values())) == len(content) and sum(sizes) == len(text.split())
+
+
+def test_short_passages_at_random_word_positions_are_found():
+    rng = np.random.default_rng(5)
+    lexicon = ["".join(rng.choice(list("abcdehinorst"), rng.integers(2, 9))) for _ in range(3000)]
+
+    def prose(n, stops):
+        return [w + "." * int(stops and rng.random() < 0.08) for w in rng.choice(lexicon, n)]
+
+    for trial in range(400):
+        stops, size = trial % 2, 51 + trial % 10
+        passage = prose(size, stops)
+        shared, kept = [], []
+        for _ in range(2):
+            head = prose(rng.integers(0, 80), stops)
+            text = " ".join([*head, *passage, *prose(rng.integers(0, 80), stops)])
+            starts, sizes, hashes = substring_dedup.sentences(text)
+            first, stop, h = substring_dedup.runs(sizes, hashes)
+            shared.append(dict(zip(h.tolist(), zip(first, stop))))
+            kept.append((len(head), np.concatenate([[0], np.cumsum(sizes)])))
+        both = shared[0].keys() & shared[1].keys()
+        assert both, (trial, " ".join(passage))
+        for (head, total), own in zip(kept, shared):
+            covered = {k for x in both for k in range(total[own[x][0]], total[own[x][1]])}
+            assert covered >= set(range(head + substring_dedup.WINDOW, head + size - substring_dedup.WINDOW))
+
+
+def test_sentences_cover_odd_white_space():
+    for text in ["", " \n", "a", "\n a.\u00a0b! c\x1cd\u3000e \n\n f", "x\ud800y z. " * 9, "\u2003" + "the " * 40]:
+        starts, sizes, hashes = substring_dedup.sentences(text)
+        assert sizes.sum() == len(text.split()) and starts[-1] == len(text) and len(starts) == len(sizes) + 1 == len(hashes) + 1
+        for a, b, n in zip(starts, starts[1:], sizes):
+            assert len(text[a:b].split()) == n
