@@ -94,6 +94,30 @@ def _paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return lines.select("doc_id", "key", "paragraph", _words(F.col("line")).alias("words"))
 
 
+def _wrapped(docs: DataFrame, anchors: list[str], id_col: str, text_col: str) -> DataFrame:
+    """(key, words, lines): windows over the words of a whole text that cross line breaks.
+
+    ``lines`` holds the line of each word.  Windows without an anchor are left out.
+    """
+    parts = F.transform(F.split(F.col(text_col), "\n"), _words)
+    rows = docs.filter(F.contains(F.col(text_col), F.lit("\n"))).select(F.xxhash64(id_col, text_col).alias("key"), parts.alias("parts"))
+    rows = rows.select(
+        "key",
+        F.flatten("parts").alias("words"),
+        F.flatten(F.transform("parts", lambda words, i: F.array_repeat(i, F.size(words)))).alias("lines"),
+    )
+    last = F.greatest(F.size("words") - WINDOW + STRIDE - 1, F.lit(0))
+    starts = F.filter(
+        F.sequence(F.lit(0), last, F.lit(STRIDE)),
+        lambda i: (F.get("lines", i) < F.get("lines", F.least(i + WINDOW, F.size("lines")) - 1))
+        & F.exists(F.slice("words", i + 1, WINDOW), lambda w: w.isin(anchors)),
+    )
+    cut = F.transform(starts, lambda i: F.struct(F.slice("words", i + 1, WINDOW).alias("words"), F.slice("lines", i + 1, WINDOW).alias("lines")))
+    # An inner explode would be filtered below the projections, with all of them inlined per word.
+    cuts = rows.select("key", F.explode_outer(cut).alias("cut")).filter("cut is not null")
+    return materialise(cuts.select("key", "cut.words", "cut.lines"))
+
+
 def _templates(spark: SparkSession) -> DataFrame:
     """A fixed number of rows (family, templates: the bigrams of each wording)."""
     rows = spark.createDataFrame(TEMPLATES, "family string, wording string")
@@ -196,8 +220,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
 def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, license, notices) per row of ``docs``.
 
-    ``notices`` lists the paragraphs with a known family: paragraph, family, chance,
-    likeness and whether a template confirms it; ``license`` is the confirmed family
+    ``notices`` lists the lines with a known family: paragraph (the line, from 0), family,
+    chance, likeness and whether a template confirms it.  A notice wrapped over several
+    lines counts if a template confirms it, at its first line, unless a line of it is a
+    confirmed notice of that family by itself.  ``license`` is the confirmed family
     of highest chance (ties: the smaller name), else null.  Null and empty texts have no
     notice.  Rows that repeat both id and text get equal results; a null id is kept.
     """
@@ -206,14 +232,46 @@ def scan(docs: DataFrame, classifier: Classifier, id_col: str = "doc_id", text_c
     lines = lines.filter(F.exists("words", lambda w: w.isin(classifier.anchors)))
     windows = lines.select("key", "paragraph", F.explode(_windows(F.col("words"))).alias("words"))
     windows = windows.filter(F.exists("words", lambda w: w.isin(classifier.anchors)))
-    found = classifier.predict(windows.select("key", "paragraph", _grams(F.col("words")).alias("grams")))
     templates = _templates(spark).groupBy("family").agg(F.collect_list(_bigrams(F.col("words"))).alias("templates"))
-    checked = found.filter(F.col("family") != UNKNOWN).join(F.broadcast(templates), "family")
-    checked = checked.withColumn("likeness", _likeness(F.col("grams"), F.col("templates")))
-    best = F.struct((F.col("likeness") >= CONFIRMED).alias("confirmed"), "chance", "likeness", "family")
-    per_line = checked.groupBy("key", "paragraph").agg(F.max(best).alias("b"))
-    notice = F.struct("paragraph", "b.family", "b.chance", "b.likeness", "b.confirmed")
-    per_text = materialise(per_line.groupBy("key").agg(F.sort_array(F.collect_list(notice)).alias("notices")))
+    best = F.struct("confirmed", "chance", "likeness", "family")
+
+    def judged(rows: DataFrame) -> DataFrame:
+        found = classifier.predict(rows.withColumn("grams", _grams(F.col("words"))))
+        checked = found.filter(F.col("family") != UNKNOWN).join(F.broadcast(templates), "family")
+        checked = checked.withColumn("likeness", _likeness(F.col("grams"), F.col("templates")))
+        return checked.withColumn("confirmed", F.col("likeness") >= CONFIRMED)
+
+    per_line = materialise(judged(windows).groupBy("key", "paragraph").agg(F.max(best).alias("b")))
+    # A window has one family, so lines that are a notice by themselves are taken out first.
+    alone = per_line.filter("b.confirmed").groupBy("key").agg(F.collect_set("paragraph").alias("alone"))
+    wrapped = _wrapped(docs, classifier.anchors, id_col, text_col).join(alone, "key", "left")
+    free = lambda x, i: ~F.coalesce(F.array_contains("alone", F.get("lines", i)), F.lit(False))
+    wrapped = wrapped.select("key", *[F.filter(c, free).alias(c) for c in ("words", "lines")])
+    checked = judged(materialise(wrapped.filter(F.exists("words", lambda w: w.isin(classifier.anchors)))))
+    # A wrapped notice begins at the first three words in a row that a template has.
+    known = F.flatten("templates")
+    pairs = F.transform("words", lambda w, i: F.array_contains(known, F.concat_ws(" ", w, F.get("words", i + 1))))
+    begin = F.array_position(F.transform(pairs, lambda x, i: x & F.coalesce(F.get(pairs, i + 1), F.lit(False))), True)
+    end = F.size("words") - F.array_position(F.reverse(pairs), True).cast("int") + 1
+    span = checked.filter("confirmed").withColumn("begin", F.greatest(begin.cast("int") - 1, F.lit(0)))
+    span = span.select("*", F.get("lines", F.col("begin")).alias("first"), F.get("lines", F.least(end, F.size("lines") - 1)).alias("last"))
+    per_span = span.groupBy("key", "first", "family").agg(F.max("last").alias("last"), F.max(best).alias("b"))
+    every = materialise(
+        per_line.select("key", "paragraph", F.col("paragraph").alias("last"), "b", F.lit(False).alias("wrapped")).unionByName(
+            per_span.select("key", F.col("first").alias("paragraph"), "last", "b", F.lit(True).alias("wrapped"))
+        ).groupBy("key").agg(F.collect_list(F.struct("paragraph", "last", "b", "wrapped")).alias("all"))
+    )
+    # Overlapping windows see one notice; lines that are part of a wrapped one are not notices.
+    inside = lambda n, m: (m["paragraph"] >= n["paragraph"]) & (m["paragraph"] <= n["last"])
+    repeats = lambda n, m: (m["b"]["family"] == n["b"]["family"]) & m["b"]["confirmed"] & F.when(
+        m["wrapped"], (m["paragraph"] < n["paragraph"]) & (n["paragraph"] <= m["last"])
+    ).otherwise(inside(n, m))
+    kept = F.filter("all", lambda n: ~n["wrapped"] | ~F.exists("all", lambda m: repeats(n, m)))
+    every = every.select("key", kept.alias("kept"))
+    part = lambda n, m: m["wrapped"] & (m["b"]["family"] == n["b"]["family"]) & inside(m, n)
+    whole = F.filter("kept", lambda n: n["wrapped"] | n["b"]["confirmed"] | ~F.exists("kept", lambda m: part(n, m)))
+    notice = lambda n: F.struct(n["paragraph"].alias("paragraph"), *[n["b"][c].alias(c) for c in ("family", "chance", "likeness", "confirmed")])
+    per_text = materialise(every.select("key", F.sort_array(F.transform(whole, notice)).alias("notices")))
     ranked = F.array_sort(F.transform(F.filter("notices", lambda n: n["confirmed"]), lambda n: F.struct((-n["chance"]).alias("c"), n["family"].alias("family"))))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(id_col, text_col).alias("key"))
     empty = F.array().cast(per_text.schema["notices"].dataType)

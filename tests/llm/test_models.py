@@ -166,6 +166,29 @@ def test_licence_notices(spark):
     assert license_scan.scan(docs.limit(0), license_scan.train(docs.limit(0))).collect() == []
 
 
+def test_wrapped_licence_notices(spark):
+    plain = "Und die erle wachst. The erin of thend, with in ofthe."
+    gpl = """ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version."""
+    lgpl = """# This library is free software; you can redistribute
+# it and/or modify it under the terms of the GNU
+# Lesser General Public License as published"""
+    bsd = """// Redistribution and use in source and binary forms, with
+// or without modification, are permitted provided
+// that the following conditions are met:"""
+    rows = [
+        (1, plain + "\n\n" + gpl + "\n" + plain), (2, lgpl), (3, "\n".join([plain] * 30 + [bsd, plain])),
+        (4, "Released under\nthe MIT License."), (5, "\n".join([plain] * 9)), (6, "Released under the MIT License.\n" + bsd),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in license_scan.scan(docs, license_scan.train(docs)).collect()}
+    assert {i: r["license"] for i, r in got.items() if i != 6} == {1: "gpl-2.0", 2: "lgpl", 3: "bsd", 4: "mit", 5: None}
+    at = {i: [(n["paragraph"], n["family"]) for n in r["notices"] if n["confirmed"]] for i, r in got.items()}
+    assert at == {1: [(2, "gpl-2.0")], 2: [(0, "lgpl")], 3: [(30, "bsd")], 4: [(0, "mit")], 5: [], 6: [(0, "mit"), (1, "bsd")]}
+
+
 def brute_nearest(rows, query, k):
     own = next(v for i, v in rows if i == query)
     score = lambda v: float(np.dot(own, v) / (np.linalg.norm(own) * np.linalg.norm(v)))
