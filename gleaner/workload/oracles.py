@@ -852,12 +852,71 @@ ORACLES["coefficient_distance"] = """
 SELECT vec_id, round(list_distance(embedding::DOUBLE[], b::DOUBLE[]), 6) AS distance FROM embeddings
 JOIN (SELECT label, arg_min(embedding, vec_id) AS b FROM embeddings GROUP BY label) USING (label)
 """
+# Updates: one label of every session per round; the candidate is judged at the last label of an event.
+_numeric = ", ".join(f"{c}::DOUBLE" for c in NUMERIC_FEATURES)
+_x = f"[{_numeric}, " + ", ".join(f"(source_type = {lit(t)})::INT::DOUBLE" for t in ("prose", "code", "table", "other")) + "]"
+_w0 = "[" + ", ".join(f"({float(w)!r})::DOUBLE" for w in STATED_MODEL.vector()) + "]"
+_recall = "coalesce(list_avg(list_transform(xs, lambda v: (1 / (1 + exp(-(list_inner_product({0}[1:13], v) + {0}[14]))) >= 0.5::DOUBLE)::INT)), 1.0)"
+
+
+def updates(source: str = "fd") -> str:
+    """CTEs up(session_id, event_id, verdict, distance, before, after, accepted, rejected, w) and up0, every label."""
+    return f"""
+can AS MATERIALIZED (SELECT list(x) AS xs FROM (WITH {EXAMPLES}, cx0 AS (SELECT * FROM ex WHERE split = 'val' AND label = 1
+  ORDER BY query_id, rank LIMIT 20) SELECT {_x} AS x FROM cx0)),
+lab AS MATERIALIZED (SELECT l.*, {_x} AS x, (kind = 'retry')::INT::DOUBLE AS y, CASE WHEN kind = 'retry' THEN 0.5::DOUBLE ELSE 1.0::DOUBLE END AS pull
+  FROM (SELECT {source}.*, unnest(labels) AS chunk, generate_subscripts(labels, 1) AS j, len(labels) AS m, k % (SELECT count(*) FROM benchmark) AS query_id,
+   (event_id % 12)::INT AS rank, sum((policy_shift = 'reset')::INT) OVER (PARTITION BY session_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS life
+   FROM {source}) l JOIN feat ON feat.query_id = l.query_id AND feat.rank = l.rank),
+ls AS MATERIALIZED (SELECT session_id, life, ts, event_id, x, y, pull, j = m AS ends, row_number() OVER (PARTITION BY session_id, life ORDER BY ts, event_id, j) AS i FROM lab),
+up0 AS (
+  SELECT session_id, life, 0::BIGINT AS i, 0::BIGINT AS event_id, {_w0} AS w, {_w0} AS c, (SELECT {_recall.format(_w0)} FROM can) AS r, 0::BIGINT AS accepted,
+   0::BIGINT AS rejected, -1 AS verdict, 0.0::DOUBLE AS distance, 0.0::DOUBLE AS before, 0.0::DOUBLE AS after FROM (SELECT DISTINCT session_id, life FROM ls)
+  UNION ALL
+  SELECT session_id, life, i, event_id, CASE WHEN verdict = 0 THEN cn ELSE w END, CASE WHEN NOT ends OR verdict = 0 THEN cn ELSE w END,
+   CASE WHEN verdict = 0 THEN after ELSE r END, accepted + (verdict = 0)::INT, rejected + (verdict > 0)::INT, verdict, distance, r, after
+  FROM (SELECT *, CASE WHEN NOT ends THEN -1 WHEN distance > 3.0::DOUBLE THEN 1 WHEN after < 0.5::DOUBLE THEN 2 WHEN r - after > 0.15::DOUBLE THEN 3 ELSE 0 END AS verdict
+   FROM (SELECT *, list_distance(cn, {_w0}) AS distance, {_recall.format('cn')} AS after
+    FROM (SELECT *, list_transform(range(1, 15), lambda k: c[k] - 0.05::DOUBLE * CASE WHEN k = 14 THEN g ELSE g * x[k] + 0.0001::DOUBLE * c[k] END) AS cn
+     FROM (SELECT u.session_id, u.life, ls.i, ls.event_id, u.w, u.c, u.r, u.accepted, u.rejected, ls.ends, ls.x, xs,
+      pull * (1 / (1 + exp(-(list_inner_product(u.c[1:13], x) + u.c[14]))) - y) AS g
+      FROM up0 u JOIN ls ON ls.session_id = u.session_id AND ls.life = u.life AND ls.i = u.i + 1 CROSS JOIN can))))),
+up AS MATERIALIZED (SELECT *, CASE verdict WHEN 0 THEN 'accepted' WHEN 1 THEN 'coefficients too far from the base' WHEN 2 THEN 'canary recall too low'
+  ELSE 'canary recall fell too far' END AS outcome FROM up0 WHERE verdict >= 0)"""
+
+
+ORACLES["session_model_updates"] = f"""
+WITH RECURSIVE {FEATURED}, {FEED}, {DECIDED}, {updates()}
+SELECT session_id, event_id, verdict = 0 AS accepted, outcome, round(distance, 6) AS coef_distance, round(before, 6) AS canary_before,
+ round(after, 6) AS canary_after, accepted AS accepted_updates, rejected AS rejected_updates FROM up
+"""
+_with_resets = FEED.replace(_kind, "CASE WHEN value < 1.0 THEN 'reset' ELSE " + _kind + " END")
+_trace = ORACLES["session_history"].split("SELECT session_id, event_id, round(t0, 6)")[0].split("h AS (", 1)[1]
+_labels = ORACLES["session_history"].split("AS streak, ")[1].split(" AS history")[0]
+ORACLES["session_update_history"] = f"""
+WITH RECURSIVE {FEATURED}, {_with_resets}, {DECIDED}, {WALK}, {updates()},
+h AS ({_trace.replace("WHEN len(labels) = 0 THEN", "WHEN policy_shift = 'reset' THEN 'reset to base policy' WHEN len(labels) = 0 THEN")},
+hl AS (SELECT session_id, event_id, {_labels} AS history FROM h)
+SELECT hl.session_id, hl.event_id, concat_ws({NL}, nullif(history, ''), CASE WHEN verdict = 0 THEN 'session-local SGD update accepted (coefficient distance '
+ || {_two.format('distance')} || ', canary recall ' || {_two.format('before')} || '->' || {_two.format('after')} || ')'
+ WHEN verdict > 0 THEN 'session-local SGD update rejected: ' || outcome END) AS history
+FROM hl LEFT JOIN up USING (session_id, event_id)
+"""
 ORACLES["replay_calibrated"] = f"""
-WITH RECURSIVE {FEATURED}, {SCORED}, {FEED}, {DECIDED}, {WALK}, nq AS (SELECT count(*) AS nn FROM benchmark),
-rp AS (SELECT session_id, event_id, k % nn AS query_id, 'static' AS policy, 0.5::DOUBLE AS threshold, 2 AS min_context, 2000 AS token_budget
-       FROM st CROSS JOIN nq UNION ALL SELECT session_id, event_id, k % nn, 'calibrated', t0, m0, b0 FROM st CROSS JOIN nq),
-sc AS (SELECT session_id, event_id, policy, chunk_id, doc_id, position, rank, tokens, score, threshold, min_context, token_budget
-       FROM rp JOIN scored USING (query_id)), {decided('sc', 'session_id, event_id, policy')}
-SELECT session_id, event_id, policy, count(*) FILTER (WHERE kept) AS kept_chunks,
- coalesce(sum(tokens) FILTER (WHERE kept), 0)::BIGINT AS retained_tokens FROM dec GROUP BY session_id, event_id, policy
+WITH RECURSIVE {FEATURED}, {SCORED}, {EVIDENCE}, {FEED}, {DECIDED}, {WALK}, {updates()}, nq AS (SELECT count(*) AS nn FROM benchmark),
+wb AS MATERIALIZED (SELECT st.session_id, st.event_id, k % nn AS query_id, t0, m0, b0,
+  coalesce(last_value(up.w IGNORE NULLS) OVER (PARTITION BY st.session_id ORDER BY st.ts, st.event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), {_w0}) AS w
+  FROM st CROSS JOIN nq LEFT JOIN up ON up.session_id = st.session_id AND up.event_id = st.event_id),
+rp AS (SELECT session_id, event_id, query_id, 'static' AS policy, 0.5::DOUBLE AS threshold, 2 AS min_context, 2000 AS token_budget, {_w0} AS w FROM wb
+  UNION ALL SELECT session_id, event_id, query_id, 'calibrated', t0, m0, b0, {_w0} FROM wb
+  UNION ALL SELECT session_id, event_id, query_id, 'calibrated_updated', t0, m0, b0, w FROM wb),
+sx AS MATERIALIZED (SELECT scored.*, {_x} AS x FROM scored),
+sc AS (SELECT session_id, event_id, policy, query_id, chunk_id, doc_id, position, rank, tokens, 1 / (1 + exp(-(list_inner_product(w[1:13], x) + w[14]))) AS score,
+  threshold, min_context, token_budget FROM rp JOIN sx USING (query_id)), {decided('sc', 'session_id, event_id, policy')},
+tot AS (SELECT query_id, count(*) AS total FROM ev GROUP BY ALL),
+fin AS (SELECT session_id, event_id, policy, any_value(dec.query_id) AS query_id, count(*) FILTER (WHERE kept) AS kept_chunks, coalesce(sum(tokens) FILTER (WHERE kept), 0)::BIGINT AS retained_tokens,
+  count(*) FILTER (WHERE kept AND ev.chunk_id IS NOT NULL) AS relevant_retained
+  FROM dec LEFT JOIN ev ON ev.query_id = dec.query_id AND ev.chunk_id = dec.chunk_id GROUP BY session_id, event_id, policy)
+SELECT session_id, event_id, policy, kept_chunks, retained_tokens, coalesce(total, 0) AS relevant_total, relevant_retained,
+ round(CASE WHEN total > 0 THEN relevant_retained / total ELSE 1.0 END, 6) AS recall FROM fin LEFT JOIN tot USING (query_id)
 """

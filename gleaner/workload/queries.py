@@ -20,6 +20,7 @@ from gleaner.operators import (
     scoring,
     sessions,
     splits,
+    updates,
     validation,
 )
 from gleaner.operators.scoring import LogisticModel, Scaler
@@ -854,9 +855,7 @@ def feedback_labels(spark, sf_dir):
 
 def calibrated(spark: SparkSession, sf_dir: str, with_resets: bool = False) -> DataFrame:
     log = V.feedback(spark, sf_dir)
-    if with_resets:  # very low values stand for a reset by the user
-        log = log.withColumn("event_type", F.when(F.col("value") < 1.0, "reset").otherwise(F.col("event_type")))
-    return sessions.adapt(log)
+    return sessions.adapt(_with_resets(log) if with_resets else log)
 
 
 @query
@@ -914,28 +913,33 @@ def coefficient_distance(spark, sf_dir):
     )
 
 
-def replayed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Label events tied to ranked pairs: the k-th event number names the query
-    (in id order) and the event id the rank it is about."""
-    pairs = featured(spark, sf_dir)
+def guarded_updates(spark: SparkSession, sf_dir: str, pairs: DataFrame, log: DataFrame) -> DataFrame:
+    """The log's labels replayed through the guarded update of the stated model."""
     n = V.questions(spark, sf_dir).count()
-    log = sessions.attribute(V.feedback(spark, sf_dir))
-    log = log.withColumn("query_id", F.pmod("k", F.lit(n))).withColumn("rank", F.pmod("event_id", F.lit(12)).cast("int"))
-    x = F.array(*scoring.model_columns(STATED_MODEL.scaler))
-    known = pairs.select("query_id", "rank", x.alias("x"))
-    return log.join(broadcast_if(fits_broadcast(known), known), ["query_id", "rank"], "left")
+    known = pairs.select("query_id", "rank", "x")
+    about = sessions.attribute(log).select(
+        "session_id", "ts", "event_id", "policy_shift", F.pmod("k", F.lit(n)).alias("query_id"),
+        F.pmod("event_id", F.lit(12)).cast("int").alias("rank"), F.posexplode_outer("labels").alias("label_no", "l"),
+    ).filter((F.col("policy_shift") == "reset") | F.col("l").isNotNull())
+    labelled = about.join(broadcast_if(fits_broadcast(known), known), ["query_id", "rank"], "left")
+    canary = scoring.canary_set(examples(spark, sf_dir)).select(_model_array().alias("x")).collect()  # at most twenty rows
+    return updates.replay(labelled.select("*", "l.relevant", "l.weight", "l.provenance"), STATED_MODEL, [r["x"] for r in canary])
+
+
+def _model_array() -> Column:
+    return F.array(*scoring.model_columns(STATED_MODEL.scaler))
+
+
+def pairs_with_model_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranked pairs with their model columns in one array ``x``."""
+    columns = ["query_id", "chunk_id", "doc_id", "position", "rank", "tokens"]
+    return materialise(featured(spark, sf_dir).select(*columns, _model_array().alias("x")))
 
 
 @query
 def session_model_updates(spark, sf_dir):
-    """Guarded per-session updates of the stated model (no SQL form)."""
-    labelled = replayed_pairs(spark, sf_dir).select(
-        "session_id", "ts", "event_id", "policy_shift", "x", F.explode("labels").alias("l")
-    ).select("session_id", "ts", "event_id", "policy_shift", "x", "l.relevant", "l.weight", "l.provenance")
-    canary = scoring.canary_set(examples(spark, sf_dir)).select(
-        F.array(*scoring.model_columns(STATED_MODEL.scaler)).alias("x")
-    ).collect()  # at most twenty rows
-    out = sessions.session_updates(labelled, STATED_MODEL, [r["x"] for r in canary])
+    """Guarded per-session updates of the stated model."""
+    out = guarded_updates(spark, sf_dir, pairs_with_model_columns(spark, sf_dir), V.feedback(spark, sf_dir))
     return out.select(
         "session_id", "event_id", "accepted", "outcome", _r("coef_distance").alias("coef_distance"),
         _r("canary_before").alias("canary_before"), _r("canary_after").alias("canary_after"),
@@ -943,37 +947,60 @@ def session_model_updates(spark, sf_dir):
     )
 
 
+def _with_resets(log: DataFrame) -> DataFrame:
+    """Very low values stand for a reset by the user."""
+    return log.withColumn("event_type", F.when(F.col("value") < 1.0, "reset").otherwise(F.col("event_type")))
+
+
+@query
+def session_update_history(spark, sf_dir):
+    """The trace of a log with resets, update lines included."""
+    log = _with_resets(V.feedback(spark, sf_dir))
+    found = materialise(guarded_updates(spark, sf_dir, pairs_with_model_columns(spark, sf_dir), log))
+    trace = updates.with_update_lines(sessions.adapt(log), found)
+    return trace.select("session_id", "event_id", "history")
+
+
 @query
 def replay_calibrated(spark, sf_dir):
-    """Every logged event as a trial: the session's policy before the event
-    decides on the event's query, next to the static policy."""
+    """Every logged event as a trial, decided by three policies side by side: the static
+    one, the session's calibrated one as it stood before the event, and the calibrated
+    one with the scores of the session's own model as it stood before the event."""
     n = V.questions(spark, sf_dir).count()
-    states = materialise(calibrated(spark, sf_dir).select("session_id", "event_id", "k", "before"))
+    log = V.feedback(spark, sf_dir)
+    pairs = pairs_with_model_columns(spark, sf_dir)
+    wanted = V.evidence(spark, sf_dir).select("query_id", "chunk_id").withColumn("relevant", F.lit(1))
+    pairs = materialise(pairs.join(wanted, ["query_id", "chunk_id"], "left"))
+    found = guarded_updates(spark, sf_dir, pairs, log)
+    states = calibrated(spark, sf_dir).select("session_id", "ts", "event_id", "policy_shift", "k", "before")
+    states = materialise(updates.weights_before(states, materialise(found), STATED_MODEL))
     asked = states.withColumn("query_id", F.pmod("k", F.lit(n)))
     static = F.struct(
         F.lit("static").alias("policy"), F.lit(0.5).alias("threshold"), F.lit(2).alias("min_context"),
-        F.lit(2000).alias("token_budget"),
-    )
-    moving = F.struct(
-        F.lit("calibrated").alias("policy"), F.col("before.threshold").alias("threshold"),
-        F.col("before.min_context").alias("min_context"), F.col("before.token_budget").alias("token_budget"),
-    )
-    runs = asked.select("session_id", "event_id", "query_id", F.inline(F.array(static, moving)))
-    # Calibration moves on a grid, so many trials share query and policy: decide
-    # once per combination and hand the figures to its trials.
-    combination = ["query_id", "threshold", "min_context", "token_budget"]
-    pairs = scored(spark, sf_dir)
-    sets = runs.select(*combination).distinct().join(
+        F.lit(2000).alias("token_budget"), F.array(*map(F.lit, STATED_MODEL.vector())).alias("weights"),
+    )
+    own = [F.col(f"before.{c}").alias(c) for c in ("threshold", "min_context", "token_budget")]
+    moving = F.struct(F.lit("calibrated").alias("policy"), *own, static["weights"].alias("weights"))
+    learned = F.struct(F.lit("calibrated_updated").alias("policy"), *own, F.col("weights").alias("weights"))
+    runs = asked.select("session_id", "event_id", "query_id", F.inline(F.array(static, moving, learned)))
+    # Calibration moves on a grid and most sessions share weights: decide once per
+    # combination and hand the figures to its trials.
+    runs = runs.withColumn("model", F.md5(F.to_json("weights")))
+    combination = ["query_id", "threshold", "min_context", "token_budget", "model"]
+    sets = runs.groupBy(*combination).agg(F.any_value("weights").alias("weights")).join(
         broadcast_if(fits_broadcast(pairs, "chunk_id"), pairs), "query_id"
     )
-    decided = rules.apply_rules(sets, combination)
-    figures = decided.groupBy(*combination).agg(
-        F.count(F.when(F.col("kept"), 1)).alias("kept_chunks"),
-        _long(F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))), F.lit(0))).alias("retained_tokens"),
+    scored_sets = sets.withColumn("score", updates.score_with(F.col("weights"), F.col("x"))).drop("weights", "x")
+    decided = rules.apply_rules(scored_sets, combination)
+    kept = decided.filter("kept").groupBy(*combination).agg(
+        F.count("*").alias("kept_chunks"), _long(F.sum("tokens")).alias("retained_tokens"),
+        _long(F.coalesce(F.sum("relevant"), F.lit(0))).alias("relevant_retained"),
     )
-    figures = materialise(figures)
-    return runs.join(broadcast_if(fits_broadcast(figures), figures), combination).select(
-        "session_id", "event_id", "policy", "kept_chunks", "retained_tokens"
+    totals = wanted.groupBy("query_id").agg(F.count("*").alias("relevant_total"))
+    kept = materialise(kept.join(broadcast_if(fits_broadcast(totals), totals), "query_id", "left"))
+    total = F.coalesce("relevant_total", F.lit(0).cast("long"))
+    recall = F.when(total > 0, F.col("relevant_retained") / total).otherwise(F.lit(1.0))
+    return runs.drop("weights").join(broadcast_if(fits_broadcast(kept), kept), combination).select(
+        "session_id", "event_id", "policy", "kept_chunks", "retained_tokens",
+        total.alias("relevant_total"), "relevant_retained", _r(recall).alias("recall"),
     )
-
-

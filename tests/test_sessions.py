@@ -1,12 +1,10 @@
 import datetime as dt
 import random
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from gleaner.operators import sessions as s
-from gleaner.operators.scoring import LogisticModel, Scaler
 from gleaner.streaming.sessions import calibrate_stream, next_policy
 
 START = dt.datetime(2024, 1, 1)
@@ -83,38 +81,6 @@ def test_attribution_and_history(spark):
         s.attribute(df.withColumn("event_type", F.lit("odd"))).collect()
 
 
-def test_guarded_update():
-    rng = np.random.default_rng(0)
-    base = np.array([3.0] + [0.0] * 12 + [0.0])
-    good = np.zeros((8, 13))
-    good[:, 0] = 1.0
-    w, info = s.propose_update(base, base, good[:4], [1.0] * 4, [1.0] * 4, good)
-    assert info["accepted"] and 0 < info["coef_distance"] <= 3.0 and not np.array_equal(w, base)
-    w = base
-    for _ in range(400):  # hostile labels: bounded, and rejected without a trace
-        new, info = s.propose_update(w, base, good[:6], [0.0] * 6, [1.0] * 6, good)
-        if not info["accepted"]:
-            assert np.array_equal(new, w)
-        w = new
-    assert not info["accepted"] and s.recall_on(w, good) >= 0.5 and np.linalg.norm(w - base) <= 3.0
-    _, info = s.propose_update(base, base, [], [], [], rng.normal(size=(0, 13)))
-    assert not info["accepted"] and info["canary_before"] == 1.0
-
-
-def test_session_updates(spark):
-    model = LogisticModel(Scaler((0.0,) * 9, (1.0,) * 9), (3.0,) + (0.0,) * 12, 0.0)
-    x = [1.0] + [0.0] * 12
-    rows = [(sid, START + dt.timedelta(minutes=i), i, "none", x, True, 1.0, "explicit_user_mark") for sid in (1, 2) for i in range(5)]
-    rows += [(1, START + dt.timedelta(minutes=9), 9, "reset", None, None, None, None)]
-    rows += [(1, START + dt.timedelta(minutes=10), 10, "none", x, True, 1.0, "explicit_user_mark")]
-    rows += [(3, START, 0, "none", None, True, 1.0, "explicit_user_mark")]
-    df = spark.createDataFrame(rows, "session_id long, ts timestamp, event_id long, policy_shift string, x array<double>, relevant boolean, weight double, provenance string")
-    got = {(r.session_id, r.event_id): r for r in s.session_updates(df, model, [x]).collect()}
-    assert len(got) == 11 and all(r.accepted for r in got.values())
-    assert got[1, 4].weights == got[2, 4].weights and got[1, 4].accepted_updates == 5
-    assert got[1, 10].weights == got[2, 0].weights and got[1, 10].accepted_updates == 1
-
-
 def test_stream_equals_batch(spark, tmp_path):
     rng = random.Random(8)
     kinds = ["more_conservative", "more_aggressive", "more_aggressive", "none"]
