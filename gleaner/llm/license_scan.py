@@ -166,17 +166,23 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     """
     spark = docs.sparkSession
     templates = _templates(spark)
-    wordings = F.array(*[F.struct(F.lit(f).alias("family"), _bigrams(_words(F.lit(w))).alias("grams")) for f, w in TEMPLATES])
+    pairs_of = {(r["family"], r["wording"]): r["pairs"] for r in templates.select("family", "wording", _bigrams(F.col("words")).alias("pairs")).collect()}
+    wordings = F.array(
+        *[F.struct(F.lit(f).alias("family"), F.array(*map(F.lit, pairs_of[f, w])).alias("grams")) for f, w in TEMPLATES]
+    )
     lines = _paragraphs(docs, id_col, text_col).filter(F.size("words") > 0)
     # One aggregate of the table: how many paragraphs there are.
     breaks = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
     total = docs.agg(F.coalesce(F.sum(breaks), F.lit(0)).alias("n")).first()["n"]
     drawn = lines.filter(F.pmod(F.xxhash64("key", "paragraph"), F.lit(max(1, total))) < sample)
-    drawn = drawn.select(F.xxhash64("key", "paragraph").alias("place"), F.slice("words", 1, WINDOW).alias("words"))
-    shares = F.transform("all", lambda t: F.struct(
-        (F.size(F.array_intersect(t["grams"], _bigrams(F.col("words")))) / F.size(t["grams"])).alias("share"), t["family"].alias("family")
+    # Written, so that the words of a line are cut once and not for every template; their
+    # bigrams are bound for the same reason.
+    drawn = materialise(drawn.select(F.xxhash64("key", "paragraph").alias("place"), F.slice("words", 1, WINDOW).alias("words")))
+    shares = lambda pairs: F.transform(wordings, lambda t: F.struct(
+        (F.size(F.array_intersect(t["grams"], pairs)) / F.size(t["grams"])).alias("share"), t["family"].alias("family")
     ))
-    judged = drawn.withColumn("all", wordings).withColumn("best", F.array_max(shares))
+    best = F.get(F.transform(F.array(_bigrams(F.col("words"))), lambda pairs: F.array_max(shares(pairs))), 0)
+    judged = drawn.withColumn("best", best)
     label = F.when(F.col("best.share") >= LABELLED, F.col("best.family")).when(F.col("best.share") < 0.5, F.lit(UNKNOWN))
     negatives = judged.select("place", "words", label.alias("family")).filter("family is not null")
     copies = templates.select("family", "words", F.explode(F.sequence(F.lit(0), F.lit(COPIES - 1))).alias("copy"))
