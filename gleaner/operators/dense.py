@@ -3,24 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.stat import Summarizer
+from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
+from pyspark.ml.linalg import DenseVector
+from pyspark.mllib.linalg.distributed import RowMatrix
+from pyspark.mllib.util import MLUtils
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleaner.config import RETRIEVAL_TOP_K
-from gleaner.operators.retrieval import (
-    SCORE_DIGITS,
-    TfidfModel,
-    _with_idf,
-    chunk_terms,
-    fit,
-    query_vectors,
-    top_k,
-)
+from gleaner.functions.text import retrieval_terms
+from gleaner.operators.retrieval import SCORE_DIGITS, top_k
 from gleaner.plans.sizing import materialise
 
 QUERY_BLOCK = 1024
@@ -113,115 +109,64 @@ def _block_best(q_ids: np.ndarray, q_unit: np.ndarray, frame: pd.DataFrame, k: i
 
 # --- latent vectors ---------------------------------------------------------
 
+# Terms share so many hashed columns, so the basis is bounded whatever the vocabulary.
+COLUMNS = 1 << 16
 
-def _rotated(column: str, matrix: np.ndarray):
-    """``column @ matrix`` row by row, in Arrow batches."""
 
-    @F.pandas_udf("array<double>")
-    def turn(rows: pd.Series) -> pd.Series:
-        return pd.Series(list(_matrix(rows) @ matrix)) if len(rows) else pd.Series([], dtype=object)
-
-    return turn(F.col(column))
-
-
-def _gram(rows: DataFrame, width: int) -> np.ndarray:
-    """Sum of outer products of the column ``y``: each task sends width^2 sums."""
-
-    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((width, width))
-        for frame in batches:
-            if len(frame):
-                m = _matrix(frame["y"])
-                total += m.T @ m
-        yield pd.DataFrame({"i": np.arange(width * width), "g": total.ravel()})
-
-    sums = rows.select("y").mapInPandas(partial, "i int, g double").groupBy("i").agg(F.sum("g").alias("g"))
-    gram = np.zeros(width * width)
-    for row in sums.collect():  # width^2 rows
-        gram[row["i"]] = row["g"]
-    return gram.reshape(width, width)
-
-
-def _whitening(rows: DataFrame, width: int) -> np.ndarray:
-    """The matrix that turns the columns of ``y`` into an orthonormal set."""
-    values, basis = np.linalg.eigh(_gram(rows, width))
-    keep = values > max(values.max(), 0.0) * 1e-12
-    return basis[:, keep] / np.sqrt(values[keep])
-
-
-def _multiply(weights: DataFrame, by: str, side: DataFrame, to: str) -> DataFrame:
-    """Sparse matrix ``weights(chunk_id, term, w)`` times rows ``side(by, x)``:
-    an equi-join and a grouped weighted vector sum, giving ``to, y``."""
-    joined = weights.join(side, by).select(to, "w", array_to_vector("x").alias("x"))
-    total = Summarizer.sum(F.col("x"), F.col("w"))
-    return joined.groupBy(to).agg(vector_to_array(total).alias("y"))
-
-
-def latent_space(
-    chunks: DataFrame,
-    model: TfidfModel | None = None,
-    components: int = 50,
-    oversample: int = 10,
-    iterations: int = 5,
-) -> tuple[DataFrame, DataFrame]:
-    """Truncated SVD of the TF-IDF matrix by randomised subspace iteration.
-
-    Returns (chunk vectors ``chunk_id, vector``, term basis ``term, x``).  The
-    matrix stays a table of weights; each pass is a join and a grouped sum, and
-    the driver sees small Gram matrices only.  Components are bounded by
-    vocabulary - 1 and chunks - 1.
+@dataclass(frozen=True)
+class LatentSpace:
+    """Right singular vectors of the hashed TF-IDF matrix, and the weights they stand on."""
+
+    idf: DenseVector
+    basis: np.ndarray  # columns x components
+
+
+def _hashed(texts: DataFrame, columns: int) -> DataFrame:
+    """``texts`` (key, text) with the term counts of each text in a sparse vector."""
+    split = texts.withColumn("_terms", retrieval_terms(F.coalesce("text", F.lit(""))))
+    return HashingTF(inputCol="_terms", outputCol="_tf", numFeatures=columns).transform(split).drop("_terms", "text")
+
+
+def _weighted(counted: DataFrame, idf: DenseVector) -> DataFrame:
+    """Unit TF-IDF vectors ``_u``."""
+    weights = ElementwiseProduct(scalingVec=idf, inputCol="_tf", outputCol="_w").transform(counted)
+    return Normalizer(inputCol="_w", outputCol="_u").transform(weights).drop("_tf", "_w")
+
+
+def fit_latent(chunks: DataFrame, components: int = 50, columns: int = COLUMNS) -> LatentSpace:
+    """Truncated SVD of the TF-IDF matrix of ``chunks`` (chunk_id, text) by Spark's decomposition.
+
+    Components are bounded by the columns in use - 1 and chunks - 1.
     """
-    model = model or fit(chunks)
-    raw = _with_idf(chunk_terms(chunks), model, model.vocabulary).select(
-        "chunk_id", "term", (F.col("tf") * F.col("idf")).alias("w")
-    )
-    norms = raw.groupBy("chunk_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("_n"))
-    weights = materialise(
-        raw.join(norms, "chunk_id").select("chunk_id", "term", (F.col("w") / F.col("_n")).alias("w"))
-    )
-    n_terms, n_chunks = model.vocabulary.count(), chunks.count()
-    wanted = max(1, min(components, n_terms - 1, n_chunks - 1))
-    width = max(1, min(wanted + oversample, n_terms, n_chunks))
-    # A reproducible random start: hashed normal numbers per term.
-    unit = lambda tag, j: (
-        F.pmod(F.xxhash64(F.lit(tag), j, F.col("term")), F.lit(1 << 30)) + 1
-    ) / float((1 << 30) + 1)
-    normal = lambda j: F.sqrt(-2 * F.log(unit("r", j))) * F.cos(2 * np.pi * unit("a", j))
-    basis = model.vocabulary.select(
-        "term", F.transform(F.sequence(F.lit(0), F.lit(width - 1)), normal).alias("x")
-    )
-    for _ in range(iterations):
-        by_chunk = materialise(_multiply(weights, "term", basis, "chunk_id"))
-        turn = _whitening(by_chunk, width)
-        turned = by_chunk.select("chunk_id", _rotated("y", turn).alias("x"))
-        by_term = materialise(_multiply(weights, "chunk_id", turned, "term"))
-        turn = _whitening(by_term, turn.shape[1])
-        width = turn.shape[1]
-        basis = materialise(by_term.select("term", _rotated("y", turn).alias("x")))
-    by_chunk = materialise(_multiply(weights, "term", basis, "chunk_id"))
-    # Rotate to singular directions: eigenvectors of the small Gram matrix.
-    values, vectors = np.linalg.eigh(_gram(by_chunk, width))
-    turn = vectors[:, np.argsort(-values)[:wanted]]
-    packed = by_chunk.select("chunk_id", _rotated("y", turn).alias("vector"))
-    term_basis = basis.select("term", _rotated("x", turn).alias("x"))
-    # A chunk without an indexable term is the zero vector.
-    zero = F.array(*[F.lit(0.0)] * turn.shape[1])
-    every = chunks.select("chunk_id").join(packed, "chunk_id", "left")
-    return every.select("chunk_id", F.coalesce("vector", zero).alias("vector")), term_basis
-
-
-def latent_retrieve(
-    queries: DataFrame, chunks: DataFrame, k: int = RETRIEVAL_TOP_K, components: int = 50, iterations: int = 5
-) -> DataFrame:
+    counted = materialise(_hashed(chunks.select("chunk_id", "text"), columns))
+    if counted.isEmpty():
+        return LatentSpace(DenseVector(np.ones(columns)), np.zeros((columns, 1)))
+    fitted = IDF(inputCol="_tf", outputCol="_w").fit(counted)
+    # Spark's idf is ln((1+n)/(1+df)); the retrieval weights add one.
+    idf = DenseVector(fitted.idf.toArray() + 1.0)
+    used, n_chunks = int((np.asarray(fitted.docFreq) > 0).sum()), int(fitted.numDocs)
+    wanted = min(components, used - 1, n_chunks - 1)
+    if wanted < 1:
+        return LatentSpace(idf, np.zeros((columns, 1)))
+    rows = MLUtils.convertVectorColumnsFromML(_weighted(counted, idf).select("_u"), "_u")
+    found = RowMatrix(rows.rdd.map(lambda r: r[0]), n_chunks, columns).computeSVD(wanted)
+    return LatentSpace(idf, found.V.toArray())
+
+
+def latent_vectors(space: LatentSpace, texts: DataFrame, key: str) -> DataFrame:
+    """``key, vector``: texts in the latent space; a text without an indexable term is the zero vector."""
+    basis = texts.sparkSession.sparkContext.broadcast(space.basis)
+
+    @F.pandas_udf("array<double>")
+    def project(indices: pd.Series, values: pd.Series) -> pd.Series:
+        return pd.Series([v @ basis.value[i] for i, v in zip(indices, values, strict=True)], dtype=object)
+
+    unit = _weighted(_hashed(texts.select(key, "text"), space.basis.shape[0]), space.idf)
+    return unit.select(key, F.unwrap_udt("_u").alias("_p")).select(key, project("_p.indices", "_p.values").alias("vector"))
+
+
+def latent_retrieve(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVAL_TOP_K, components: int = 50) -> DataFrame:
     """Top ``k`` by cosine in the latent space."""
-    model = fit(chunks)
-    vectors, basis = latent_space(chunks, model, components, iterations=iterations)
-    asked = query_vectors(queries, model).withColumnRenamed("qw", "w")
-    projected = _multiply(asked, "term", basis, "query_id")
-    width = F.size(F.col("vector"))
-    known = queries.select("query_id").join(
-        projected.select("query_id", F.col("y").alias("vector")), "query_id", "left"
-    )
-    zero = F.array_repeat(F.lit(0.0), vectors.select(F.max(width)).scalar())
-    q = known.select("query_id", F.coalesce("vector", zero).alias("vector"))
-    return cosine_top_k(q, vectors, k)
+    space = fit_latent(chunks, components)
+    asked = latent_vectors(space, queries.select("query_id", F.col("query_text").alias("text")), "query_id")
+    return cosine_top_k(asked, latent_vectors(space, chunks, "chunk_id"), k)

@@ -6,15 +6,20 @@ through the term join; it is fetched again for the k winners of each query.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.config import RETRIEVAL_TOP_K
 from gleaner.functions.text import retrieval_terms, term_counts
 from gleaner.plans.sizing import (
+    MAX_BROADCAST_BYTES,
     MAX_BROADCAST_ROWS,
     broadcast_if,
     fits_broadcast,
@@ -32,6 +37,10 @@ MAX_HOT_TERM_BYTES = 256
 # Rows of one term that a task joins with the queries asking for it.
 SALT_ROWS = 1_000_000
 
+# Queries that are scored at once, and chunks that meet them at once.
+QUERY_BLOCK = 1024
+CHUNK_BLOCK = 2048
+
 _COUNT_ROW = ""  # no term is empty, so this row of the vocabulary counts chunks
 
 
@@ -45,28 +54,18 @@ class TfidfModel:
     hot_terms: int  # otherwise this many most frequent terms are broadcast
 
 
-def chunk_terms(chunks: DataFrame, scope: Sequence[str] = ()) -> DataFrame:
-    """``scope..., chunk_id, term, tf`` with one row per distinct term of a chunk.
-
-    Counted inside the row: narrow, no shuffle.  The outer form of ``inline``
-    keeps the optimizer from inferring a filter that counts a second time."""
-    counted = chunks.select(
-        *scope, "chunk_id", term_counts(retrieval_terms(F.col("text"))).alias("_t")
-    ).select(*scope, "chunk_id", F.inline_outer("_t"))
-    return counted.filter(F.col("term").isNotNull())
-
-
 def fit(
     chunks: DataFrame,
     scope: Sequence[str] = (),
     broadcast_terms: int = MAX_BROADCAST_ROWS,
+    refuse_empty: bool = False,
 ) -> TfidfModel:
     """Document frequencies with smooth idf ``ln((1+n)/(1+df))+1`` per scope.
 
     One pass over the text; a term repeated in many chunks is combined on the map
-    side.  The chunk count of a scope rides along under an empty term.
+    side.  The chunk count of a scope rides along under an empty term.  With
+    ``refuse_empty`` a corpus without any indexable term raises.
     """
-    scope = tuple(scope)
     occurrences = chunks.select(
         *scope,
         F.explode_outer(
@@ -75,31 +74,83 @@ def fit(
             )
         ).alias("term"),
     )
+    return _model(occurrences, tuple(scope), broadcast_terms, refuse_empty)
+
+
+def _model(occurrences: DataFrame, scope: tuple[str, ...], broadcast_terms: int, refuse_empty: bool) -> TfidfModel:
+    """The vocabulary of (scope..., term) rows, one empty term per chunk among them."""
     df = materialise(occurrences.groupBy(*scope, "term").agg(F.count("*").alias("df")))
     is_count = F.col("term") == _COUNT_ROW
+    # One aggregate of the counts tells whether they fit, and whether there are any.
+    size = df.agg(
+        F.count("*").alias("rows"),
+        F.coalesce(F.sum(F.octet_length("term") + 64), F.lit(0)).alias("bytes"),
+        F.count(F.when(~is_count, 1)).alias("terms"),
+        F.max(F.when(is_count, F.col("df"))).alias("chunks"),
+    ).first()
+    if refuse_empty and not size["terms"]:
+        raise ValueError("no chunk holds an indexable term")
     if scope:
         totals = df.filter(is_count).select(*scope, F.col("df").alias("_n"))
         counted = df.filter(~is_count).join(totals, list(scope))
     else:
-        row = df.filter(is_count).first()
-        counted = df.filter(~is_count).withColumn("_n", F.lit(row["df"] if row else 0))
+        counted = df.filter(~is_count).withColumn("_n", F.lit(size["chunks"] or 0))
     vocabulary = counted.select(
         *scope, "term", "df", (F.log((1 + F.col("_n")) / (1 + F.col("df"))) + 1).alias("idf")
     )
     return TfidfModel(
         vocabulary=vocabulary,
         scope=scope,
-        small=fits_broadcast(df, "term", max_rows=broadcast_terms),
+        small=size["rows"] <= broadcast_terms and size["bytes"] <= MAX_BROADCAST_BYTES,
         hot_terms=min(broadcast_terms, 100_000),
     )
 
 
-def fit_or_raise(chunks: DataFrame, scope: Sequence[str] = ()) -> TfidfModel:
-    """As :func:`fit`, refusing an empty corpus or an empty vocabulary."""
-    model = fit(chunks, scope)
-    if model.vocabulary.isEmpty():
-        raise ValueError("no chunk holds an indexable term")
-    return model
+@dataclass(frozen=True)
+class Postings:
+    """A corpus as retrieval reads it: numbered chunks with their counted terms, no text."""
+
+    chunks: DataFrame  # scope..., chunk_no, chunk_id, terms: array of (term, tf); other columns
+    model: TfidfModel
+
+    @property
+    def rows(self) -> DataFrame:
+        """``scope..., chunk_no, term, tf``; the outer ``inline`` keeps a filter from being inferred."""
+        posted = self.chunks.select(*self.model.scope, "chunk_no", F.inline_outer("terms"))
+        return posted.filter(F.col("term").isNotNull())
+
+    @property
+    def norms(self) -> DataFrame:
+        """``scope..., chunk_no, norm``; the rows of a chunk lie together, so they are summed before the shuffle."""
+        weight = F.col("tf") * F.col("idf")
+        weighted = _with_idf(self.rows, self.model, self.model.vocabulary)
+        return weighted.groupBy(*self.model.scope, "chunk_no").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+
+
+def count_terms(chunks: DataFrame, *keep: str) -> DataFrame:
+    """Chunks with ``chunk_no`` and ``terms`` instead of their text, written once."""
+    counted = chunks.select("chunk_id", *keep, term_counts(retrieval_terms(F.col("text"))).alias("terms"))
+    return materialise(counted.withColumn("chunk_no", F.monotonically_increasing_id()))
+
+
+def post(
+    counted: DataFrame,
+    scope: Sequence[str] = (),
+    model: TfidfModel | None = None,
+    refuse_empty: bool = False,
+) -> Postings:
+    """The vocabulary over counted chunks (``count_terms``), without reading any text."""
+    scope = tuple(scope)
+    if model is None:
+        each = F.concat(F.array(F.lit(_COUNT_ROW)), F.transform("terms", lambda t: t["term"]))
+        occurrences = counted.select(*scope, F.explode_outer(each).alias("term"))
+        model = _model(occurrences, scope, MAX_BROADCAST_ROWS, refuse_empty)
+    return Postings(counted, model)
+
+
+def index(chunks: DataFrame, scope: Sequence[str] = (), model: TfidfModel | None = None) -> Postings:
+    """``chunks`` (scope..., chunk_id, text) in one pass over the text."""
+    return post(count_terms(chunks, *scope), scope, model)
 
 
 def _with_idf(pairs: DataFrame, model: TfidfModel, vocabulary: DataFrame) -> DataFrame:
@@ -128,13 +179,13 @@ def _with_idf(pairs: DataFrame, model: TfidfModel, vocabulary: DataFrame) -> Dat
 
 
 def query_vectors(queries: DataFrame, model: TfidfModel) -> DataFrame:
-    """``scope..., query_id, term, df, qw``: unit query vectors over known terms."""
+    """``scope..., query_id, term, df, idf, qw``: unit query vectors over known terms."""
     counts = queries.select(
         *model.scope, "query_id", term_counts(retrieval_terms(F.col("query_text"))).alias("_t")
     ).select(*model.scope, "query_id", F.inline("_t"))
     on = [*model.scope, "term"]
     weighted = counts.join(model.vocabulary, on).select(
-        *model.scope, "query_id", "term", "df", (F.col("tf") * F.col("idf")).alias("w")
+        *model.scope, "query_id", "term", "df", "idf", (F.col("tf") * F.col("idf")).alias("w")
     )
     per_query = Window.partitionBy(*model.scope, "query_id")
     return weighted.select(
@@ -142,17 +193,23 @@ def query_vectors(queries: DataFrame, model: TfidfModel) -> DataFrame:
         "query_id",
         "term",
         "df",
+        "idf",
         (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(per_query))).alias("qw"),
     )
 
 
+def _steps(score: Column) -> Column:
+    """The score counted in its last compared digit; decimal rounding of doubles is slow."""
+    return F.floor(score * 10.0**SCORE_DIGITS + 0.5)
+
+
 def top_k(scored: DataFrame, k: int, keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """Best ``k`` per key by (score desc, chunk_id), ranks from 0.
 
     Planned as a window group limit: every task keeps k rows per key before the
     shuffle."""
     best_first = Window.partitionBy(*keys).orderBy(
-        F.round("score", SCORE_DIGITS).desc(), F.col("chunk_id")
+        _steps(F.col("score")).desc(), F.col("chunk_id")
     )
     return (
         scored.withColumn("_r", F.row_number().over(best_first))
@@ -218,71 +275,145 @@ def _pad(
 
 def scores(
     queries: DataFrame,
-    chunks: DataFrame,
-    model: TfidfModel,
+    postings: Postings,
     max_broadcast_rows: int = MAX_BROADCAST_ROWS,
     salt_rows: int = SALT_ROWS,
 ) -> DataFrame:
-    """Cosine of every (query, chunk) pair that shares a term.
+    """Cosine of every (query, chunk) pair that shares a term: scope..., chunk_no, query_id, score.
 
     A query side within the broadcast bound meets the postings where they are.
     Beyond it both sides are shuffled by term, and a term found in many chunks is
     split into parts of about ``salt_rows`` postings, its query rows being
     repeated for every part.
     """
-    scope = list(model.scope)
+    scope = list(postings.model.scope)
     on = [*scope, "term"]
-    vectors = materialise(query_vectors(queries, model))
+    vectors = materialise(query_vectors(queries, postings.model))
+    rows = postings.rows
     small_queries = fits_broadcast(vectors, "term", max_rows=max_broadcast_rows)
-    asked = vectors.select(*on).distinct().withColumn("_asked", F.lit(True))
-    vocabulary = model.vocabulary.join(broadcast_if(small_queries, asked), on, "left")
-
-    # One pass over the text gives both the norm of each chunk and its weights
-    # for the terms some query asks for; all rows of a chunk come from one task.
-    weight = F.col("tf") * F.col("idf")
-    per_chunk = (
-        _with_idf(chunk_terms(chunks, scope), model, vocabulary)
-        .groupBy(*scope, "chunk_id")
-        .agg(
-            F.sqrt(F.sum(weight * weight)).alias("_norm"),
-            F.collect_list(
-                F.when(F.col("_asked"), F.struct("term", "df", weight.alias("w")))
-            ).alias("_w"),
-        )
-        .filter(F.size("_w") > 0)
-    )
-    postings = per_chunk.select(*scope, "chunk_id", "_norm", F.inline("_w"))
     if not small_queries:
         parts = F.ceil(F.col("df") / salt_rows).cast("int")
-        postings = postings.withColumn("_part", F.pmod(F.xxhash64("chunk_id"), parts).cast("int"))
+        terms = vectors.select(*on, parts.alias("_parts")).distinct()
+        rows = _with_parts(rows, terms, on).withColumn("_part", F.pmod(F.xxhash64("chunk_no"), F.col("_parts")).cast("int"))
         vectors = vectors.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1)))
         on = [*on, "_part"]
-    postings, vectors = postings.drop("df"), vectors.drop("df")
-    # Grouping by chunk first: the rows are already partitioned by chunk, so with
-    # broadcast queries this aggregate needs no further exchange.
-    return (
-        postings.join(broadcast_if(small_queries, vectors), on)
-        .groupBy(*scope, "chunk_id", "query_id")
-        .agg((F.sum(F.col("w") * F.col("qw")) / F.first("_norm")).alias("score"))
+    asked = vectors.select(*on, "query_id", (F.col("idf") * F.col("qw")).alias("_w"))
+    dots = (
+        rows.join(broadcast_if(small_queries, asked), on)
+        .groupBy(*scope, "chunk_no", "query_id")
+        .agg(F.sum(F.col("tf") * F.col("_w")).alias("_dot"))
     )
+    return dots.join(postings.norms, [*scope, "chunk_no"]).select(
+        *scope, "chunk_no", "query_id", (F.col("_dot") / F.col("norm")).alias("score")
+    )
+
+
+def _with_parts(rows: DataFrame, terms: DataFrame, on: list[str]) -> DataFrame:
+    """Postings of asked terms with their number of parts.
+
+    Terms that fit a broadcast take out all other postings before the shuffle.  Of more
+    terms only the hot ones, few by nature, are looked up; the rest has one part and is
+    left to the join that follows.
+    """
+    if fits_broadcast(terms, "term"):
+        return rows.join(F.broadcast(terms), on)
+    hot = terms.filter("_parts > 1")
+    found = rows.join(broadcast_if(fits_broadcast(hot, "term"), hot), on, "left")
+    return found.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+
+
+def _best_in_task(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query in each task: scope..., chunk_id, query_id, score.
+
+    For a bounded vocabulary and a bounded block of queries.  A batch of chunks is
+    multiplied with all queries at once and no (query, chunk) pair leaves the task
+    unless it is among the k best there, ties going to the smaller id.
+    """
+    scope = list(postings.model.scope)
+    join = lambda term: F.concat_ws("\x1f", *[F.col(s).cast("string") for s in scope], term) if scope else term
+    known = postings.model.vocabulary.select(join(F.col("term")).alias("term"), "idf").toArrow()
+    asked = vectors.select(join(F.col("term")).alias("term"), *scope, "query_id", (F.col("idf") * F.col("qw")).alias("w")).toArrow()
+    queries, of_query = np.unique(asked["query_id"].to_numpy(zero_copy_only=False), return_inverse=True)
+    scopes = {q: tuple(asked[s][i].as_py() for s in scope) for i, q in enumerate(of_query.tolist())}
+    place = pc.index_in(asked["term"], value_set=known["term"].combine_chunks()).to_numpy()
+    order = np.argsort(place, kind="stable")
+    shipped = postings.chunks.sparkSession.sparkContext.broadcast((
+        known["term"].combine_chunks(), known["idf"].to_numpy(), np.searchsorted(place[order], np.arange(len(known) + 1)),
+        of_query[order], asked["w"].to_numpy()[order],
+    ))
+
+    def score(ids: pa.Array, terms: pa.Array, counts: pa.Array, sizes: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+        vocabulary, idf, starts, query, weight = shipped.value
+        at = pc.index_in(terms, value_set=vocabulary)
+        at = at.to_numpy(zero_copy_only=False).astype(np.int64)  # every term is in the vocabulary
+        tf, chunk = counts.to_numpy().astype(float), np.repeat(np.arange(len(sizes)), sizes)
+        norm = np.sqrt(np.bincount(chunk, (tf * idf[at]) ** 2, len(sizes)).astype(float))
+        times = starts[at + 1] - starts[at]
+        hit = np.repeat(np.arange(len(at)), times)
+        slot = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[at], times)
+        width = len(queries)
+        dots = np.bincount(chunk[hit] * width + query[slot], tf[hit] * weight[slot], len(sizes) * width).reshape(-1, width).astype(float)
+        scores = np.divide(dots, norm[:, None], out=np.zeros_like(dots), where=norm[:, None] > 0)
+        steps = np.floor(scores * 10.0**SCORE_DIGITS + 0.5)
+        least = np.maximum(bounds, np.partition(steps, len(steps) - k, axis=0)[len(steps) - k] if len(steps) > k else 0)
+        row, column = np.nonzero((steps >= least) & (dots > 0))
+        return pd.DataFrame({"q": column, "step": steps[row, column], "score": scores[row, column], "chunk_id": ids.take(pa.array(row)).to_pandas()})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bounds = None, np.zeros(len(queries))
+        for batch in batches:
+            for cut in range(0, batch.num_rows, CHUNK_BLOCK):
+                part = batch.slice(cut, CHUNK_BLOCK)
+                listed = part.column("terms")
+                flat = listed.flatten()
+                found = score(part.column("chunk_id"), flat.field("term"), flat.field("tf"), pc.list_value_length(listed).to_numpy(zero_copy_only=False), bounds)
+                held = found if held is None else pd.concat([held, found], ignore_index=True)
+                held = held.sort_values(["q", "step", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
+                full = held.groupby("q")["step"].agg(["size", "min"])
+                full = full[full["size"] >= k]
+                bounds[full.index.to_numpy()] = full["min"].to_numpy()
+        if held is not None and len(held):
+            columns = [pa.array([scopes[q][i] for q in held["q"]], type=asked[s].type) for i, s in enumerate(scope)]
+            columns += [pa.array(held["chunk_id"]), pa.array(queries[held["q"]], type=asked["query_id"].type), pa.array(held["score"])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*scope, "chunk_id", "query_id", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *postings.chunks.schema]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*scope, "chunk_id", "query_id")) + ", score double"
+    keyed = F.transform("terms", lambda t: t.withField("term", join(t["term"]))) if scope else F.col("terms")
+    return postings.chunks.select("chunk_id", keyed.alias("terms")).mapInArrow(run, schema)
 
 
 def retrieve(
     queries: DataFrame,
-    chunks: DataFrame,
+    chunks: DataFrame | Postings,
     k: int = RETRIEVAL_TOP_K,
     model: TfidfModel | None = None,
     scope: Sequence[str] = (),
+    query_block: int = QUERY_BLOCK,
 ) -> DataFrame:
     """Top ``k`` chunks per query: ``scope..., query_id, chunk_id, score, rank``.
 
-    A query always gets k rows when the corpus has k chunks: zero-score chunks
-    fill the remaining places in id order.
+    ``chunks`` with text, or their postings.  A query always gets k rows when the corpus
+    has k chunks: zero-score chunks fill the remaining places in id order.  Up to
+    ``query_block`` queries over a vocabulary that fits are scored where the chunks lie;
+    beyond, terms are joined (:func:`scores`).
     """
-    model = model or fit(chunks, scope)
-    hits = top_k(scores(queries, chunks, model), k, [*model.scope, "query_id"])
-    ranked = _pad(queries, hits, chunks, k, model.scope)
-    return ranked.select(*model.scope, "query_id", "chunk_id", "score", "rank")
+    postings = chunks if isinstance(chunks, Postings) else index(chunks, model.scope if model else scope, model)
+    scope = postings.model.scope
+    keys = [*scope, "query_id"]
+    vectors = materialise(query_vectors(queries, postings.model))
+    few = vectors.select("query_id").distinct().count() <= query_block and fits_broadcast(vectors, "term")
+    if postings.model.small and few:
+        hits = top_k(_best_in_task(postings, vectors, k), k, keys)
+    else:
+        # Pairs travel by number; ids are fetched for the best k scores of a query, ties
+        # included, and break the ties.
+        best = Window.partitionBy(*keys).orderBy(_steps(F.col("score")).desc())
+        top = scores(queries, postings).withColumn("_r", F.rank().over(best)).filter(F.col("_r") <= k).drop("_r")
+        named = top.join(postings.chunks.select(*scope, "chunk_no", "chunk_id"), [*scope, "chunk_no"])
+        hits = top_k(named.drop("chunk_no"), k, keys)
+    ranked = _pad(queries, hits, postings.chunks, k, scope)
+    return ranked.select(*scope, "query_id", "chunk_id", "score", "rank")
 
 
 def with_chunk_columns(

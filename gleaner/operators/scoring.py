@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import math
 import sys
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.ml.classification import (
@@ -217,18 +217,23 @@ def rank_with_features(
     scope: Sequence[str] = (),
     retriever: retrieval.Retriever | None = None,
     token_count=count_tokens,
+    postings: retrieval.Postings | None = None,
+    fetch: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """Retrieve and featurise: keys, feature columns, ``retrieval_score, tokens``."""
-    ranked = (
-        retriever(queries, chunks, k)
-        if retriever
-        else retrieval.retrieve(queries, chunks, k, scope=scope)
-    )
+    """Retrieve and featurise: keys, feature columns, ``retrieval_score, tokens``.
+
+    Postings of the chunks, where they are at hand, save reading the text; ``fetch``
+    gives chunk rows for ranked ones, so that only their documents are read.
+    """
+    if retriever:
+        ranked = retriever(queries, chunks, k)
+    else:
+        ranked = materialise(retrieval.retrieve(queries, chunks if postings is None else postings, k, scope=scope))
     keys = [*scope, "query_id"]
     bound = queries.count() * k
     pairs = retrieval.with_chunk_columns(
         ranked,
-        chunks,
+        fetch(ranked) if fetch else chunks,
         ["doc_id", "position", "text", "doc_title", "heading", "source_type"],
         scope,
         max_rows=bound,
@@ -255,11 +260,12 @@ def build_examples(
     evidence: DataFrame,
     k: int = RETRIEVAL_TOP_K,
     split: str | None = "split",
+    **source,
 ) -> DataFrame:
     """Labelled examples; with ``split`` every split is fitted on its own chunks,
-    all in one job."""
+    all in one job.  ``source``: postings and fetch of :func:`rank_with_features`."""
     scope = [split] if split else []
-    featured = rank_with_features(queries, chunks, k, scope)
+    featured = rank_with_features(queries, chunks, k, scope, **source)
     return retrieval.assign_labels(featured, evidence)
 
 
@@ -271,13 +277,14 @@ def prune(
     policy: dict | None = None,
     preset: str = "balanced",
     retriever: retrieval.Retriever | None = None,
+    **source,
 ) -> DataFrame:
-    """Decisions for all queries at once.
+    """Decisions for all queries at once; ``source``: postings and fetch of :func:`rank_with_features`.
 
     Without a model nothing is pruned: scores are null and every ranked chunk is
     kept, marked ``fallback_unpruned``.
     """
-    featured = rank_with_features(queries, chunks, k, retriever=retriever)
+    featured = rank_with_features(queries, chunks, k, retriever=retriever, **source)
     scored = (
         predict(featured, model)
         if model is not None

@@ -198,10 +198,14 @@ def marked_wrapped(spark, sf_dir):
 # --- retrieval --------------------------------------------------------------
 
 
-def stored_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunk table, written once per query: it is read several times and by
-    column."""
-    return materialise(V.document_chunks(spark, sf_dir))
+def postings(spark: SparkSession, sf_dir: str) -> retrieval.Postings:
+    """The corpus as retrieval reads it; the only pass over all texts of a query."""
+    return retrieval.index(V.document_chunks(spark, sf_dir))
+
+
+def _source(spark: SparkSession, sf_dir: str, kept: retrieval.Postings | None = None) -> dict:
+    """Where ranked pairs come from: postings, and chunk rows of the documents in a ranking."""
+    return {"postings": kept or postings(spark, sf_dir), "fetch": lambda ranked: V.document_chunks(spark, sf_dir, of=ranked)}
 
 
 @query
@@ -223,18 +227,15 @@ def tfidf_vocabulary(spark, sf_dir):
 
 @query
 def tfidf_chunk_norms(spark, sf_dir):
-    chunks = stored_chunks(spark, sf_dir)
-    model = retrieval.fit(chunks)
-    w = F.col("tf") * F.col("idf")
-    weighted = retrieval._with_idf(retrieval.chunk_terms(chunks), model, model.vocabulary)
-    return weighted.groupBy("chunk_id").agg(
-        F.count("*").alias("n_terms"), _r(F.sqrt(F.sum(w * w))).alias("norm")
+    kept = postings(spark, sf_dir)
+    return kept.chunks.join(kept.norms, "chunk_no").select(
+        "chunk_id", _long(F.size("terms")).alias("n_terms"), _r("norm").alias("norm")
     )
 
 
 @query
 def retrieve_top_k(spark, sf_dir):
-    ranked = retrieval.retrieve(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir))
+    ranked = retrieval.retrieve(V.questions(spark, sf_dir), postings(spark, sf_dir))
     return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
 
 
@@ -244,7 +245,7 @@ def retrieve_unknown_words(spark, sf_dir):
     asked = V.questions(spark, sf_dir).select(
         "query_id", F.concat(F.lit("the of and qqqxxx"), F.col("query_id").cast("string")).alias("query_text")
     )
-    ranked = retrieval.retrieve(asked, stored_chunks(spark, sf_dir))
+    ranked = retrieval.retrieve(asked, postings(spark, sf_dir))
     return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
 
 
@@ -278,7 +279,8 @@ def latent_top_k(spark, sf_dir):
 
 def featured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked pairs with features, written once per query (queries times k rows)."""
-    return materialise(scoring.rank_with_features(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir)))
+    asked, chunks = V.questions(spark, sf_dir), V.document_chunks(spark, sf_dir)
+    return materialise(scoring.rank_with_features(asked, chunks, **_source(spark, sf_dir)))
 
 
 def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,7 +335,8 @@ def chunks_of_labelled_docs(spark, sf_dir):
 @query
 def prune_decisions(spark, sf_dir):
     """Retrieve, featurise, score and apply the rules for all queries at once."""
-    decided = scoring.prune(V.questions(spark, sf_dir), stored_chunks(spark, sf_dir), STATED_MODEL)
+    asked, chunks = V.questions(spark, sf_dir), V.document_chunks(spark, sf_dir)
+    decided = scoring.prune(asked, chunks, STATED_MODEL, **_source(spark, sf_dir))
     return _shown(decided, "query_id")
 
 
@@ -388,9 +391,9 @@ def scale_features(spark, sf_dir):
 @query
 def prompts(spark, sf_dir):
     """Plain and marked prompt of every query from its kept chunks."""
-    kept = decisions(spark, sf_dir).filter("kept").select("query_id", "chunk_id", "rank")
+    kept = materialise(decisions(spark, sf_dir).filter("kept").select("query_id", "chunk_id", "rank"))
     texts = retrieval.with_chunk_columns(
-        kept, V.document_chunks(spark, sf_dir), ["doc_title", "heading", "text"]
+        kept, V.document_chunks(spark, sf_dir, of=kept), ["doc_title", "heading", "text"]
     )
     context = texts.groupBy("query_id").agg(
         F.array_sort(
@@ -439,12 +442,15 @@ def split_invariants(spark, sf_dir):
 
 
 def examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = doc_splits(spark, sf_dir).select("doc_id", "split")
+    docs = materialise(doc_splits(spark, sf_dir).select("doc_id", "split"))
     proof = materialise(V.evidence(spark, sf_dir))
     asked = splits.assign_question_splits(proof, docs).filter(F.col("split").isNotNull())
-    chunks = materialise(V.document_chunks(spark, sf_dir).join(docs, "doc_id"))
     questions = materialise(V.questions(spark, sf_dir).join(asked, "query_id"))
-    return materialise(scoring.build_examples(questions, chunks, proof))
+    counted = retrieval.count_terms(V.document_chunks(spark, sf_dir), "doc_id").join(docs, "doc_id")
+    kept = retrieval.post(counted, ["split"])
+    in_split = lambda of: V.document_chunks(spark, sf_dir, of=of).join(docs, "doc_id")
+    chunks = V.document_chunks(spark, sf_dir).join(docs, "doc_id")
+    return materialise(scoring.build_examples(questions, chunks, proof, postings=kept, fetch=in_split))
 
 
 @query
@@ -694,7 +700,8 @@ def kept_context(spark: SparkSession, sf_dir: str, decided: DataFrame | None = N
     (queries times k rows), since every check reads them again."""
     rows = decisions(spark, sf_dir).filter("kept") if decided is None else decided
     rows = rows.select("query_id", "chunk_id", "rank")
-    texts = retrieval.with_chunk_columns(rows, V.document_chunks(spark, sf_dir), ["text"])
+    rows = materialise(rows)
+    texts = retrieval.with_chunk_columns(rows, V.document_chunks(spark, sf_dir, of=rows), ["text"])
     return materialise(
         texts.select(F.col("query_id").alias("answer_id"), "chunk_id", F.col("rank").alias("chunk_order"), "text")
     )

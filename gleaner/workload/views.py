@@ -21,9 +21,15 @@ def text_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> Da
     return spread(table(spark, sf_dir, name, *columns))
 
 
-def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document cut into paragraphs (its lines); the title is its first line."""
-    docs = text_table(spark, sf_dir, "documents", "doc_id", "text", "lang").select(
+def document_chunks(spark: SparkSession, sf_dir: str, of: DataFrame | None = None) -> DataFrame:
+    """Every document cut into paragraphs (its lines); the title is its first line.
+
+    With ``of``, rows with a ``chunk_id``, only their documents are cut."""
+    docs = text_table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    if of is not None:
+        wanted = of.select(F.substring_index("chunk_id", "::c", 1).cast("long").alias("doc_id")).distinct()
+        docs = docs.join(broadcast_if(fits_broadcast(wanted), wanted), "doc_id", "left_semi")
+    docs = docs.select(
         F.col("doc_id").cast("string").alias("doc_id"),
         F.col("lang").alias("doc_type"),
         F.split_part(F.col("text"), F.lit("\n"), F.lit(1)).alias("doc_title"),

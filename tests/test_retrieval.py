@@ -52,24 +52,28 @@ def ranked(df):
 
 
 @pytest.mark.parametrize("terms_in_broadcast", [1_000_000, 2])
-def test_matches_brute_force(spark, terms_in_broadcast):
+def test_matches_brute_force(spark, terms_in_broadcast, monkeypatch):
     rows = corpus()
     chunks = spark.createDataFrame(rows, "chunk_id string, text string").repartition(3)
     queries = spark.createDataFrame(QUERIES, "query_id long, query_text string")
     model = retrieval.fit(chunks, broadcast_terms=terms_in_broadcast)
     assert model.small == (terms_in_broadcast > 2)
-    got = ranked(retrieval.retrieve(queries, chunks, 12, model))
-    assert got == brute(rows, QUERIES, 12)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 7)
+    want = brute(rows, QUERIES, 12)
+    assert ranked(retrieval.retrieve(queries, chunks, 12, model)) == want
+    assert ranked(retrieval.retrieve(queries, chunks, 12, model, query_block=0)) == want  # terms are joined
 
 
-def test_large_query_side_takes_the_shuffle_plan(spark):
+def test_large_query_side_takes_the_shuffle_plan(spark, monkeypatch):
     rows = corpus()
     chunks = spark.createDataFrame(rows, "chunk_id string, text string")
     queries = spark.createDataFrame(QUERIES, "query_id long, query_text string")
-    model = retrieval.fit(chunks)
-    a = {(r.query_id, r.chunk_id): round(r.score, 9) for r in retrieval.scores(queries, chunks, model).collect()}
-    b = {(r.query_id, r.chunk_id): round(r.score, 9) for r in retrieval.scores(queries, chunks, model, 1, salt_rows=7).collect()}
-    assert a == b and len(a) > 12
+    kept = retrieval.index(chunks)
+    a = {(r.query_id, r.chunk_no): round(r.score, 9) for r in retrieval.scores(queries, kept).collect()}
+    b = {(r.query_id, r.chunk_no): round(r.score, 9) for r in retrieval.scores(queries, kept, 1, salt_rows=7).collect()}
+    monkeypatch.setattr(retrieval, "fits_broadcast", lambda *a, **k: False)  # not even the terms fit
+    c = {(r.query_id, r.chunk_no): round(r.score, 9) for r in retrieval.scores(queries, kept, 1, salt_rows=7).collect()}
+    assert a == b == c and len(a) > 12
 
 
 def test_small_corpus_and_padding(spark):
@@ -91,7 +95,7 @@ def test_scopes_are_fitted_apart(spark):
 def test_empty_vocabulary_raises(spark):
     chunks = spark.createDataFrame([("a", "the of")], "chunk_id string, text string")
     with pytest.raises(ValueError):
-        retrieval.fit_or_raise(chunks)
+        retrieval.fit(chunks, refuse_empty=True)
 
 
 def test_baselines_and_labels(spark):
@@ -120,8 +124,8 @@ def test_latent_space_matches_dense_svd(spark):
 
     rows = corpus(40)
     chunks = spark.createDataFrame(rows, "chunk_id string, text string")
-    vectors, _ = dense.latent_space(chunks, components=3, iterations=3)
-    got = {r.chunk_id: r.vector for r in vectors.collect()}
+    space = dense.fit_latent(chunks, components=3)
+    got = {r.chunk_id: r.vector for r in dense.latent_vectors(space, chunks, "chunk_id").collect()}
     n = len(rows)
     tfs = [Counter(terms(t)) for _, t in rows]
     vocab = sorted({t for tf in tfs for t in tf})
@@ -132,3 +136,11 @@ def test_latent_space_matches_dense_svd(spark):
     want = u[:, :3] * s[:3]
     have = np.array([got[c] for c, _ in rows])
     assert np.allclose(np.abs(have), np.abs(want), atol=1e-3)
+
+
+def test_latent_space_of_texts_without_terms(spark):
+    for rows in ([], [("a", "the of")], [("a", "alpha"), ("b", None)]):
+        chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+        queries = spark.createDataFrame([(1, "alpha"), (2, "")], "query_id long, query_text string")
+        got = dense.latent_retrieve(queries, chunks).collect()
+        assert len(got) == 2 * len(rows)
