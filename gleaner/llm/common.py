@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,10 +103,24 @@ def trim(cache: dict, met: set, more: int, limit: int) -> None:
 def worker_cache(owner: str, name: str = "") -> dict:
     """A dict that lives in the Python worker over the tasks of one owner.
 
-    Another owner (a query, a model) takes the worker's only place, so that what earlier
-    ones remembered is freed.
+    Another owner (a query, a stage, a model) takes the worker's only place, so that what
+    earlier ones remembered is freed.  Functions that remember nothing call it as well.
     """
     module = sys.modules.setdefault("_gleaner_worker", types.ModuleType("_gleaner_worker"))
     if module.__dict__.get("owner") != owner:
+        held = module.__dict__.get("caches")
         module.__dict__.update(owner=owner, caches={})
+        if held:
+            held.clear()
+            _give_back()
     return module.__dict__["caches"].setdefault(name, {})
+
+
+def _give_back() -> None:
+    """Hand freed memory back to the system, which an idle worker would otherwise keep."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library

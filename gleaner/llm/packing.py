@@ -212,6 +212,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, rounds: int = ROUNDS) -> D
     columns = ["doc_id", "piece", "start", "length", "ids_crc32"]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("places")
         for batch in batches:
             length, rank = (batch.column(c).to_numpy() for c in (3, 5))
             sequence, offset = np.empty(len(rank), np.int64), np.empty(len(rank), np.int64)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, flag_members, fresh, members
+from gleaner.llm.common import bounded_batches, flag_members, fresh, members, worker_cache
 from gleaner.plans.sizing import materialise
 
 MIN_SENTENCES = 2
@@ -110,6 +110,7 @@ def _run_rows(docs: DataFrame) -> DataFrame:
     """(doc, key, h, start, stop, again): a row per run, ``again`` if the text had it before."""
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("runs")
         for batch in batches:
             owner, parts = [], [[], [], [], []]
             for k, text in enumerate(batch.column(2).to_pylist()):
@@ -135,6 +136,7 @@ def _run_rows(docs: DataFrame) -> DataFrame:
 
 
 def _cleaned(texts: pd.Series, gone: pd.Series) -> pd.DataFrame:
+    worker_cache("runs")
     kept, spans = [], []
     for text, lost in zip(texts, gone, strict=True):
         merged: list[list[int]] = []
