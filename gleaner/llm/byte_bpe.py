@@ -28,6 +28,8 @@ BUCKETS = 1 << 16
 FREQUENT = 1 << 20
 # Longer words are merged in the worker.
 LONG = 256
+# Numbers from here on stand for a document's rare words until these are folded.
+RARE = 1 << 31
 # Distinct pieces that a task counts, and that a worker remembers.
 COUNTED = 1 << 18
 CACHE_PIECES = 200_000
@@ -185,7 +187,9 @@ def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> t
 
     words = materialise(words)
     least = frequency_floor(words, frequent)
-    found = words.filter(F.col("n") >= least).select("word", merged_ranks(F.col("word"), table).alias("ids")).toArrow()
+    # Longer words are merged where they are met: neither folded nor sent to the driver.
+    short = words.filter(F.octet_length("word") <= LONG)
+    found = short.filter(F.col("n") >= least).select("word", merged_ranks(F.col("word"), table).alias("ids")).toArrow()
     ids = found["ids"].combine_chunks()
     hashes = np.array([xxh64_intdigest(w) for w in found["word"].to_pylist()], np.uint64)
     order = np.argsort(hashes)
@@ -204,7 +208,8 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     document are folded beside its text, so nothing is dropped and no text moves.
     ``ids`` holds little-endian unsigned 32-bit numbers.  Null text counts as empty and
     has no ids.  Words longer than ``LONG`` bytes are merged in the worker, since one
-    fold step costs as much as the word is long.
+    fold step costs as much as the word is long.  A column named like ``out_col`` is
+    replaced.
     """
     from xxhash import xxh64_intdigest
 
@@ -254,35 +259,46 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         mixed.update(piece for piece, x in zip(new, found, strict=False) if type(x) is list)
         return cut, dict(zip(heads, found[len(new) :], strict=True)), cache, mixed
 
-    def rare(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        matches, store = _matches(pattern), worker_cache(key, "rare")
+    def number(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        """The ids of each text, with the number of a rare word in place of its ids."""
+        matches, store = _matches(pattern), worker_cache(key, "ids")
         for texts in batches:
             cut, heads, cache, mixed = resolve(texts.tolist(), store, matches)
-            out = []
+            ids, words = [], []
             for head, rest in cut:
-                own = [cache[piece] for piece in mixed.intersection(rest)]
-                own += [heads[head]] if type(heads[head]) is list else []
-                out.append([w.encode() for w in {y for x in own for y in x if type(y) is str}])
-            yield pd.Series(out)
+                own = [heads[head], *map(cache.__getitem__, rest)]
+                numbers: dict[str, bytes] = {}
+                if type(heads[head]) is list or not mixed.isdisjoint(rest):
+                    for x in own:
+                        for y in x if type(x) is list else ():
+                            if type(y) is str and y not in numbers:
+                                numbers[y] = np.array([RARE + len(numbers)], "<u4").tobytes()
+                    own = [x if type(x) is bytes else b"".join([numbers.get(y, y) for y in x]) for x in own]
+                ids.append(b"".join(own))
+                words.append([w.encode() for w in numbers])
+            yield pd.DataFrame({"ids": ids, "words": words})
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replaces the last two columns, rare words and their ids, by the result."""
-        matches, store = _matches(pattern), worker_cache(key, "ids")
+        """Replaces the last two columns, numbered ids and the ids of rare words, by the result."""
+        worker_cache(key, "ids")
         for batch in batches:
-            cut, heads, cache, _ = resolve(batch.column(place).to_pylist(), store, matches)
             ids = []
-            for (head, rest), words, folded in zip(cut, *(c.to_pylist() for c in batch.columns[-2:]), strict=True):
-                own = [heads[head], *map(cache.__getitem__, rest)]
-                if words:
-                    known = {w.decode(): np.array(x, "<u4").tobytes() for w, x in zip(words, folded, strict=True)}
-                    own = [x if type(x) is bytes else b"".join([known.get(y, y) for y in x]) for x in own]
-                ids.append(b"".join(own))
+            for raw, folded in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True):
+                if folded:
+                    numbers = np.frombuffer(raw, "<u4")
+                    at = np.flatnonzero(numbers >= RARE)
+                    bounds = np.stack([np.append(0, at + 1), np.append(at, len(numbers))], axis=1) * 4
+                    known = [np.array(x, "<u4").tobytes() for x in folded]
+                    between = [raw[a:b] for a, b in bounds.tolist()]
+                    rare = [known[n] for n in (numbers[at] - RARE).tolist()]
+                    raw = b"".join([x for pair in zip(between, [*rare, b""], strict=True) for x in pair])
+                ids.append(raw)
             decoded = [decode(np.frombuffer(x, "<u4")) for x in ids]
             sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
             result = pa.StructArray.from_arrays(
                 [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()), sizes], names=["ids", "decoded", "n_tokens"]
             )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*names, result_col])
 
     largest = max(rank.values(), default=0)
     tokens = [b""] * (largest + 1)
@@ -298,14 +314,16 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
         at = np.cumsum(sizes)
         return token_bytes[np.repeat(ends - at, sizes) + np.arange(at[-1] if len(at) else 0)].tobytes()
 
-    words, folds = fresh(docs, "_words"), fresh(docs, "_folds")
-    names, place = docs.columns, docs.columns.index(text_col)
+    numbered, folds, result_col = fresh(docs, "_numbered"), fresh(docs, "_folds"), fresh(docs, "_result")
+    names = docs.columns
     kind = StructType.fromDDL("ids binary, decoded binary, n_tokens long")
-    return (
-        docs.withColumn(words, F.pandas_udf(rare, "array<binary>")(F.col(text_col)))
-        .select(*names, words, F.transform(F.col(words), lambda w: merged_ranks(w, table)).alias(folds))
-        .mapInArrow(assemble, StructType([*docs.schema.fields, StructField(out_col, kind)]))
+    found = F.pandas_udf(number, "ids binary, words array<binary>")(F.col(text_col))
+    folded = (
+        docs.withColumn(numbered, found)
+        .select(*names, F.col(f"{numbered}.ids").alias(numbered), F.transform(F.col(f"{numbered}.words"), lambda w: merged_ranks(w, table)).alias(folds))
+        .mapInArrow(assemble, StructType([*docs.schema.fields, StructField(result_col, kind)]))
     )
+    return folded.drop(out_col).withColumnRenamed(result_col, out_col)
 
 
 def merge_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:

@@ -61,6 +61,14 @@ def test_bpe_matches_the_library_and_comes_back(spark, corpus, frequent):
         assert bytes(r["encoded"]["decoded"]) == (r["text"] or "").encode() and r["encoded"]["n_tokens"] == len(ids)
 
 
+def test_bpe_replaces_a_column_of_its_name(spark):
+    name = "byte_bpe_multi_50k.tiktoken"
+    docs = frame(spark, ["a b", None, "zzqx zzqx\n zzqx"]).withColumnRenamed("counts", "encoded")
+    got = byte_bpe.encode(docs, read(name), public_tokenizers.PATTERN, frequent=0).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "_words", "encoded"}
+    assert [bytes(r["encoded"]["decoded"]).decode() for r in got] == ["a b", "", "zzqx zzqx\n zzqx"]
+
+
 def test_bpe_of_no_rows(spark):
     assert byte_bpe.encode(frame(spark, []), read("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
 
