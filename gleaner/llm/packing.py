@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, worker_cache
-from gleaner.llm.pieces import CACHE_PIECES, encode_texts
+from gleaner.llm.pieces import CACHE_PIECES, LETTERS, encode_texts, merge_ranks
 from gleaner.plans.sizing import materialise
 
 CAPACITY = 1024
@@ -35,6 +35,13 @@ NEAR_BEST = 0.98
 # Rows of one length are ranked in slices of about so many.
 SLICE_ROWS = 50_000
 
+def _merger(ranks: dict[bytes, int]):
+    """Ids of a single match, by its bytes."""
+    import tiktoken
+
+    return tiktoken.Encoding("pieces", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,19 +55,26 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shipped = spark.sparkContext.broadcast(vocabulary)
+    shipped = spark.sparkContext.broadcast((vocabulary, merge_ranks(vocabulary)))
+    key = f"ids {zlib.crc32(vocabulary.encode())}"
     end = np.array([end_id], "<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_str(shipped.value)
-        cache = worker_cache(f"ids {zlib.crc32(shipped.value.encode())}")
+        cache, tools = worker_cache(key), worker_cache(key, "tools")
+        if not tools:
+            text, ranks = shipped.value
+            tools["tokenizer"] = Tokenizer.from_str(text)
+            tools["merger"] = _merger(ranks) if ranks else None
+        tokenizer, merge = tools["tokenizer"], tools["merger"]
 
         def encode(parts: list[str]) -> list[bytes]:
-            found = tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-            return [array("I", x.ids).tobytes() for x in found]
+            """Runs of letters are one match each and only merged; other parts take the tokenizer's pipeline."""
+            letters = [merge is not None and LETTERS.fullmatch(p) is not None for p in parts]
+            rest = iter(tokenizer.encode_batch_fast([p for p, x in zip(parts, letters, strict=True) if not x], add_special_tokens=False))
+            return [array("I", merge(p.encode()) if x else next(rest).ids).tobytes() for p, x in zip(parts, letters, strict=True)]
 
         for batch in batches:
             rows = []
