@@ -12,6 +12,10 @@ from gleaner.config import BOUNDARY_MARGIN, DEFAULT_PRESET, PRESETS
 POLICY_COLUMNS = ("preset_name", "threshold", "min_context", "token_budget")
 
 
+# Of a set without scores whose rows do not say why.
+UNEXPLAINED = "scoring failed"
+
+
 def presets(spark: SparkSession) -> DataFrame:
     """The three presets as a fixed dimension table."""
     return spark.createDataFrame(
@@ -160,10 +164,20 @@ def _pack(wanted: DataFrame, keys: Sequence[str]) -> DataFrame:
     return folded.select(*keys, F.inline(F.transform("_items", decide)))
 
 
+def explain(decisions: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
+    """Adds ``disabled_reason``: of a set that was not pruned, the error of its first failing row.
+
+    ``decisions`` carries ``score_error``; the sets already lie together."""
+    first = F.min(F.when(F.col("score_error").isNotNull(), F.struct("rank", "score_error"))).over(Window.partitionBy(*keys))
+    reason = F.when(~F.col("pruning_enabled"), F.coalesce(first["score_error"], F.lit(UNEXPLAINED)))
+    return decisions.withColumn("disabled_reason", reason)
+
+
 def summarise(decisions: DataFrame, keys: Sequence[str] = ("query_id",)) -> DataFrame:
     """Totals per set: tokens before and after, saving, flags."""
     base = F.sum("tokens")
     kept = F.coalesce(F.sum(F.when(F.col("kept"), F.col("tokens"))), F.lit(0))
+    unexplained = F.when(~F.min("pruning_enabled"), F.lit(UNEXPLAINED))
     return decisions.groupBy(*keys).agg(
         F.count("*").alias("ranked_chunks"),
         F.count(F.when(F.col("kept"), 1)).alias("kept_chunks"),
@@ -175,5 +189,5 @@ def summarise(decisions: DataFrame, keys: Sequence[str] = ("query_id",)) -> Data
         .alias("pct_tokens_saved"),
         F.max("budget_conflict").alias("budget_conflict"),
         F.min("pruning_enabled").alias("pruning_enabled"),
-        F.when(~F.min("pruning_enabled"), F.lit("scoring failed")).alias("disabled_reason"),
+        (F.max("disabled_reason") if "disabled_reason" in decisions.columns else unexplained).alias("disabled_reason"),
     )

@@ -66,6 +66,10 @@ class Metadata:
     test_metrics: dict
 
 
+# What the retention rules need of a scored pair.
+PRUNED = ("query_id", "chunk_id", "doc_id", "position", "rank", "retrieval_score", "score", "tokens")
+
+
 def fit_scaler(features: DataFrame) -> Scaler:
     """Means and population deviations in one aggregate.
 
@@ -102,12 +106,14 @@ def features_to_frame(features: DataFrame, scaler: Scaler, *keep: str) -> DataFr
     return VectorAssembler(inputCols=list(MODEL_COLUMNS), outputCol="features").transform(frame)
 
 
-def balanced_weights(examples: DataFrame, label: str = "label") -> DataFrame:
-    """Weight ``n / (classes * n_class)`` per row.
+def balanced_weights(examples: DataFrame, label: str = "label", least_classes: int = 0) -> DataFrame:
+    """Weight ``n / (classes * n_class)`` per row; fewer than ``least_classes`` classes raise.
 
     Class counts come from one aggregate (two groups), not from a window over a
     class, which would pull a class into one task."""
     counts = {r[label]: r["n"] for r in examples.groupBy(label).agg(F.count("*").alias("n")).collect()}
+    if len(counts) < least_classes:
+        raise ValueError("training needs both relevant and irrelevant examples")
     if not counts:
         return examples.withColumn("weight", F.lit(1.0))
     total = sum(counts.values())
@@ -119,10 +125,9 @@ def balanced_weights(examples: DataFrame, label: str = "label") -> DataFrame:
 
 def fit_logistic(examples: DataFrame, label: str = "label") -> LogisticModel:
     """Weighted logistic loss with L2 1e-4 over balanced classes."""
-    if examples.select(label).distinct().limit(2).count() < 2:
-        raise ValueError("training needs both relevant and irrelevant examples")
+    weighted = balanced_weights(examples, label, least_classes=2)
     scaler = fit_scaler(examples)
-    frame = features_to_frame(balanced_weights(examples, label), scaler, label, "weight")
+    frame = features_to_frame(weighted, scaler, label, "weight")
     fitted = LogisticRegression(
         labelCol=label,
         weightCol="weight",
@@ -166,6 +171,25 @@ def predict(features: DataFrame, model: LogisticModel, name: str = "score") -> D
     return features.withColumn(name, probability(model))
 
 
+NO_MODEL = "no model"
+
+
+def predict_or_explain(features: DataFrame, model: LogisticModel | None, version: str | None = None) -> DataFrame:
+    """Adds score, ``score_error`` and ``model_version``.
+
+    A row that cannot be scored has no score and says why: there is no model, or which
+    feature (the first in model order) is missing or not a number.  It raises nothing,
+    so one bad row only disables pruning for its own question.
+    """
+    if model is None:
+        nothing = {"score": F.lit(None).cast("double"), "score_error": F.lit(NO_MODEL), "model_version": F.lit(None).cast("string")}
+        return features.withColumns(nothing)
+    missing = lambda c: F.col(c).isNull() | F.isnan(F.col(c).cast("double"))
+    error = F.coalesce(*[F.when(missing(c), F.lit(f"feature {c} is missing")) for c in NUMERIC_FEATURES])
+    found = predict(features.withColumn("score_error", error), model)
+    return found.withColumns({"score": F.when(F.col("score_error").isNull(), F.col("score")), "model_version": F.lit(version)})
+
+
 def threshold_table(
     scored: DataFrame, label: str = "label", score: str = "score", keys: Sequence[str] = ()
 ) -> DataFrame:
@@ -277,24 +301,20 @@ def prune(
     policy: dict | None = None,
     preset: str = "balanced",
     retriever: retrieval.Retriever | None = None,
+    model_version: str | None = None,
     **source,
 ) -> DataFrame:
     """Decisions for all queries at once; ``source``: postings and fetch of :func:`rank_with_features`.
 
     Without a model nothing is pruned: scores are null and every ranked chunk is
-    kept, marked ``fallback_unpruned``.
+    kept, marked ``fallback_unpruned``.  ``disabled_reason`` says why a question was not
+    pruned, ``model_version`` which model scored it.
     """
     featured = rank_with_features(queries, chunks, k, retriever=retriever, **source)
-    scored = (
-        predict(featured, model)
-        if model is not None
-        else featured.withColumn("score", F.lit(None).cast("double"))
-    )
-    light = scored.select(
-        "query_id", "chunk_id", "doc_id", "position", "rank", "retrieval_score", "score", "tokens"
-    )
+    scored = predict_or_explain(featured, model, model_version)
+    light = scored.select(*PRUNED, "score_error", "model_version")
     ruled = rules.with_policy(light, **policy) if policy else rules.with_preset(light, preset)
-    return rules.apply_rules(ruled)
+    return rules.explain(rules.apply_rules(ruled))
 
 
 def _metrics_row(scored: DataFrame, threshold: float) -> dict:
@@ -308,12 +328,22 @@ def train_and_evaluate(
     evidence: DataFrame,
     corpus_id: str,
     k: int = RETRIEVAL_TOP_K,
+    save: Callable[[LogisticModel, Metadata], str] | None = None,
+    **source,
 ) -> tuple[LogisticModel, Metadata]:
     """Fit on train, choose the threshold on val, report once on test.
 
-    ``queries`` and ``chunks`` carry a ``split`` column.
+    ``queries`` and ``chunks`` carry a ``split`` column; ``source`` as for
+    :func:`build_examples`.  ``save`` (say, ``artifacts.publish``) gets the result.
     """
-    examples = materialise(build_examples(queries, chunks, evidence, k))
+    examples = materialise(build_examples(queries, chunks, evidence, k, **source))
+    return evaluate(examples, corpus_id, save)
+
+
+def evaluate(
+    examples: DataFrame, corpus_id: str, save: Callable[[LogisticModel, Metadata], str] | None = None
+) -> tuple[LogisticModel, Metadata]:
+    """As :func:`train_and_evaluate`, over labelled examples that are at hand."""
     part = lambda name: examples.filter(F.col("split") == name)
     model = fit_logistic(part("train"))
     counts = {r["split"]: r["count"] for r in examples.groupBy("split").count().collect()}
@@ -331,6 +361,8 @@ def train_and_evaluate(
         val_metrics=_metrics_row(val, threshold) if has_val else {},
         test_metrics=_metrics_row(test, threshold) if has_test else {},
     )
+    if save:
+        save(model, metadata)
     return model, metadata
 
 

@@ -438,8 +438,12 @@ ORACLES["prune_tight_budget"] = (
     f" 0.3::DOUBLE AS threshold, 3 AS min_context, 90 AS token_budget FROM scored), {decided('sc')} {shown()}"
 )
 ORACLES["prune_fallback"] = (
-    f"WITH RECURSIVE {FEATURED}, {SCORED}, sc AS (SELECT query_id, chunk_id, doc_id, position, rank, tokens,"
-    f" CASE WHEN tokens <= 60 THEN score END AS score, {policy('balanced')} FROM scored), {decided('sc')} {shown()}"
+    f"WITH RECURSIVE {FEATURED}, {SCORED}, se AS (SELECT *, CASE WHEN query_id % 4 = 0 THEN 'no model'"
+    " WHEN tokens > 80 THEN 'feature score_margin is missing' WHEN tokens > 60 THEN 'feature entity_overlap is missing' END AS err FROM scored),"
+    " sc AS (SELECT query_id, chunk_id, doc_id, position, rank, tokens, err,"
+    f" CASE WHEN err IS NULL THEN score END AS score, {policy('balanced')} FROM se), {decided('sc')} "
+    + shown().replace("query_id,", "query_id, CASE WHEN NOT pruning THEN arg_min(err, rank) FILTER (WHERE err IS NOT NULL)"
+    " OVER (PARTITION BY query_id) END AS disabled_reason, CASE WHEN query_id % 4 > 0 THEN 'v1' END AS model_version,", 1)
 )
 _presets = " UNION ALL ".join(
     f"SELECT {lit(n)} AS preset, {policy(n if n in PRESETS else 'balanced')}" for n in (*PRESETS, "unknown")
@@ -607,6 +611,22 @@ cnt AS (SELECT method, {_counts}, sum(tokens) AS b, coalesce(sum(tokens) FILTER
 SELECT method, round(recall, 6) AS recall, round(precision, 6) AS precision,
  round(CASE WHEN b > 0 THEN greatest(b - k, 0)::DOUBLE / b ELSE 0.0 END, 6) AS token_reduction_pct FROM f
 """
+def _share(method: str, c: str) -> str:
+    return f"(SELECT round(100 * {c})::INT || '%' FROM he WHERE method = '{method}')"
+
+
+ORACLES["held_out_report"] = f"""
+WITH he AS ({ORACLES["held_out_eval"]}), hq AS (WITH {EXAMPLES} SELECT count(DISTINCT query_id) AS n FROM ex WHERE split = 'test')
+SELECT concat_ws({NL}, '# documents: pruning on ' || n || ' unseen questions', 'model of 2026-01-01, features v1',
+ '| | recall | precision | tokens saved |',
+ '| model and rules | ' || {_share('pruner', 'recall')} || ' | ' || {_share('pruner', 'precision')} || ' | ' || {_share('pruner', 'token_reduction_pct')} || ' |',
+ '| score threshold | ' || {_share('retrieval_threshold', 'recall')} || ' | | |', '| first k | ' || {_share('top_k', 'recall')} || ' | | |',
+ 'Measured on the questions named above, which the model has not seen; other questions may differ.',
+ 'How long a request takes was not measured here.') AS report, NULL::VARCHAR AS banned_claim FROM hq
+"""
+ORACLES["latency_sketched"] = """
+SELECT event_type, pct, count(*) AS n, true AS within_bound FROM events CROSS JOIN (SELECT unnest([0.5::DOUBLE, 0.95::DOUBLE]) AS pct) GROUP BY ALL
+"""
 ORACLES["trial_recall"] = f"""{DECISIONS}, {EVIDENCE},
 c AS (SELECT ev.query_id, count(*) AS t, count(dec.chunk_id) AS k FROM ev LEFT JOIN dec
       ON dec.query_id = ev.query_id AND dec.chunk_id = ev.chunk_id AND dec.kept GROUP BY ev.query_id)

@@ -1,4 +1,6 @@
+import bisect
 import random
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +70,7 @@ def test_train_save_load(spark, examples, tmp_path):
     folder = str(tmp_path / "models")
     assert artifacts.resolve_latest_version(spark, folder) is None
     assert artifacts.allocate_next_version(spark, folder).endswith("/v1")
+    assert artifacts.resolve_latest_version(spark, folder) is None  # taken, but not published
     meta = scoring.Metadata("c", "now", "v1", 1, 1, 1, 0.5, {"f1": 1.0}, {})
     for n in (2, 10, 9):
         artifacts.save(spark, f"{folder}/v{n}", model, meta)
@@ -173,8 +176,6 @@ def test_costs_and_report(spark):
     meta = spark.createDataFrame([("c", "now", "v1", 7)], "corpus_id string, trained_at string, feature_version string, num_questions long")
     row = metrics.render_report(spark, held, meta).first()
     assert "| model and rules | 50% | 25% | 40% |" in row.report and row.banned_claim is None
-    with pytest.raises(ValueError):
-        metrics.require_rows(held.limit(0), "test split is empty")
 
 
 def test_null_scores_clear_no_threshold(spark):
@@ -196,3 +197,55 @@ def test_best_of_all_batches_leaves_a_task_once(spark):
         cos = {c: round((v[0] * x + v[1] * y) / (x * x + y * y) ** 0.5, 9) for c, (x, y) in rows}
         want = sorted(cos, key=lambda c: (-cos[c], c))[:5]
         assert [r.chunk_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_two_writers_never_share_a_version(spark, tmp_path):
+    folder = str(tmp_path / "models")
+    with ThreadPoolExecutor(8) as pool:
+        taken = list(pool.map(lambda _: artifacts.allocate_next_version(spark, folder), range(24)))
+    assert len(set(taken)) == 24 and artifacts.resolve_latest_version(spark, folder) is None
+    model = scoring.LogisticModel(scoring.Scaler((0.0,) * 9, (1.0,) * 9), (0.0,) * 13, 0.0)
+    meta = scoring.Metadata("c", "now", "v1", 1, 1, 1, 0.5, {}, {})
+    assert artifacts.publish(spark, folder, model, meta).endswith("/v25")
+    artifacts.allocate_next_version(spark, folder)  # a writer that dies
+    assert artifacts.resolve_latest_version(spark, folder).endswith("/v25")
+    with pytest.raises(artifacts.ModelLoadError):
+        artifacts.load_model_or_raise(spark, f"{folder}/v26")
+
+
+def test_an_empty_held_out_split_is_refused(spark):
+    decisions = "query_id long, chunk_id string, retrieval_score double, rank int, kept boolean, tokens int, threshold double, min_context int"
+    evidence = spark.createDataFrame([(1, "a")], "query_id long, chunk_id string")
+    rows = spark.createDataFrame([(1, "a", 0.9, 0, True, 10, 0.5, 2), (1, "b", 0.1, 5, False, 30, 0.5, 2)], decisions)
+    got = {r.method: tuple(r)[1:] for r in metrics.held_out_eval(rows, evidence).collect()}
+    assert got == {m: (1.0, 1.0, 0.75) for m in metrics.METHODS}
+    with pytest.raises(Exception, match="held-out split is empty"):
+        metrics.held_out_eval(rows.limit(0), evidence).collect()
+
+
+def test_merged_sketches_stay_within_their_error(spark):
+    rows = spark.range(30_000).select((F.col("id") % 7).alias("day"), (F.xxhash64("id") % 1000).cast("double").alias("value"), (F.col("id") % 2).alias("key"))
+    daily = metrics.latency_sketches(rows, "value", ["key", "day"])
+    merged = metrics.merge_sketches(daily, ["key"])
+    whole = metrics.latency_sketches(rows, "value", ["key"])
+    values = {k: sorted(r.value for r in rows.filter(F.col("key") == k).collect()) for k in (0, 1)}
+    for sketches in (merged, whole):
+        for r in metrics.sketched_percentile(sketches, [0.1, 0.5, 0.99], ["key"]).collect():
+            own = values[r.key]
+            low, high = bisect.bisect_left(own, r.percentile_value) / len(own), bisect.bisect_right(own, r.percentile_value) / len(own)
+            assert low - 2 * metrics.SKETCH_ERROR <= r.pct <= high + 2 * metrics.SKETCH_ERROR
+    assert metrics.latency_sketches(rows.limit(0), "value").collect() == []
+
+
+def test_why_a_question_was_not_pruned(spark):
+    names = scoring.NUMERIC_FEATURES
+    rows = [(q, f"c{i}", "d", i, i, 0.5, 10, "prose", *[None if (q, i, n) in {(2, 1, names[4]), (2, 2, names[3])} else 0.1 for n in names]) for q in (1, 2) for i in range(3)]
+    kinds = "query_id long, chunk_id string, doc_id string, position int, rank int, retrieval_score double, tokens int, source_type string, "
+    frame = spark.createDataFrame(rows, kinds + ", ".join(f"{n} double" for n in names))
+    model = scoring.LogisticModel(scoring.Scaler((0.0,) * 9, (1.0,) * 9), (1.0,) * 13, 0.0)
+    for own, version, want in ((model, "v3", {1: None, 2: f"feature {names[4]} is missing"}), (None, None, {1: "no model", 2: "no model"})):
+        scored = scoring.predict_or_explain(frame, own, version).select(*scoring.PRUNED, "score_error", "model_version")
+        decided = rules.explain(rules.apply_rules(rules.with_preset(scored)))
+        got = {(r.query_id, r.disabled_reason, r.model_version, r.pruning_enabled) for r in decided.collect()}
+        assert got == {(q, why, version, why is None) for q, why in want.items()}
+        assert {r.query_id: r.disabled_reason for r in rules.summarise(decided).collect()} == want
