@@ -53,9 +53,10 @@ def rank_and_score(chunks: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.col("position") == 0,
         entries(F.lit(-1), term_counts(retrieval_terms(F.col("query_text")))),
     ).otherwise(F.expr("cast(array() as array<struct<_p:int,term:string,tf:double>>)"))
+    # Counted where the text is: what moves is the counts, once for every grouping below.
     pairs = (
-        chunks.repartition(*keys)  # serves every grouping below
-        .select(*keys, F.concat(own, placeholder, asked).alias("_e"))
+        chunks.select(*keys, F.concat(own, placeholder, asked).alias("_e"))
+        .repartition(*keys)
         .select(*keys, F.inline_outer("_e"))
     )
     in_set = Window.partitionBy(*keys)

@@ -119,6 +119,15 @@ class Postings:
         posted = self.chunks.select(*self.model.scope, "chunk_no", F.inline_outer("terms"))
         return posted.filter(F.col("term").isNotNull())
 
+    @property
+    def reads_by_term(self) -> bool:
+        """Whether postings are found by their term, so that a query need not read them all."""
+        return False
+
+    def rows_for(self, asked: DataFrame) -> DataFrame:
+        """At least the rows of the terms in ``asked``."""
+        return self.rows
+
     @property
     def norms(self) -> DataFrame:
         """``scope..., chunk_no, norm``; the rows of a chunk lie together, so they are summed before the shuffle."""
@@ -289,7 +298,7 @@ def scores(
     scope = list(postings.model.scope)
     on = [*scope, "term"]
     vectors = materialise(query_vectors(queries, postings.model))
-    rows = postings.rows
+    rows = postings.rows_for(vectors)
     small_queries = fits_broadcast(vectors, "term", max_rows=max_broadcast_rows)
     if not small_queries:
         parts = F.ceil(F.col("df") / salt_rows).cast("int")
@@ -403,7 +412,7 @@ def retrieve(
     keys = [*scope, "query_id"]
     vectors = materialise(query_vectors(queries, postings.model))
     few = vectors.select("query_id").distinct().count() <= query_block and fits_broadcast(vectors, "term")
-    if postings.model.small and few:
+    if postings.model.small and few and not postings.reads_by_term:
         hits = top_k(_best_in_task(postings, vectors, k), k, keys)
     else:
         # Pairs travel by number; ids are fetched for the best k scores of a query, ties

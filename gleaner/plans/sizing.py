@@ -15,12 +15,18 @@ MAX_BROADCAST_BYTES = 64 * 1024 * 1024
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``, else one in the warehouse.
 
-    Both are shared by driver and executors wherever the session runs, so a written
-    table survives the loss of an executor.
+    It has to be shared by driver and executors, so that a written table survives the
+    loss of an executor.  A warehouse on a local disk is shared only while everything
+    runs in one process; a session on a cluster without a named folder raises.
     """
     named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not named:
-        named = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(warehouse)
+        local = path.getFileSystem(spark._jsc.hadoopConfiguration()).getScheme() == "file"
+        if local and not spark.sparkContext.master.startswith("local"):
+            raise ValueError("no shared folder: name one in spark.checkpoint.dir")
+        named = f"{warehouse}/_scratch"
         spark.sparkContext.setCheckpointDir(named)
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")

@@ -303,6 +303,7 @@ ORACLES["tfidf_chunk_norms"] = (
 ORACLES["retrieve_top_k"] = (
     f"WITH {CHUNKS}, {QUESTIONS}, {ranking()} SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM ranked"
 )
+ORACLES["retrieve_kept_index"] = ORACLES["retrieve_top_k"]
 ORACLES["retrieve_unknown_words"] = (
     f"WITH {CHUNKS} SELECT item_id AS query_id, chunk_id, r - 1 AS rank, 0.0::DOUBLE AS score FROM benchmark CROSS JOIN"
     " (SELECT chunk_id, row_number() OVER (ORDER BY chunk_id) AS r FROM chunks) WHERE r <= 12"

@@ -15,6 +15,7 @@ from gleaner.functions import sections as S
 from gleaner.functions import text as T
 from gleaner.operators import (
     dense,
+    kept_index,
     messages,
     metrics,
     retrieval,
@@ -242,6 +243,20 @@ def retrieve_top_k(spark, sf_dir):
     return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
 
 
+@query
+def retrieve_kept_index(spark, sf_dir):
+    """The same ranking from an index that was kept and grew by a second batch of documents."""
+    chunks = V.document_chunks(spark, sf_dir)
+    folder = f"{shared_folder(spark)}/index/{uuid.uuid4().hex}"
+    kept_index.create(spark, folder, owner="workload", days=1)
+    later = F.pmod(F.xxhash64("doc_id"), F.lit(3)) == 0
+    for part in (chunks.filter(~later), chunks.filter(later)):
+        kept_index.add(part, folder)
+    ranked = materialise(kept_index.retrieve(spark, V.questions(spark, sf_dir), folder))
+    kept_index.drop(spark, folder, owner="workload")
+    return ranked.select("query_id", "chunk_id", _long("rank").alias("rank"), _r("score").alias("score"))
+
+
 @query
 def retrieve_unknown_words(spark, sf_dir):
     """Queries of stop words and unseen words only: zero scores in id order."""
