@@ -370,7 +370,7 @@ def _best_in_task(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, bounds = None, np.zeros(len(queries))
-        for batch in batches:
+        for batch in batches if len(queries) else ():  # no query may have a known term
             for cut in range(0, batch.num_rows, CHUNK_BLOCK):
                 part = batch.slice(cut, CHUNK_BLOCK)
                 listed = part.column("terms")

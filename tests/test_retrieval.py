@@ -82,6 +82,16 @@ def test_small_corpus_and_padding(spark):
     assert ranked(retrieval.retrieve(queries, chunks, 12)) == {1: ["c", "a", "b"], 2: ["a", "b", "c"]}
 
 
+def test_queries_without_a_known_term(spark):
+    rows = corpus(20)
+    chunks = spark.createDataFrame(rows, "chunk_id string, text string")
+    asked = [(1, "nothing"), (2, "the of")]
+    queries = spark.createDataFrame(asked, "query_id long, query_text string")
+    for block in (1024, 0):
+        assert ranked(retrieval.retrieve(queries, chunks, 3, query_block=block)) == brute(rows, asked, 3)
+    assert retrieval.retrieve(queries.limit(0), chunks, 3).collect() == []
+
+
 def test_scopes_are_fitted_apart(spark):
     rows = corpus()
     parts = {"x": rows[:30], "y": rows[30:]}
