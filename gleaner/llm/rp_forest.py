@@ -31,6 +31,8 @@ SAMPLE = 1 << 16
 SHARE, LEAST = 0.6, 6000
 # Vectors of one tree that meet in one task.
 PART_ROWS = 1 << 16
+# Distinct queries that meet a part in one task, and that one task walks through the trees.
+BLOCK_QUERIES, PROBE_QUERIES = 1 << 12, 64
 K = 5
 
 
@@ -102,6 +104,23 @@ def _stack(blobs: pd.Series, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(blobs), np.float64).reshape(-1, width)
 
 
+def _scaled(rows: np.ndarray) -> np.ndarray:
+    """Rows times a power of two that brings the largest component near 1, so no norm over- or underflows."""
+    return np.ldexp(rows, -np.frexp(np.abs(rows).max(axis=1, keepdims=True))[1])
+
+
+def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+    """Places of the ``k`` largest scores of each row, ties to the smaller id."""
+    if score.shape[1] <= k:
+        return np.broadcast_to(np.arange(score.shape[1]), score.shape)
+    top = np.argpartition(-score, k - 1, axis=1)[:, :k]
+    least = np.take_along_axis(score, top, 1).min(axis=1)
+    tied = np.flatnonzero((score >= least[:, None]).sum(axis=1) > k)
+    if len(tied):
+        top[tied] = np.lexsort((ids[tied], -score[tied]), axis=1)[:, :k]
+    return top
+
+
 def _usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, blob): whole, finite, non-zero vectors as packed doubles."""
     kept = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
@@ -149,6 +168,9 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
     shipped = spark.sparkContext.broadcast([(tree.planes, tree.offsets, tree.depth) for tree in grown])
     wanted = int(np.ceil(max(share * total, LEAST) * 2**depth / total))
     parts = 1 + total // PART_ROWS
+    asking = materialise(asked.select("blob").distinct().withColumn("key", F.xxhash64("blob")))
+    n_asking = asking.count()
+    blocks = 1 + n_asking // BLOCK_QUERIES
 
     def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -164,33 +186,35 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
                 unit = _unit(_stack([blob], width))[0].astype(np.float32)
                 found = pd.DataFrame(open_leaves(trees, unit, wanted), columns=["tree", "leaf"])
                 for (t, part), own in found.groupby(["tree", found["leaf"] % parts]):
-                    out.append((key, blob, int(t), int(part), own["leaf"].tolist()))
-            yield pd.DataFrame(out, columns=["key", "blob", "tree", "part", "leaves"])
+                    out.append((key, blob, int(t), int(part), key % blocks, own["leaf"].tolist()))
+            yield pd.DataFrame(out, columns=["key", "blob", "tree", "part", "block", "leaves"])
 
     def rank(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         """The best of the opened leaves of one tree and part, for each query."""
         columns = ["key", "ids", "score"]
         if not len(queries) or not len(found):
             return pd.DataFrame({c: pd.Series(dtype=kind) for c, kind in zip(columns, (int, object, float), strict=True)})
-        q, v = _stack(queries["blob"], width), _stack(found["blob"], width)
+        q, v = _scaled(_stack(queries["blob"], width)), _scaled(_stack(found["blob"], width))
+        # The smallest id of each vector, and of no vector.
+        smallest = np.append([min(x) for x in found["ids"]], np.iinfo(np.int64).max)
         q_size, v_size = np.linalg.norm(q, axis=1), np.linalg.norm(v, axis=1)
         order = np.argsort(found["leaf"].to_numpy(), kind="stable")
         leaves, bounds = np.unique(found["leaf"].to_numpy()[order], return_index=True)
         inside = dict(zip(leaves.tolist(), np.split(order, bounds[1:]), strict=True))
-        asking: dict[int, list[int]] = {}
+        askers: dict[int, list[int]] = {}
         for i, own in enumerate(queries["leaves"]):
             for leaf in own:
-                asking.setdefault(int(leaf), []).append(i)
+                askers.setdefault(int(leaf), []).append(i)
         best = np.full((len(q), k + 1), -np.inf)
         at = np.full((len(q), k + 1), -1)
         for leaf, members in inside.items():
-            if leaf not in asking:
+            if leaf not in askers:
                 continue
-            who = np.array(asking[leaf])
+            who = np.array(askers[leaf])
             score = (q[who] @ v[members].T) / (q_size[who, None] * v_size[members])
             score = np.concatenate([best[who], score], axis=1)
             place_of = np.concatenate([at[who], np.broadcast_to(members, (len(who), len(members)))], axis=1)
-            top = np.argpartition(-score, k, axis=1)[:, : k + 1]
+            top = _best(score, smallest[place_of], k + 1)
             best[who] = np.take_along_axis(score, top, 1)
             at[who] = np.take_along_axis(place_of, top, 1)
         i, j = np.nonzero(at >= 0)
@@ -199,14 +223,17 @@ def search(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vecto
         )
 
     placed = index.mapInPandas(place, "blob binary, key long, ids array<long>, tree int, leaf long")
-    placed = placed.withColumn("part", (F.col("leaf") % parts).cast("int"))
+    # A vector meets every block of queries; the blocks bound what one task holds of them.
+    placed = placed.withColumn("part", (F.col("leaf") % parts).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    )
     probes = (
-        asked.select("blob").distinct().withColumn("key", F.xxhash64("blob")).select("key", "blob")
-        .mapInPandas(probe, "key long, blob binary, tree int, part int, leaves array<long>")
+        asking.repartition(1 + min(n_asking // PROBE_QUERIES, 10_000)).select("key", "blob")
+        .mapInPandas(probe, "key long, blob binary, tree int, part int, block int, leaves array<long>")
     )
     near = (
-        probes.groupBy("tree", "part")
-        .cogroup(placed.groupBy("tree", "part"))
+        probes.groupBy("tree", "part", "block")
+        .cogroup(placed.groupBy("tree", "part", "block"))
         .applyInPandas(rank, "key long, ids array<long>, score double")
     )
     # Of each distinct query the k + 1 nearest ids; a query then leaves itself out.

@@ -195,9 +195,10 @@ def brute_nearest(rows, query, k):
     return sorted(((i, score(v)) for i, v in rows if i != query), key=lambda x: (-round(x[1], 12), x[0]))[:k]
 
 
-@pytest.mark.parametrize("part_rows", [1 << 16, 200])
-def test_forest_recall_ties_and_odd_vectors(spark, monkeypatch, part_rows):
+@pytest.mark.parametrize("part_rows, block", [(1 << 16, 1 << 12), (200, 9)])
+def test_forest_recall_ties_and_odd_vectors(spark, monkeypatch, part_rows, block):
     monkeypatch.setattr(rp_forest, "PART_ROWS", part_rows)
+    monkeypatch.setattr(rp_forest, "BLOCK_QUERIES", block)
     rng = np.random.default_rng(2)
     rows = [(i, rng.standard_normal(16).astype(np.float32).tolist()) for i in range(1500)]
     rows += [(i, rows[7][1]) for i in range(1500, 1900)]
@@ -225,3 +226,21 @@ def test_forest_of_few_or_no_rows(spark):
     got = rp_forest.search(table, table.filter("vec_id % 50 = 0")).collect()
     assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == [(0, 1, 3), (0, 2, 50), (50, 1, 3), (50, 2, 0)]
     assert rp_forest.search(table.limit(0), table.limit(0)).collect() == []
+
+
+def test_forest_scales_tiny_and_huge_vectors(spark):
+    own = [1.0, 2.0, 3.0]
+    rows = [(50, [x * 1e-200 for x in own])]
+    # Copies scaled by powers of two have equal scores, so the smaller ids win.
+    rows += [(i, [x * 2.0 ** (40 * i - 400) for x in own]) for i in range(1, 20)]
+    rows += [(100, [x * 1e200 for x in own]), (30, [1.0, 2.0, 2.0]), (31, [-1.0, 0.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in rp_forest.search(table, table.filter("vec_id % 50 = 0"), k=30).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for query in (50, 100):
+        own_rows = sorted(got[query])
+        assert len(own_rows) == len(rows) - 1 and all(math.isfinite(s) and -1 <= s <= 1 + 1e-12 for _, _, s in own_rows)
+        assert [i for _, i, _ in own_rows[-2:]] == [30, 31]
+    few = rp_forest.search(table.filter("vec_id < 20 or vec_id = 50"), table.filter("vec_id = 50")).collect()
+    assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4, 5]
