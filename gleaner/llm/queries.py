@@ -85,8 +85,8 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_brown_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
-    model, counts = brown_lm.train(docs.filter(learnable(F.col("doc_id"), 7)))
-    scored = brown_lm.score(docs, model, counts)
+    model, tail = brown_lm.train(docs.filter(learnable(F.col("doc_id"), 7)))
+    scored = brown_lm.score(docs, model, tail)
     return scored.select("doc_id", held_out(F.col("doc_id"), 7).alias("held_out"), *scored.columns[1:])
 
 

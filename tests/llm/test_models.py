@@ -97,44 +97,114 @@ def test_base_scores_match_brute_force_and_the_model_beats_them(spark, docs, mon
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_scores_do_not_depend_on_the_table_of_frequent_words(spark, docs, monkeypatch):
-    model, counts = brown_lm.train(docs)
-    odd = spark.createDataFrame([(1, None), (2, ""), (3, "unseen wörd the"), (3, "unseen wörd the"), (None, "the")], "doc_id long, text string")
-    first = brown_lm.score(odd, model, counts).collect()
-    monkeypatch.setattr(brown_lm, "FREQUENT", 7)
-    second = brown_lm.score(odd, model, counts).collect()
-    assert len(first) == 5 and {r["n_tokens"] for r in first if r["doc_id"] in (1, 2)} == {1}
-    for a, b in zip(sorted(map(str, first)), sorted(map(str, second)), strict=True):
-        assert a[:60] == b[:60]
+def plain_scores(texts, learned, model, tail):
+    """The class model written out: sums over the words of each text."""
+    cls = {w: int(model.classes[i]) for i, w in enumerate(model.words)} | {brown_lm.END: 0}
+    behind = dict(cls)
+    cls |= {bytes(r["word"]): r["cls"] for r in tail.collect() if r["cls"] is not None}
+    cut = {i: [w.encode() for w in tokens(t)] for i, t in texts.items()}
+    counts = Counter(w for i in learned for w in cut[i])
+    of_ending = {e: int(model.classes[len(model.words) + 1 + i]) for e, i in model.endings.items()}
+    other = int(model.classes[-1])
+    last = lambda w: e if (e := w.decode()[-2:].encode()) in model.endings else None
+    history = lambda w: behind.get(w, of_ending.get(last(w), other))
+    own = lambda w: cls.get(w, of_ending.get(last(w), other))
+    n = len(model.step)
+    table = np.zeros((n, n))
+    for i in learned:
+        for a, b in zip([brown_lm.END, *cut[i]], cut[i]):
+            table[history(a), own(b)] += 1
+    rare = [w for w in counts if w not in cls]
+    among = {e: sum(counts[w] for w in rare if last(w) == e) for e in [None, *model.endings]}
+    kinds = {e: sum(last(w) == e for w in rare) for e in among}
+    mass = np.zeros(n)
+    for w, c in cls.items():
+        mass[c] += counts[w] + 1
+    for e, m in among.items():
+        mass[of_ending.get(e, other)] += m + 1
+    if len(model.endings) < brown_lm.ENDINGS:  # endings that no word has are units as well
+        mass[other] += brown_lm.ENDINGS - len(model.endings)
+    share = (table.sum(axis=0) + 1) / (table.sum() + n)
+
+    def chance(a, b):
+        g, h = history(a), own(b)
+        kinds_behind = max((table[g] > 0).sum(), 1)
+        p = (table[g, h] + kinds_behind * share[h]) / (table[g].sum() + kinds_behind)
+        if b in cls:
+            return p * (counts[b] + 1) / mass[h]
+        e = last(b)
+        return p * (among[e] + 1) / mass[h] * (counts[b] + 1) / (among[e] + kinds[e] + 1)
+
+    return {i: sum(math.log10(chance(a, b)) for a, b in zip([brown_lm.END, *own_words], own_words)) for i, own_words in cut.items()}
+
+
+@pytest.mark.parametrize("frequent, block", [(1 << 18, 256), (1200, 7), (40, 256)])
+def test_class_scores_match_brute_force(spark, docs, monkeypatch, frequent, block):
+    monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+    monkeypatch.setattr(brown_lm, "BLOCK", block)
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    texts |= {-1: None, -2: "", -3: "unseen wörd the THE the xq'zz", -4: "Wörd " * 3000}
+    learned = [i for i in texts if i % 3]
+    rows = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    model, tail = brown_lm.train(rows.filter("doc_id % 3 <> 0"))
+    words = Counter(w.encode() for i in learned for w in tokens(texts[i]))
+    placed = {bytes(r["word"]): (r["n"], r["cls"]) for r in tail.collect()}
+    # Every word is in the table or beside it, and every word that is not rare has a class of its own.
+    assert set(placed) | set(model.words) | {brown_lm.END} == set(words) and not set(placed) & set(model.words)
+    assert all(n == words[w] and (c is not None) == (n >= brown_lm.LEAST) for w, (n, c) in placed.items())
+    assert len(model.words) <= frequent and (frequent > 1200 or any(c for _, c in placed.values()))
+    assert (model.classes[: len(model.words)] > 0).all()
+    want = plain_scores(texts, learned, model, tail)
+    # A repeated id, and columns with the names of results.
+    table = rows.union(rows.filter("doc_id = -3")).withColumn("score", F.lit("x")).withColumn("word", F.lit("y"))
+    got = brown_lm.score(table, model, tail).collect()
+    assert len(got) == len(texts) + 1
+    for r in got:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=1e-9)
+
+
+def test_words_move_to_the_class_of_their_neighbours(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "WORDS", 40)
+    rng = np.random.default_rng(3)
+    # Two kinds of words alternate; spelling says nothing, since all end alike.
+    first, second = ([f"{k}{i}zz" for i in range(60)] for k in "ab")
+    weights = 1 / np.arange(1, 61)
+    weights /= weights.sum()
+    lines = [" ".join(w for _ in range(40) for w in (rng.choice(first, p=weights), rng.choice(second, p=weights))) for _ in range(120)]
+    rows = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    for frequent in (1 << 18, 60):
+        monkeypatch.setattr(brown_lm, "FREQUENT", frequent)
+        model, tail = brown_lm.train(rows)
+        cls = {w: int(model.classes[i]) for i, w in enumerate(model.words)} | {bytes(r["word"]): r["cls"] for r in tail.collect()}
+        kinds = {k: Counter(c for w, c in cls.items() if w.startswith(k) and c is not None) for k in (b"a", b"b")}
+        both = sum(min(kinds[b"a"][c], kinds[b"b"][c]) for c in kinds[b"a"])
+        assert len(cls) == 120 and both <= 6
 
 
 def test_nothing_learned(spark):
     rows = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
-    model, counts = brown_lm.train(rows.limit(0))
-    (r,) = brown_lm.score(rows, model, counts).collect()
+    model, tail = brown_lm.train(rows.limit(0))
+    (r,) = brown_lm.score(rows, model, tail).collect()
     assert r["base_score"] == 0.0 and r["n_known"] == 0 and r["train_tokens"] == 0 and r["score"] <= 0
-    assert brown_lm.score(rows.limit(0), model, counts).collect() == []
-
-
-def test_model_probabilities_sum_to_one(spark, docs):
-    model, counts = brown_lm.train(docs)
-    rows = [(bytes(r["word"]), r["n"]) for r in counts.collect()]
-    for before in (0, 5, brown_lm.UNITS - 1):
-        total = 0.0
-        seen = set()
-        for word, n in rows:
-            unit = brown_lm.UNITS - 1 if word == brown_lm.END else brown_lm._unit(word, model.words, model.endings)
-            p = 10 ** model.step[before, unit]
-            if brown_lm.WORDS <= unit < brown_lm.UNITS - 1:
-                p *= (n + 1) / 10 ** model.among[unit]
-            total += p
-            seen.add(unit)
-        # One unseen word per ending, and units that no word uses.
-        for unit in range(brown_lm.UNITS):
-            if brown_lm.WORDS <= unit < brown_lm.UNITS - 1:
-                total += 10 ** model.step[before, unit] * (1 / 10 ** model.among[unit])
-            elif unit not in seen:
-                total += 10 ** model.step[before, unit]
+    assert brown_lm.score(rows.limit(0), model, tail).collect() == []
+
+
+def test_model_probabilities_sum_to_one(spark, docs, monkeypatch):
+    monkeypatch.setattr(brown_lm, "FREQUENT", 2000)
+    model, tail = brown_lm.train(docs)
+    size = len(model.words)
+    last = lambda w: model.endings.get(w.decode()[-2:].encode(), brown_lm.ENDINGS)
+    inside = 10 ** model.emit
+    for before in range(0, len(model.step), 7):
+        p = 10 ** model.step[before]
+        total = (p[model.classes[: size + 1]] * inside[: size + 1]).sum()
+        left = np.full(brown_lm.ENDINGS + 1, 1.0)  # one unseen word per ending
+        for r in tail.collect():
+            if r["cls"] is None:
+                left[last(bytes(r["word"]))] += r["n"] + 1
+            else:
+                total += p[r["cls"]] * (r["n"] + 1) / 10 ** model.mass[r["cls"]]
+        total += (p[model.classes[size + 1 :]] * inside[size + 1 :] * left / 10**model.among).sum()
         assert total == pytest.approx(1.0, abs=1e-6)
 
 
