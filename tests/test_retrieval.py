@@ -64,6 +64,18 @@ def test_matches_brute_force(spark, terms_in_broadcast, monkeypatch):
     assert ranked(retrieval.retrieve(queries, chunks, 12, model, query_block=0)) == want  # terms are joined
 
 
+@pytest.mark.parametrize("scope", [(), ("split",)])
+def test_large_vocabulary_emits_no_pairs(spark, scope, monkeypatch):
+    """Over a vocabulary that does not fit, chunks meet their norms and only the best leave a task."""
+    rows = corpus()
+    chunks = spark.createDataFrame([("x", *r) for r in [*rows, ("d9::e", "")]], "split string, chunk_id string, text string").repartition(3)
+    queries = spark.createDataFrame([("x", *q) for q in QUERIES], "split string, query_id long, query_text string")
+    model = retrieval.fit(chunks, scope, broadcast_terms=2)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 7)
+    monkeypatch.setattr(retrieval, "scores", lambda *a: pytest.fail("a row per pair"))
+    assert ranked(retrieval.retrieve(queries, chunks, 12, model)) == brute([*rows, ("d9::e", "")], QUERIES, 12)
+
+
 def test_large_query_side_takes_the_shuffle_plan(spark, monkeypatch):
     rows = corpus()
     chunks = spark.createDataFrame(rows, "chunk_id string, text string")
