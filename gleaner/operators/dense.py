@@ -148,9 +148,13 @@ def fit_latent(chunks: DataFrame, components: int = 50, columns: int = COLUMNS)
     wanted = min(components, used - 1, n_chunks - 1)
     if wanted < 1:
         return LatentSpace(idf, np.zeros((columns, 1)))
-    rows = MLUtils.convertVectorColumnsFromML(_weighted(counted, idf).select("_u"), "_u")
-    found = RowMatrix(rows.rdd.map(lambda r: r[0]), n_chunks, columns).computeSVD(wanted)
-    return LatentSpace(idf, found.V.toArray())
+    # Read by every step of the decomposition, so weighted once and kept; no row passes Python.
+    rows = MLUtils.convertVectorColumnsFromML(_weighted(counted, idf).select("_u"), "_u").persist()
+    try:
+        basis = RowMatrix(rows, n_chunks, columns).computeSVD(wanted).V.toArray()
+    finally:
+        rows.unpersist()
+    return LatentSpace(idf, basis)
 
 
 def latent_vectors(space: LatentSpace, texts: DataFrame, key: str) -> DataFrame:

@@ -4,6 +4,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import DataFrame
 
 from gleaner.config import STOP_WORDS
 from gleaner.operators import dense, retrieval
@@ -160,6 +161,20 @@ def test_latent_space_matches_dense_svd(spark):
     assert np.allclose(np.abs(have), np.abs(want), atol=1e-3)
 
 
+def test_latent_space_keeps_its_rows_for_all_steps(spark, monkeypatch):
+    """The decomposition reads its rows hundreds of times: kept, and not by way of Python."""
+    seen, plain = [], dense.RowMatrix
+
+    def watched(rows, *sizes):
+        seen.append((rows, isinstance(rows, DataFrame), rows.is_cached))
+        return plain(rows, *sizes)
+
+    monkeypatch.setattr(dense, "RowMatrix", watched)
+    dense.fit_latent(spark.createDataFrame(corpus(20), "chunk_id string, text string"), components=2)
+    [(rows, native, kept)] = seen
+    assert native and kept and not rows.is_cached
+
+
 def test_latent_space_of_texts_without_terms(spark):
     for rows in ([], [("a", "the of")], [("a", "alpha"), ("b", None)]):
         chunks = spark.createDataFrame(rows, "chunk_id string, text string")
