@@ -112,11 +112,11 @@ def worker_cache(owner: str, name: str = "") -> dict:
         module.__dict__.update(owner=owner, caches={})
         if held:
             held.clear()
-            _give_back()
+            give_back()
     return module.__dict__["caches"].setdefault(name, {})
 
 
-def _give_back() -> None:
+def give_back() -> None:
     """Hand freed memory back to the system, which an idle worker would otherwise keep."""
     gc.collect()
     pa.default_memory_pool().release_unused()

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, worker_cache
+from gleaner.llm.common import bounded_batches, give_back, worker_cache
 from gleaner.llm.pieces import CACHE_PIECES, LETTERS, encode_texts, merge_ranks
 from gleaner.plans.sizing import materialise
 
@@ -34,6 +34,9 @@ SHARES = (1.0, 0.9, 0.75, 0.5, 0.25, 0.0)
 NEAR_BEST = 0.98
 # Rows of one length are ranked in slices of about so many.
 SLICE_ROWS = 50_000
+# Parts that the tokenizer encodes at once.
+AT_ONCE = 1024
+
 
 def _merger(ranks: dict[bytes, int]):
     """Ids of a single match, by its bytes."""
@@ -73,8 +76,14 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
         def encode(parts: list[str]) -> list[bytes]:
             """Runs of letters are one match each and only merged; other parts take the tokenizer's pipeline."""
             letters = [merge is not None and LETTERS.fullmatch(p) is not None for p in parts]
-            rest = iter(tokenizer.encode_batch_fast([p for p, x in zip(parts, letters, strict=True) if not x], add_special_tokens=False))
-            return [array("I", merge(p.encode()) if x else next(rest).ids).tobytes() for p, x in zip(parts, letters, strict=True)]
+            rest = tokenise([p for p, x in zip(parts, letters, strict=True) if not x])
+            return [array("I", merge(p.encode()) if x else next(rest)).tobytes() for p, x in zip(parts, letters, strict=True)]
+
+        def tokenise(parts: list[str]) -> Iterator[list[int]]:
+            """A result of the tokenizer is many times as large as its ids, so few are held at once."""
+            for i in range(0, len(parts), AT_ONCE):
+                for found in tokenizer.encode_batch_fast(parts[i : i + AT_ONCE], add_special_tokens=False):
+                    yield found.ids
 
         for batch in batches:
             rows = []
@@ -93,6 +102,7 @@ def tokenised_pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY,
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)], names=names
             )
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 

@@ -314,3 +314,12 @@ def test_forest_scales_tiny_and_huge_vectors(spark):
         assert [i for _, i, _ in own_rows[-2:]] == [30, 31]
     few = rp_forest.search(table.filter("vec_id < 20 or vec_id = 50"), table.filter("vec_id = 50")).collect()
     assert sorted(r["vec_id"] for r in few) == [1, 2, 3, 4, 5]
+
+
+def test_calibration_predicts_once(spark):
+    """Two predictions in one task would need two workers, which stay for all later stages."""
+    model = language_id.fit({"de": {"und": 3, "der": 2}, "en": {"and": 3, "the": 2}})
+    held = spark.createDataFrame([("de", "der und der"), ("en", "the and"), ("en", "der"), ("de", "")], "lang string, text string")
+    found = language_id._calibration(model, held)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython") == 1
+    assert {r["lang"] for r in found.collect()} == {"de", "en"}
