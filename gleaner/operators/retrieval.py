@@ -7,12 +7,13 @@ through the term join; it is fetched again for the k winners of each query.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -112,6 +113,7 @@ class Postings:
 
     chunks: DataFrame  # scope..., chunk_no, chunk_id, terms: array of (term, tf); other columns
     model: TfidfModel
+    own: bool = field(default=False, kw_only=True)  # the model was fitted on these chunks, so it knows their terms
 
     @property
     def rows(self) -> DataFrame:
@@ -149,12 +151,12 @@ def post(
     refuse_empty: bool = False,
 ) -> Postings:
     """The vocabulary over counted chunks (``count_terms``), without reading any text."""
-    scope = tuple(scope)
-    if model is None:
+    scope, own = tuple(scope), model is None
+    if own:
         each = F.concat(F.array(F.lit(_COUNT_ROW)), F.transform("terms", lambda t: t["term"]))
         occurrences = counted.select(*scope, F.explode_outer(each).alias("term"))
         model = _model(occurrences, scope, MAX_BROADCAST_ROWS, refuse_empty)
-    return Postings(counted, model)
+    return Postings(counted, model, own=own)
 
 
 def index(chunks: DataFrame, scope: Sequence[str] = (), model: TfidfModel | None = None) -> Postings:
@@ -162,6 +164,12 @@ def index(chunks: DataFrame, scope: Sequence[str] = (), model: TfidfModel | None
     return post(count_terms(chunks, *scope), scope, model)
 
 
+def _most_frequent(model: TfidfModel, vocabulary: DataFrame) -> DataFrame:
+    """The most frequent terms, bounded in rows and in bytes: overlong ones are left out."""
+    short = vocabulary.filter(F.octet_length("term") <= MAX_HOT_TERM_BYTES)
+    return short.orderBy(F.col("df").desc(), *model.scope, "term").limit(model.hot_terms)
+
+
 def _with_idf(pairs: DataFrame, model: TfidfModel, vocabulary: DataFrame) -> DataFrame:
     """Attach vocabulary columns to (chunk, term) rows.
 
@@ -173,12 +181,7 @@ def _with_idf(pairs: DataFrame, model: TfidfModel, vocabulary: DataFrame) -> Dat
     on = [*model.scope, "term"]
     if model.small:
         return pairs.join(F.broadcast(vocabulary), on)
-    # Bounded in rows and in bytes: overlong terms are left to the other branch.
-    most_frequent = (
-        vocabulary.filter(F.octet_length("term") <= MAX_HOT_TERM_BYTES)
-        .orderBy(F.col("df").desc(), *on)
-        .limit(model.hot_terms)
-    )
+    most_frequent = _most_frequent(model, vocabulary)
     hot, hot_keys = F.broadcast(most_frequent), F.broadcast(most_frequent.select(*on))
     frequent = pairs.join(hot, on)
     rare = pairs.join(hot_keys, on, "left_anti").join(
@@ -331,86 +334,201 @@ def _with_parts(rows: DataFrame, terms: DataFrame, on: list[str]) -> DataFrame:
     return found.withColumn("_parts", F.coalesce("_parts", F.lit(1)))
 
 
-def _best_in_task(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
-    """The k best chunks of each query in each task: scope..., chunk_id, query_id, score.
+@dataclass(frozen=True)
+class _Asked:
+    """A bounded block of queries as tasks read it.
 
-    For a bounded block of queries.  A batch of chunks is multiplied with all queries at
-    once and no (query, chunk) pair leaves the task unless it is among the k best there,
-    ties going to the smaller id.  Norms are taken in the task from a vocabulary that
-    fits; of a larger one only the asked terms are sent, and chunks meet their norms first.
-    """
-    scope, small = list(postings.model.scope), postings.model.small
-    join = lambda term: F.concat_ws("\x1f", *[F.col(s).cast("string") for s in scope], term) if scope else term
-    vocabulary = postings.model.vocabulary if small else vectors.select(*scope, "term", "idf").distinct()
-    known = vocabulary.select(join(F.col("term")).alias("term"), "idf").toArrow()
-    asked = vectors.select(join(F.col("term")).alias("term"), *scope, "query_id", (F.col("idf") * F.col("qw")).alias("w")).toArrow()
+    ``shipped``: the terms sent, their idf, where the weights of each term begin, and the
+    queries and values of all weights."""
+
+    shipped: Broadcast
+    queries: np.ndarray
+    scopes: dict
+    kinds: list[pa.DataType]  # of the scope columns and the query's id
+
+    def named(self, found: pd.DataFrame) -> list[pa.Array]:
+        """Scope columns and query ids of rows whose ``q`` numbers the query."""
+        own = [pa.array([self.scopes[q][i] for q in found["q"]], type=kind) for i, kind in enumerate(self.kinds[:-1])]
+        return [*own, pa.array(self.queries[found["q"]], type=self.kinds[-1])]
+
+    def dots(self, at: np.ndarray, tf: np.ndarray, chunk: np.ndarray, chunks: int) -> np.ndarray:
+        """Products of ``chunks`` chunks with all queries, from the places of their terms."""
+        _, _, starts, query, weight = self.shipped.value
+        times = starts[at + 1] - starts[at]
+        hit = np.repeat(np.arange(len(at)), times)
+        slot = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[at], times)
+        width = len(self.queries)
+        return np.bincount(chunk[hit] * width + query[slot], tf[hit] * weight[slot], chunks * width).reshape(-1, width).astype(float)
+
+
+def _keyed(scope: Sequence[str], term: Column) -> Column:
+    """A term with its scope before it."""
+    return F.concat_ws("\x1f", *[F.col(s).cast("string") for s in scope], term) if scope else term
+
+
+def _ask(vocabulary: DataFrame, vectors: DataFrame, scope: list[str]) -> _Asked:
+    """Send the queries with the idf of ``vocabulary``, which has their terms."""
+    key = _keyed(scope, F.col("term")).alias("term")
+    known = vocabulary.select(key, "idf").toArrow()
+    asked = vectors.select(key, *scope, "query_id", (F.col("idf") * F.col("qw")).alias("w")).toArrow()
     queries, of_query = np.unique(asked["query_id"].to_numpy(zero_copy_only=False), return_inverse=True)
     scopes = {q: tuple(asked[s][i].as_py() for s in scope) for i, q in enumerate(of_query.tolist())}
     place = pc.index_in(asked["term"], value_set=known["term"].combine_chunks()).to_numpy()
     order = np.argsort(place, kind="stable")
-    shipped = postings.chunks.sparkSession.sparkContext.broadcast((
+    shipped = vectors.sparkSession.sparkContext.broadcast((
         known["term"].combine_chunks(), known["idf"].to_numpy(), np.searchsorted(place[order], np.arange(len(known) + 1)),
         of_query[order], asked["w"].to_numpy()[order],
     ))
+    return _Asked(shipped, queries, scopes, [asked[c].type for c in (*scope, "query_id")])
 
-    def score(ids: pa.Array, terms: pa.Array, counts: pa.Array, sizes: np.ndarray, norm: np.ndarray | None, bounds: np.ndarray) -> pd.DataFrame:
-        vocabulary, idf, starts, query, weight = shipped.value
+
+def _counted(postings: Postings, scope: list[str], *columns: str) -> DataFrame:
+    keyed = F.transform("terms", lambda t: t.withField("term", _keyed(scope, t["term"]))) if scope else F.col("terms")
+    return postings.chunks.select(*columns, keyed.alias("terms"))
+
+
+def _best_in_task(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
+    """The k best chunks of each query in each task: scope..., query_id, chunk_id, score.
+
+    For a bounded block of queries.  A batch of chunks is multiplied with all queries at
+    once and no (query, chunk) pair leaves the task unless it is among the k best there,
+    ties going to the smaller id.  Norms are taken in the task from a vocabulary that
+    fits; over a larger one see :func:`_best_by_bounds`.
+    """
+    scope = list(postings.model.scope)
+    if not postings.model.small:
+        return _best_by_bounds(postings, vectors, k)
+    asked = _ask(postings.model.vocabulary, vectors, scope)
+
+    def score(ids: pa.Array, terms: pa.Array, counts: pa.Array, sizes: np.ndarray, bounds: np.ndarray) -> pd.DataFrame:
+        vocabulary, idf = asked.shipped.value[:2]
         at = pc.index_in(terms, value_set=vocabulary)
         at = at.to_numpy(zero_copy_only=False).astype(np.int64)  # every term is in the vocabulary
         tf, chunk = counts.to_numpy().astype(float), np.repeat(np.arange(len(sizes)), sizes)
-        if norm is None:
-            norm = np.sqrt(np.bincount(chunk, (tf * idf[at]) ** 2, len(sizes)).astype(float))
-        times = starts[at + 1] - starts[at]
-        hit = np.repeat(np.arange(len(at)), times)
-        slot = np.arange(len(hit)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(starts[at], times)
-        width = len(queries)
-        dots = np.bincount(chunk[hit] * width + query[slot], tf[hit] * weight[slot], len(sizes) * width).reshape(-1, width).astype(float)
+        norm = np.sqrt(np.bincount(chunk, (tf * idf[at]) ** 2, len(sizes)).astype(float))
+        dots = asked.dots(at, tf, chunk, len(sizes))
         scores = np.divide(dots, norm[:, None], out=np.zeros_like(dots), where=norm[:, None] > 0)
         steps = np.floor(scores * 10.0**SCORE_DIGITS + 0.5)
-        least = np.maximum(bounds, np.partition(steps, len(steps) - k, axis=0)[len(steps) - k] if len(steps) > k else 0)
+        least = np.maximum(bounds, _kth(steps, k))
         row, column = np.nonzero((steps >= least) & (dots > 0))
         return pd.DataFrame({"q": column, "step": steps[row, column], "score": scores[row, column], "chunk_id": ids.take(pa.array(row)).to_pandas()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, bounds = None, np.zeros(len(queries))
-        for batch in batches if len(queries) else ():  # no query may have a known term
+        held, bounds = None, np.zeros(len(asked.queries))
+        for batch in batches if len(asked.queries) else ():  # no query may have a known term
             for cut in range(0, batch.num_rows, CHUNK_BLOCK):
                 part = batch.slice(cut, CHUNK_BLOCK)
                 listed = part.column("terms")
                 flat = listed.flatten()
-                norm = None if small else part.column("norm").to_numpy()
-                found = score(part.column("chunk_id"), flat.field("term"), flat.field("tf"), pc.list_value_length(listed).to_numpy(zero_copy_only=False), norm, bounds)
+                found = score(part.column("chunk_id"), flat.field("term"), flat.field("tf"), pc.list_value_length(listed).to_numpy(zero_copy_only=False), bounds)
                 held = found if held is None else pd.concat([held, found], ignore_index=True)
                 held = held.sort_values(["q", "step", "chunk_id"], ascending=[True, False, True]).groupby("q").head(k)
-                full = held.groupby("q")["step"].agg(["size", "min"])
-                full = full[full["size"] >= k]
-                bounds[full.index.to_numpy()] = full["min"].to_numpy()
+                _raise(bounds, held, "step", k)
+        if held is not None and len(held):
+            columns = [*asked.named(held), pa.array(held["chunk_id"]), pa.array(held["score"])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*scope, "query_id", "chunk_id", "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *postings.chunks.schema]}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*scope, "query_id", "chunk_id")) + ", score double"
+    return _counted(postings, scope, "chunk_id").mapInArrow(run, schema)
+
+
+def _kth(steps: np.ndarray, k: int) -> np.ndarray | int:
+    """The k-th largest of each column."""
+    return np.partition(steps, len(steps) - k, axis=0)[len(steps) - k] if len(steps) > k else 0
+
+
+def _raise(bounds: np.ndarray, held: pd.DataFrame, column: str, k: int) -> None:
+    """Set the bound of each query that has k rows to the least of these."""
+    full = held.groupby("q")[column].agg(["size", "min"])
+    full = full[full["size"] >= k]
+    bounds[full.index.to_numpy()] = full["min"].to_numpy()
+
+
+def _best_by_bounds(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
+    """:func:`_best_in_task` over a vocabulary that is not sent whole.
+
+    The most frequent terms and the asked ones are sent.  The other terms of a chunk have
+    an idf between two bounds, so its score lies between two values, and a task gives up
+    only chunks that k others of it surely beat; of equal chunks it keeps the k of smallest
+    id.  What is left, k and a few per query and task, is held against the k-th best of all
+    tasks and then meets the exact idf of its other terms.
+    """
+    model, scope = postings.model, list(postings.model.scope)
+    keys = [*scope, "query_id"]
+    hot = materialise(_most_frequent(model, model.vocabulary))
+    floor = hot.agg(F.min("df").alias("df")).first()["df"]
+    short = (F.octet_length("term") <= MAX_HOT_TERM_BYTES) & (F.col("df") <= (2**62 if floor is None else floor))
+    limits = model.vocabulary.agg(F.min(F.when(short, F.col("idf"))).alias("least"), F.max("idf").alias("most")).first()
+    # An idf is at least 1; a term that another corpus' model does not know counts nothing.
+    least, overlong = (limits["least"] or 0.0, 1.0) if postings.own else (0.0, 0.0)
+    most = limits["most"] or 0.0
+    asked = _ask(hot.select(*scope, "term", "idf").unionByName(vectors.select(*scope, "term", "idf")).distinct(), vectors, scope)
+    names = ["q", "least", "most", "dot", "square", "chunk_no", "chunk_id", "rest"]
+
+    def score(part: pa.RecordBatch, bounds: np.ndarray) -> pd.DataFrame:
+        vocabulary, idf = asked.shipped.value[:2]
+        listed = part.column("terms")
+        flat, n = listed.flatten(), len(listed)
+        at = pc.fill_null(pc.index_in(flat.field("term"), value_set=vocabulary), -1).to_numpy().astype(np.int64)
+        tf = flat.field("tf").to_numpy().astype(float)
+        chunk = np.repeat(np.arange(n), pc.list_value_length(listed).to_numpy(zero_copy_only=False))
+        known, other = np.flatnonzero(at >= 0), np.flatnonzero(at < 0)
+        dots = asked.dots(at[known], tf[known], chunk[known], n)
+        square = np.bincount(chunk[known], (tf[known] * idf[at[known]]) ** 2, n).astype(float)
+        rest = flat.take(pa.array(other))
+        long = pc.binary_length(rest.field("term")).to_numpy() > MAX_HOT_TERM_BYTES
+        low = square + np.bincount(chunk[other], (tf[other] * np.where(long, overlong, least)) ** 2, n)
+        high = square + np.bincount(chunk[other], (tf[other] * most) ** 2, n)
+
+        def steps(squares: np.ndarray) -> np.ndarray:
+            norm = np.sqrt(squares)[:, None]
+            return np.floor(np.divide(dots, norm, out=np.zeros_like(dots), where=norm > 0) * 10.0**SCORE_DIGITS + 0.5)
+
+        at_least, at_most = steps(high) - 1, steps(low) + 1  # a step for rounding
+        row, column = np.nonzero((at_most >= np.maximum(bounds, _kth(at_least, k))) & (dots > 0))
+        offsets = pa.array(np.searchsorted(chunk[other], np.arange(n + 1)), pa.int32())
+        rest = pa.ListArray.from_arrays(offsets, rest)
+        own = {r: tuple((t["term"], t["tf"]) for t in rest[r].as_py()) for r in set(row.tolist())}
+        taken = pa.array(row)
+        values = [
+            column, at_least[row, column], at_most[row, column], dots[row, column], square[row],
+            part.column("chunk_no").take(taken).to_pandas(), part.column("chunk_id").take(taken).to_pandas(),
+            pd.Series([own[r] for r in row.tolist()], dtype=object),
+        ]
+        return pd.DataFrame(dict(zip(names, values, strict=True)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bounds = None, np.zeros(len(asked.queries))
+        for batch in batches if len(asked.queries) else ():
+            for cut in range(0, batch.num_rows, CHUNK_BLOCK):
+                found = score(batch.slice(cut, CHUNK_BLOCK), bounds)
+                if held is not None and not len(found):
+                    continue
+                held = found if held is None else pd.concat([held, found], ignore_index=True)
+                held = held.sort_values(["q", "least", "chunk_id"], ascending=[True, False, True])
+                held = held.groupby(["q", "dot", "square", "rest"], sort=False).head(k)
+                _raise(bounds, held.groupby("q").head(k), "least", k)
+                held = held[held["most"].to_numpy() >= bounds[held["q"].to_numpy()]]
         if held is not None and len(held):
-            columns = [pa.array([scopes[q][i] for q in held["q"]], type=asked[s].type) for i, s in enumerate(scope)]
-            columns += [pa.array(held["chunk_id"]), pa.array(queries[held["q"]], type=asked["query_id"].type), pa.array(held["score"])]
-            yield pa.RecordBatch.from_arrays(columns, names=[*scope, "chunk_id", "query_id", "score"])
+            rest = pa.array([[{"term": t, "tf": n} for t, n in own] for own in held["rest"]], pa.list_(pa.struct([("term", pa.string()), ("tf", pa.int32())])))
+            yield pa.RecordBatch.from_arrays([*asked.named(held), *[pa.array(held[c]) for c in names[1:-1]], rest], names=[*keys, *names[1:]])
 
     kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *postings.chunks.schema]}
-    schema = ", ".join(f"{c} {kinds[c]}" for c in (*scope, "chunk_id", "query_id")) + ", score double"
-    keyed = F.transform("terms", lambda t: t.withField("term", join(t["term"]))) if scope else F.col("terms")
-    if small:
-        return postings.chunks.select("chunk_id", keyed.alias("terms")).mapInArrow(run, schema)
-
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Chunks with an asked term, and of their terms only these."""
-        for batch in batches:
-            listed = batch.column("terms")
-            flat = listed.flatten()
-            hit = pc.is_in(flat.field("term"), value_set=shipped.value[0])
-            sizes = np.bincount(pc.list_parent_indices(listed).filter(hit).to_numpy(), minlength=len(listed))
-            offsets = pa.array(np.append(0, np.cumsum(sizes)), pa.int32())
-            left = pa.ListArray.from_arrays(offsets, flat.filter(hit), type=listed.type)
-            picked = pa.RecordBatch.from_arrays([*batch.columns[:-1], left], names=batch.schema.names)
-            yield picked.filter(pa.array(sizes > 0))
-
-    read = postings.chunks.select(*scope, "chunk_no", "chunk_id", keyed.alias("terms"))
-    met = read.mapInArrow(pick, read.schema).join(postings.norms, [*scope, "chunk_no"])
-    return met.select("chunk_id", "terms", "norm").mapInArrow(run, schema)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in keys) + ", least double, most double, dot double, square double, chunk_no long"
+    read = _counted(postings, scope, "chunk_no", "chunk_id")
+    found = materialise(read.mapInArrow(run, f"{schema}, chunk_id {kinds['chunk_id']}, rest array<struct<term:string,tf:int>>"))
+    by_least = Window.partitionBy(*keys).orderBy(F.col("least").desc())
+    beaten = found.select(*keys, "least").withColumn("_r", F.row_number().over(by_least)).filter(F.col("_r") <= k)
+    beaten = beaten.filter(F.col("_r") == k).select(*keys, F.col("least").alias("_least"))
+    near = found.join(F.broadcast(beaten), keys, "left").filter(F.col("most") >= F.coalesce("_least", "most"))
+    near = materialise(near.select(*keys, "chunk_no", "chunk_id", "dot", "square", "rest"))
+    others = near.select("chunk_no", F.inline("rest")).distinct()
+    weight = F.col("tf") * F.col("idf")
+    known = model.vocabulary.select(_keyed(scope, F.col("term")).alias("term"), "idf")
+    more = known.join(broadcast_if(fits_broadcast(others, "term"), others), "term").groupBy("chunk_no").agg(F.sum(weight * weight).alias("_more"))
+    norm = F.sqrt(F.col("square") + F.coalesce("_more", F.lit(0.0)))
+    return near.join(more, "chunk_no", "left").select(*keys, "chunk_id", (F.col("dot") / norm).alias("score"))
 
 
 def retrieve(

@@ -77,6 +77,24 @@ def test_large_vocabulary_emits_no_pairs(spark, scope, monkeypatch):
     assert ranked(retrieval.retrieve(queries, chunks, 12, model)) == brute([*rows, ("d9::e", "")], QUERIES, 12)
 
 
+@pytest.mark.parametrize("scope", [(), ("split",)])
+def test_large_vocabulary_needs_no_norms_of_all_chunks(spark, scope, monkeypatch):
+    """Bounds decide, and only what they leave meets its rare terms; copies and overlong terms included."""
+    rng = random.Random(5)
+    rows = [(c, f"{t} rare{rng.randint(0, 30)} rare{i % 7} once{i}") for i, (c, t) in enumerate(corpus(80))]
+    rows += [(f"e{i:02}::c0", "alpha beta rare3") for i in range(40)]
+    rows += [(f"f{i}::c0", f"alpha beta {'x' * 300} once{i}") for i in range(5)] + [("g::c0", "")]
+    asked = [*QUERIES, (6, "rare3 alpha"), (7, "once4 once5 " + "x" * 300)]
+    chunks = spark.createDataFrame([("x", *r) for r in rows], "split string, chunk_id string, text string").repartition(3)
+    queries = spark.createDataFrame([("x", *q) for q in asked], "split string, query_id long, query_text string")
+    monkeypatch.setattr(retrieval, "MAX_BROADCAST_ROWS", 4)
+    monkeypatch.setattr(retrieval, "CHUNK_BLOCK", 7)
+    monkeypatch.setattr(retrieval.Postings, "norms", property(lambda self: pytest.fail("norms of all chunks")))
+    kept = retrieval.index(chunks, scope)
+    assert not kept.model.small
+    assert ranked(retrieval.retrieve(queries, kept, 12)) == brute(rows, asked, 12)
+
+
 def test_large_query_side_takes_the_shuffle_plan(spark, monkeypatch):
     rows = corpus()
     chunks = spark.createDataFrame(rows, "chunk_id string, text string")
