@@ -5,37 +5,41 @@ from __future__ import annotations
 import base64
 import heapq
 import json
-import re
 import uuid
 import zlib
-from collections import Counter
 from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from gleaner.llm.common import bounded_batches, frequency_floor, fresh, trim, worker_cache
-from gleaner.llm.pieces import spaced_out
+from gleaner.llm.common import BATCH_ROWS, bounded_batches, frequency_floor, fresh, give_back, worker_cache
 from gleaner.plans.sizing import materialise
 
-# Buckets of the literal rank map; a bucket holds about one entry.
-BUCKETS = 1 << 16
 # Words whose ids go to every task.
 FREQUENT = 1 << 20
 # Longer words are merged in the worker.
 LONG = 256
+# Bits of the place of a part: 0 before a word, then from 1 the byte where it starts.
+PLACE = 9
 # Numbers from here on stand for a document's rare words until these are folded.
 RARE = 1 << 31
-# Distinct pieces that a task counts, and that a worker remembers.
+# Distinct words that a task counts before it hands them on.
 COUNTED = 1 << 18
-CACHE_PIECES = 200_000
+# Begins a piece that has no space before it.
+BARE = "\0"
+# White space, and characters taken for it, in Arrow's patterns.
+_WHITE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{180e}\x{2000}-\x{200b}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
+# A run of white space that forbids cutting a text at its spaces, or at its ends of lines.
+_RUN = f"{_WHITE} {_WHITE}|\\x00"
+_WIDE_END = rf"{_WHITE}\n|\n{_WHITE}"
 # Letters, and letters with one mark: one match and two, in patterns that keep words whole.
-_LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+")
-_MARKED = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]")
+_LETTERS = "^[A-Za-zÀ-ÖØ-öø-ɏ]+$"
+_MARKED = "^[A-Za-zÀ-ÖØ-öø-ɏ]+[.,]$"
 
 
 def parse_ranks(text: str) -> dict[bytes, int]:
@@ -43,146 +47,289 @@ def parse_ranks(text: str) -> dict[bytes, int]:
     return {base64.b64decode(a): int(n) for a, n in (line.split() for line in text.splitlines() if line.strip())}
 
 
-def rank_literal(ranks: dict[bytes, int]) -> Column:
-    """The rank map as one constant: hex bytes -> rank, in buckets by hash.
+class RankTable(NamedTuple):
+    """The ranks as constants of an expression.
 
-    Looking up a key of a Spark map scans it, so the map is cut into small ones.
+    ``pairs``: pairs of ids whose bytes together have a rank, those ranks in ``ranks``, and
+    in ``shifts``, by the pair's remainder, how far it stands from its place.  They are flat
+    arrays because every task reads the constants: 65,536 small maps took it seconds.
+    ``firsts``: what a byte's part is at first, by the byte and the next one.
+    ``whole``: words that have a rank but are not merged into it, by hex in buckets.
+    Ids take ``width`` bits; ids above ``largest`` stand for bytes without a rank.
     """
+
+    pairs: Column
+    ranks: Column
+    shifts: Column
+    sizes: tuple[int, int]
+    firsts: Column
+    whole: Column | None
+    buckets: int
+    width: int
+    largest: int
+
+
+def placed(pairs: dict[int, int]) -> tuple[list[int], list[int], list[int]]:
+    """Pairs and ranks in an array of places, -1 where none is, and the shifts.
+
+    Pairs with one remainder move on together until all their places are free.
+    """
+    groups = len(pairs) // 3 | 1
+    size = 2 * len(pairs) + 2
+    while True:
+        size += 1 + size % 2  # odd
+        own: list[list[int]] = [[] for _ in range(groups)]
+        for pair in pairs:
+            own[pair % groups].append(pair)
+        held, shifts = [-1] * size, [0] * groups
+        for group in sorted(range(groups), key=lambda g: -len(own[g])):
+            at = [pair % size for pair in own[group]]
+            if len(set(at)) < len(at):
+                break
+            shift = next((d for d in range(size) if all(held[(x + d) % size] < 0 for x in at)), None)
+            if shift is None:
+                break
+            shifts[group] = shift
+            for x, pair in zip(at, own[group], strict=True):
+                held[(x + shift) % size] = pair
+        else:
+            return held, [pairs.get(pair, -1) for pair in held], shifts
+
+
+def rank_literal(ranks: dict[bytes, int]) -> RankTable:
     from xxhash import xxh64_intdigest
 
-    buckets: list[dict[str, int]] = [{} for _ in range(BUCKETS)]
+    largest = max(ranks.values(), default=0)
+    full = {bytes([b]): largest + 1 + b for b in range(256)} | ranks
+    width = (largest + 258).bit_length()
+    never, shift = (1 << width) - 1, width + PLACE
+    pairs: dict[int, int] = {}
     for token, rank in ranks.items():
+        for i in range(1, len(token)):
+            left, right = full.get(token[:i]), full.get(token[i:])
+            if left is not None and right is not None:
+                pairs[left << width | right] = rank
+    single = [bytes([b]) for b in range(256)]
+    firsts = [(ranks.get(a + b, never) if b else never) << shift | full[a] for a in single for b in [*single, b""]]
+    unmerged = {t: n for t, n in ranks.items() if merge_long(t, full) != [n]}
+    buckets = max(1, len(unmerged))
+    whole: list[dict[str, int]] = [{} for _ in range(buckets)]
+    for token, rank in unmerged.items():
         key = token.hex().upper()
-        buckets[xxh64_intdigest(key, 42) % BUCKETS][key] = rank
-    return F.from_json(F.lit(json.dumps(buckets, separators=(",", ":"))), "array<map<string,int>>")
-
-
-def _bind(value: Column, body) -> Column:
-    """``body`` over a value that is evaluated once."""
-    return F.transform(F.array(value), body)[0]
+        whole[xxh64_intdigest(key, 42) % (1 << 32) % buckets][key] = rank
+    constant = lambda value, kind: F.from_json(F.lit(json.dumps(value, separators=(",", ":"))), kind)
+    held, values, shifts = placed(pairs)
+    return RankTable(
+        *(constant(values, "array<bigint>") for values in (held, values, shifts)),
+        (len(held), len(shifts)),
+        constant(firsts, "array<bigint>"),
+        constant(whole, "array<map<string,int>>") if unmerged else None,
+        buckets,
+        width,
+        largest if len(full) > len(ranks) else 1 << width,
+    )
 
 
-def merged_ranks(word: Column, table: Column) -> Column:
-    """Ids (array of int) of a binary word: the lowest-ranked pair merges until none is left.
+def _bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is evaluated once.
 
-    The state holds the parts as hex and the rank of each neighbouring pair; one step
-    merges the leftmost pair of lowest rank and looks up its two new neighbours.
+    It is the end of an empty fold: an element of an array of one would ask for the
+    type of the whole body whenever it is evaluated.
     """
-    return _bind(table, lambda t: _bind(F.hex(word), lambda text: _fold(text, t)))
-
+    return F.aggregate(F.array().cast("array<int>"), value, lambda held, _: held, body)
 
-def _fold(text: Column, table: Column) -> Column:
-    def rank(key: Column) -> Column:
-        # xxhash64 is signed; its lowest 16 bits are those of the unsigned value.
-        bucket = F.xxhash64(key).bitwiseAND(F.lit(BUCKETS - 1).cast("long")).cast("int")
-        return F.try_element_at(F.get(table, bucket), key)
 
-    def state(parts: Column, ranks: Column) -> Column:
-        best = F.array_position(ranks, F.array_min(ranks)).cast("int")
-        return F.struct(parts.alias("parts"), ranks.alias("ranks"), best.alias("at"))
+def merged_ranks(word: Column, table: RankTable) -> Column:
+    """Ids (array of int) of a binary word of at most 256 bytes: the lowest-ranked pair merges until none is left.
 
-    none = F.array().cast("array<int>")
+    The state is an array of parts.  A part is one number: from its highest bits on, the
+    rank of its bytes and the next part's together, the place where it starts, its id.  So
+    the smallest part is the leftmost of lowest rank.  One step merges it with the next one
+    and looks up its two new neighbours.
+    """
+    merged = _fold(word, table, [])
+    if table.whole is not None:
+        bucket = lambda key: F.xxhash64(key).bitwiseAND(F.lit((1 << 32) - 1)) % table.buckets
+        rank = _bind(F.hex(word), lambda key: F.try_element_at(F.get(table.whole, bucket(key).cast("int")), key))
+        merged = _bind(rank, lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(merged))
+    return F.when(F.octet_length(word) == 0, F.array().cast("array<int>")).otherwise(merged)
+
+
+def _fold(word: Column, table: RankTable, bound: list[Column]) -> Column:
+    constants = table.pairs, table.ranks, table.shifts, table.firsts
+    if len(bound) < len(constants):  # named once, so that a plan holds each of them once
+        return _bind(constants[len(bound)], lambda c: _fold(word, table, [*bound, c]))
+    pairs, ranks, shifts, firsts = bound
+    width = table.width
+    shift = width + PLACE
+    never = (1 << width) - 1
+    size, groups = table.sizes
+    number = lambda n: F.lit(n).cast("long")
+    own = lambda part: part.bitwiseAND(number(never))
+
+    def with_rank(part: Column, left: Column, right: Column) -> Column:
+        """``part`` with the rank of the ids ``left`` and ``right`` together."""
+
+        def found(pair: Column) -> Column:
+            place = (pair % size + F.get(shifts, (pair % groups).cast("int"))) % size
+            return _bind(place.cast("int"), lambda i: F.when(F.get(pairs, i) == pair, F.get(ranks, i)).otherwise(number(never)))
+
+        return F.shiftleft(_bind(F.shiftleft(left, width).bitwiseOR(right), found), shift).bitwiseOR(part)
+
+    def merge(parts: Column, least: Column) -> Column:
+        def at(i: Column) -> Column:
+            id_ = F.shiftright(least, shift)
+            before = F.get(parts, i - 1)
+            new = F.array(
+                with_rank(before.bitwiseAND(number((1 << shift) - 1)), own(before), id_),
+                with_rank(least.bitwiseAND(number((1 << shift) - (1 << width))).bitwiseOR(id_), id_, own(F.get(parts, i + 2))),
+            )
+            return F.concat(F.slice(parts, F.lit(1), i - 1), new, F.slice(parts, i + 3, F.size(parts)))
 
-    def merge(s: Column) -> Column:
-        at, parts, ranks = s["at"], s["parts"], s["ranks"]
-        n = F.size(parts)
+        # Not array_position, which leaves its loop by an exception.
+        place = lambda part: F.shiftright(part, width).bitwiseAND(number((1 << PLACE) - 1))
+        return _bind(place(least), lambda here: _bind(F.size(F.filter(parts, lambda p: place(p) < here)), at))
 
-        def joined(pair: Column) -> Column:
-            left = F.when(at > 1, F.array(rank(F.concat(F.get(parts, at - 2), pair)))).otherwise(none)
-            right = F.when(at + 1 < n, F.array(rank(F.concat(pair, F.get(parts, at + 1))))).otherwise(none)
-            before = F.when(at > 2, F.slice(ranks, 1, at - 2)).otherwise(none)
-            new = F.concat(before, left, right, F.slice(ranks, at + 2, n))
-            merged = F.concat(F.slice(parts, 1, at - 1), F.array(pair), F.slice(parts, at + 2, n))
-            return _bind(new, lambda r: state(merged, r))
+    def step(parts: Column, _: Column) -> Column:
+        return _bind(F.array_min(parts), lambda x: F.when(x < number(never << shift), merge(parts, x)).otherwise(parts))
 
-        return _bind(F.concat(F.get(parts, at - 1), F.get(parts, at)), joined)
+    # A part before the first and one behind the last, which have no rank with any other.
+    outer = lambda place: F.array(number(never << shift | place << width | never))
+    text = F.transform(F.split(F.decode(word, "ISO-8859-1"), ""), lambda c: F.ascii(c))
+    first = lambda b: F.transform(
+        b, lambda x, i: F.get(firsts, x * 257 + F.coalesce(F.get(b, i + 1), F.lit(256))) + (i + 1).cast("long") * number(1 << width)
+    )
+    start = F.concat(outer(0), _bind(text, first), outer(LONG + 1))
+    folded = F.aggregate(F.sequence(F.lit(1), F.octet_length(word)), start, step)
+    ids = _bind(folded, lambda p: F.transform(F.slice(p, F.lit(2), F.size(p) - 2), lambda x: own(x).cast("int")))
+    return F.transform(ids, lambda x: F.when(x <= table.largest, x)) if table.largest < never else ids
 
-    size = (F.length(text) / 2).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), size - 1), lambda i: F.substring(text, i * 2 + 1, F.lit(2)))
-    ranks = lambda p: F.when(
-        F.size(p) > 1, F.transform(F.slice(p, 2, F.size(p)), lambda q, i: rank(F.concat(F.get(p, i), q)))
-    ).otherwise(none)
-    start = _bind(parts, lambda p: _bind(ranks(p), lambda r: state(p, r)))
-    folded = F.aggregate(F.sequence(F.lit(1), size), start, lambda s, _: F.when(s["at"] > 0, merge(s)).otherwise(s))
-    ids = F.transform(folded["parts"], rank)
-    whole = _bind(rank(text), lambda r: F.when(r.isNotNull(), F.array(r)).otherwise(ids))
-    return F.when(size == 0, none).otherwise(whole)
 
+def public_pattern() -> str:
+    import public_tokenizers
 
-def _matches(pattern: str) -> Callable[[str, bool], list[str]]:
-    """The pattern's matches in a piece, with or without the space before it."""
-    import regex
+    return public_tokenizers.PATTERN
 
-    found = regex.compile(pattern).findall
-    plain = pattern == public_pattern()
 
-    def matches(piece: str, spaced: bool) -> list[str]:
-        text = " " + piece if spaced else piece
-        if plain and _LETTERS.fullmatch(piece):
-            return [text]
-        if plain and _MARKED.fullmatch(piece):
-            return [text[:-1], text[-1]]
-        return found(text)
+def laid_out(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Places of the items of segments, one segment behind the other."""
+    ends = np.cumsum(sizes)
+    places = np.repeat(starts - (ends - sizes), sizes)
+    places += np.arange(len(places))
+    return places
 
-    return matches
 
+def ends_of(sizes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Bounds counted in the items of the segments, from bounds counted in segments."""
+    return np.concatenate([[0], np.cumsum(sizes)])[bounds]
 
-def public_pattern() -> str:
-    import public_tokenizers
 
-    return public_tokenizers.PATTERN
+def bytes_array(values: np.ndarray, bounds: np.ndarray) -> pa.Array:
+    """Binary values that share a buffer: ``bounds`` are counted in items of ``values``."""
+    offsets = pa.py_buffer((bounds * values.itemsize).astype(np.int64))
+    whole = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, offsets, pa.py_buffer(values)])
+    return whole.cast(pa.binary())
 
 
-def cut_pieces(text: str) -> tuple[str, list[str]]:
-    """The head of a text and its other pieces without the space before each.
+def cut_pieces(texts: pa.Array, lines: bool = True) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct pieces, the numbers of those that make up the texts, and the bounds of each text.
 
-    Their matches together are those of the text.
+    A piece stands behind a space, unless it begins with ``BARE``.  The matches of the
+    pieces together are those of the text, as ``pieces`` says.  With ``lines`` texts are
+    also cut before an end of line that stands between visible characters.
     """
-    if spaced_out(text):
-        return text, []
-    head, *rest = text.split(" ")
-    return head, rest
+    texts = texts.cast(pa.string()).fill_null("")
+    odd = pc.match_substring_regex(texts, _RUN)
+    plain = pc.if_else(odd, "", texts)
+    if lines:
+        ended = pc.replace_substring(plain, "\n", f" {BARE}\n")
+        plain = pc.if_else(pc.match_substring_regex(plain, _WIDE_END), plain, ended)
+    cut = pc.split_pattern(pc.binary_join_element_wise(BARE, plain, ""), " ")
+    coded = cut.flatten().dictionary_encode()
+    pieces, numbers = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+    bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(cut).to_numpy(zero_copy_only=False))]).astype(np.int64)
+    at = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+    if len(at):
+        numbers = numbers.copy()
+        numbers[bounds[at]] = len(pieces) + np.arange(len(at))
+        pieces = pa.concat_arrays([pieces, pc.binary_join_element_wise(BARE, texts.take(pa.array(at)), "")])
+    return pieces, numbers, bounds
+
+
+def piece_words(pieces: pa.Array, found: Callable[[str], list[str]], plain: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct matches in the pieces, the numbers of those of each piece, and how many each has."""
+    none = np.zeros(len(pieces), bool)
+    single = pc.match_substring_regex(pieces, _LETTERS).to_numpy(zero_copy_only=False) if plain else none
+    marked = pc.match_substring_regex(pieces, _MARKED).to_numpy(zero_copy_only=False) if plain else none
+    other = np.flatnonzero(~(single | marked))
+    two = pieces.filter(pa.array(marked))
+    lists = [found(p[1:] if p.startswith(BARE) else " " + p) for p in pieces.take(pa.array(other)).to_pylist()]
+    spaced = lambda words: pc.binary_join_element_wise(" ", words, "")
+    runs = [
+        spaced(pieces.filter(pa.array(single))),
+        spaced(pc.utf8_slice_codeunits(two, 0, -1)),
+        pc.utf8_slice_codeunits(two, -1),
+        pa.array([w for own in lists for w in own], pa.string()),
+    ]
+    coded = pa.concat_arrays(runs).dictionary_encode()
+    numbers = coded.indices.to_numpy(zero_copy_only=False)
+    sizes = single + 2 * marked.astype(np.int64)
+    sizes[other] = [len(own) for own in lists]
+    starts = np.cumsum(sizes) - sizes
+    first, second, third = np.cumsum([len(r) for r in runs[:3]])
+    out = np.empty(len(numbers), np.int64)
+    out[starts[single]] = numbers[:first]
+    out[starts[marked]] = numbers[first:second]
+    out[starts[marked] + 1] = numbers[second:third]
+    out[laid_out(starts[other], sizes[other])] = numbers[third:]
+    return coded.dictionary, out, sizes
+
+
+def text_words(texts: pa.Array, pattern: str) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Distinct matches of the pattern in the texts, their numbers in order, and the bounds of each text."""
+    import regex
+
+    plain = pattern == public_pattern()
+    pieces, numbers, bounds = cut_pieces(texts, plain)
+    words, own, sizes = piece_words(pieces, regex.compile(pattern).findall, plain)
+    starts = np.cumsum(sizes) - sizes
+    return words, own[laid_out(starts[numbers], sizes[numbers])], ends_of(sizes[numbers], bounds)
 
 
 def corpus_words(docs: DataFrame, pattern: str, text_col: str = "text") -> DataFrame:
     """(word, n): every match of the pattern in the corpus and how often it occurs.
 
     Tasks count before anything is shuffled; a task that holds too many distinct
-    pieces hands on what it has and starts again.
+    words hands on what it has and starts again.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matches = _matches(pattern)
-        seen: Counter[str] = Counter()
-        heads: Counter[str] = Counter()
-
-        def rows() -> pa.RecordBatch:
-            words: Counter[str] = Counter()
-            for pieces, spaced in ((seen, True), (heads, False)):
-                for piece, n in pieces.items():
-                    for word in matches(piece, spaced):
-                        words[word] += n
-            return pa.RecordBatch.from_arrays(
-                [pa.array([w.encode() for w in words], pa.binary()), pa.array(list(words.values()), pa.int64())],
-                names=["word", "n"],
-            )
+        schema = pa.schema([("word", pa.binary()), ("n", pa.int64())])
+        held, rows = [], 0
+
+        def counted() -> pa.Table:
+            summed = pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            return summed.rename_columns({"n_sum": "n"}).select(["word", "n"]).cast(schema).combine_chunks()
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                head, rest = cut_pieces(text or "")
-                heads[head] += 1
-                seen.update(rest)
-            if len(seen) + len(heads) > COUNTED:
-                yield rows()
-                seen.clear()
-                heads.clear()
-        yield rows()
+            words, numbers, _ = text_words(batch.column(0), pattern)
+            n = np.bincount(numbers, minlength=len(words))
+            held.append(pa.table([words.cast(pa.binary()), pa.array(n, pa.int64())], schema=schema))
+            rows += len(words)
+            if rows > 2 * COUNTED:
+                held = [counted()]
+                rows = held[0].num_rows
+                if rows > COUNTED:
+                    yield from held[0].to_batches()
+                    held, rows = [], 0
+        if held:
+            yield from counted().to_batches()
 
     return docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, bytes]:
-    """Sorted word hashes, and bounds and bytes of the packed ids, of at most ``frequent`` words, the most frequent ones."""
+def frequent_ids(words: DataFrame, table: RankTable, frequent: int = FREQUENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes, and bounds and ids behind one another, of at most ``frequent`` words, the most frequent ones."""
     from xxhash import xxh64_intdigest
 
     words = materialise(words)
@@ -191,13 +338,13 @@ def frequent_ids(words: DataFrame, table: Column, frequent: int = FREQUENT) -> t
     short = words.filter(F.octet_length("word") <= LONG)
     found = short.filter(F.col("n") >= least).select("word", merged_ranks(F.col("word"), table).alias("ids")).toArrow()
     ids = found["ids"].combine_chunks()
-    hashes = np.array([xxh64_intdigest(w) for w in found["word"].to_pylist()], np.uint64)
+    # Chunk by chunk, so that the driver never holds every word as an object.
+    hashes = np.fromiter((xxh64_intdigest(w) for b in found.to_batches(BATCH_ROWS) for w in b.column("word").to_pylist()), np.uint64)
     order = np.argsort(hashes)
-    sizes = np.diff(ids.offsets.to_numpy())
-    bounds = np.concatenate([[0], np.cumsum(sizes[order])])
-    starts = ids.offsets.to_numpy()[:-1][order]
-    take = np.repeat(starts - bounds[:-1], sizes[order]) + np.arange(bounds[-1])
-    return hashes[order], 4 * bounds, ids.values.to_numpy()[take].astype("<u4").tobytes()
+    offsets, values = ids.offsets.to_numpy(), ids.values.to_numpy()
+    sizes = np.diff(offsets)[order]
+    packed = values[laid_out(offsets[:-1][order], sizes)].astype("<u4")
+    return hashes[order], np.concatenate([[0], np.cumsum(sizes)]), packed
 
 
 def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", out_col: str = "encoded", frequent: int = FREQUENT) -> DataFrame:
@@ -217,109 +364,92 @@ def encode(docs: DataFrame, ranks: str, pattern: str, text_col: str = "text", ou
     bounded_batches(spark)
     rank = parse_ranks(ranks)
     table = rank_literal(rank)
+    give_back()  # the driver's share of what the table took
     shipped = spark.sparkContext.broadcast(frequent_ids(corpus_words(docs, pattern, text_col), table, frequent))
+    give_back()
     vocabulary = spark.sparkContext.broadcast(rank)
     key = f"{zlib.crc32(ranks.encode())} {uuid.uuid4().hex}"
 
-    def lookup(words: list[str]) -> list[bytes | None]:
-        """Packed ids of each word, None if it is not in the table."""
+    def lookup(words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Ids of the words, start and size of each one's, and which words are not in the table.
+
+        The latter have the one id ``RARE``.
+        """
         hashes, bounds, packed = shipped.value
-        raw = [w.encode() for w in words]
+        raw = words.cast(pa.binary()).to_pylist()
         hit, at = np.zeros(len(raw), bool), np.zeros(len(raw), np.int64)
         if len(hashes) and raw:
             hashed = np.array([xxh64_intdigest(w) for w in raw], np.uint64)
-            at = np.minimum(np.searchsorted(hashes, hashed), len(hashes) - 1)
+            order = np.argsort(hashed)  # neighbours in the table are met together
+            at[order] = np.minimum(np.searchsorted(hashes, hashed[order]), len(hashes) - 1)
             hit = hashes[at] == hashed
-        out = [packed[i:j] if h else None for h, i, j in zip(hit, bounds[at], bounds[at + hit], strict=True)]
-        return [
-            np.array(merge_long(w, vocabulary.value), "<u4").tobytes() if o is None and len(w) > LONG else o
-            for w, o in zip(raw, out, strict=True)
-        ]
-
-    def resolve(texts: list[str | None], store: dict, matches):
-        """The cut texts, ids of their heads and pieces, and those that are not in the table.
-
-        The latter have, instead of ids, a list of ids and of the matches that are missing.
-        """
-        cut = [cut_pieces(t or "") for t in texts]
-        heads = list({head for head, _ in cut})
-        met = set().union(*(rest for _, rest in cut))
-        cache, mixed = store.setdefault("pieces", {}), store.setdefault("mixed", set())
-        new = list(met.difference(cache))
-        trim(cache, met, len(new), CACHE_PIECES)
-        mixed.intersection_update(cache)
-        parts = [matches(piece, True) for piece in new] + [matches(head, False) for head in heads]
-        words = list({w for own in parts for w in own})
-        ids = {w: w if x is None else x for w, x in zip(words, lookup(words), strict=True)}
-        found = []
-        for own in parts:
-            x = [ids[w] for w in own]
-            found.append(x if str in map(type, x) else b"".join(x))
-        cache.update(zip(new, found, strict=False))
-        mixed.update(piece for piece, x in zip(new, found, strict=False) if type(x) is list)
-        return cut, dict(zip(heads, found[len(new) :], strict=True)), cache, mixed
-
-    def number(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        long = ~hit & (np.array([len(w) for w in raw], np.int64) > LONG)
+        merged = [np.array(merge_long(raw[i], vocabulary.value), "<u4") for i in np.flatnonzero(long)]
+        sizes = np.where(hit, bounds[at + hit] - bounds[at], 1)
+        sizes[long] = [len(x) for x in merged]
+        starts = np.cumsum(sizes) - sizes
+        ids = np.full(sizes.sum(), RARE, "<u4")
+        ids[laid_out(starts[hit], sizes[hit])] = packed[laid_out(bounds[at[hit]], sizes[hit])]
+        ids[laid_out(starts[long], sizes[long])] = np.concatenate([np.empty(0, "<u4"), *merged])
+        return ids, starts, sizes, ~(hit | long)
+
+    @F.arrow_udf("struct<ids: binary, words: array<binary>>")
+    def number(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         """The ids of each text, with the number of a rare word in place of its ids."""
-        matches, store = _matches(pattern), worker_cache(key, "ids")
-        for texts in batches:
-            cut, heads, cache, mixed = resolve(texts.tolist(), store, matches)
-            ids, words = [], []
-            for head, rest in cut:
-                own = [heads[head], *map(cache.__getitem__, rest)]
-                numbers: dict[str, bytes] = {}
-                if type(heads[head]) is list or not mixed.isdisjoint(rest):
-                    for x in own:
-                        for y in x if type(x) is list else ():
-                            if type(y) is str and y not in numbers:
-                                numbers[y] = np.array([RARE + len(numbers)], "<u4").tobytes()
-                    own = [x if type(x) is bytes else b"".join([numbers.get(y, y) for y in x]) for x in own]
-                ids.append(b"".join(own))
-                words.append([w.encode() for w in numbers])
-            yield pd.DataFrame({"ids": ids, "words": words})
-
-    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Replaces the last two columns, numbered ids and the ids of rare words, by the result."""
         worker_cache(key, "ids")
-        for batch in batches:
-            ids = []
-            for raw, folded in zip(*(c.to_pylist() for c in batch.columns[-2:]), strict=True):
-                if folded:
-                    numbers = np.frombuffer(raw, "<u4")
-                    at = np.flatnonzero(numbers >= RARE)
-                    bounds = np.stack([np.append(0, at + 1), np.append(at, len(numbers))], axis=1) * 4
-                    known = [np.array(x, "<u4").tobytes() for x in folded]
-                    between = [raw[a:b] for a, b in bounds.tolist()]
-                    rare = [known[n] for n in (numbers[at] - RARE).tolist()]
-                    raw = b"".join([x for pair in zip(between, [*rare, b""], strict=True) for x in pair])
-                ids.append(raw)
-            decoded = [decode(np.frombuffer(x, "<u4")) for x in ids]
-            sizes = pa.array([len(x) // 4 for x in ids], pa.int64())
-            result = pa.StructArray.from_arrays(
-                [pa.array(ids, pa.binary()), pa.array(decoded, pa.binary()), sizes], names=["ids", "decoded", "n_tokens"]
-            )
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*names, result_col])
+        for texts in batches:
+            words, numbers, bounds = text_words(texts, pattern)
+            ids, starts, sizes, rare = lookup(words)
+            out = ids[laid_out(starts[numbers], sizes[numbers])]
+            # The distinct rare words of each text, by text and word.
+            at = np.flatnonzero(rare[numbers])
+            text = np.searchsorted(bounds, at, "right") - 1
+            own, which = np.unique(text * len(words) + numbers[at], return_inverse=True)
+            owner, word = np.divmod(own, max(len(words), 1))
+            firsts = np.searchsorted(owner, np.arange(len(bounds)))
+            out[np.cumsum(sizes[numbers])[at] - 1] = RARE + which - firsts[text]
+            lists = pa.ListArray.from_arrays(pa.array(firsts, pa.int32()), words.cast(pa.binary()).take(pa.array(word)))
+            yield pa.StructArray.from_arrays([bytes_array(out, ends_of(sizes[numbers], bounds)), lists], names=["ids", "words"])
 
     largest = max(rank.values(), default=0)
     tokens = [b""] * (largest + 1)
     for token, n in rank.items():
         tokens[n] = token
     token_bytes = np.frombuffer(b"".join(tokens), np.uint8)
-    token_ends = np.cumsum([len(t) for t in tokens])
+    token_sizes = np.array([len(t) for t in tokens], np.int64)
+    token_starts = np.cumsum(token_sizes) - token_sizes
 
-    def decode(ids: np.ndarray) -> bytes:
-        """The pieces of the ids, concatenated."""
-        ends = token_ends[ids]
-        sizes = ends - np.where(ids > 0, token_ends[ids.astype(np.int64) - 1], 0)
-        at = np.cumsum(sizes)
-        return token_bytes[np.repeat(ends - at, sizes) + np.arange(at[-1] if len(at) else 0)].tobytes()
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Replaces the last two columns, numbered ids and the ids of rare words, by the result."""
+        worker_cache(key, "ids")
+        for batch in batches:
+            numbered, folds = batch.columns[-2:]
+            flat = folds.flatten()
+            folded = flat.flatten()
+            if flat.null_count or folded.null_count:
+                raise ValueError("the rank file lacks single bytes")
+            bounds = np.concatenate([[0], np.cumsum(pc.binary_length(numbered).to_numpy(zero_copy_only=False) // 4)]).astype(np.int64)
+            ids = np.frombuffer(b"".join(numbered.to_pylist()), "<u4")
+            at = np.flatnonzero(ids >= RARE)
+            firsts = np.concatenate([[0], np.cumsum(pc.list_value_length(folds).to_numpy(zero_copy_only=False))]).astype(np.int64)
+            fold_sizes = pc.list_value_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+            fold_starts = np.cumsum(fold_sizes) - fold_sizes
+            which = firsts[np.searchsorted(bounds, at, "right") - 1] + (ids[at] - RARE)
+            starts, sizes = np.arange(len(ids)), np.ones(len(ids), np.int64)
+            starts[at], sizes[at] = len(ids) + fold_starts[which], fold_sizes[which]
+            ids = np.concatenate([ids, folded.to_numpy(zero_copy_only=False).astype("<u4")])[laid_out(starts, sizes)]
+            bounds = ends_of(sizes, bounds)
+            widths = token_sizes[ids]
+            decoded = token_bytes[laid_out(token_starts[ids], widths)]
+            parts = [bytes_array(ids, bounds), bytes_array(decoded, ends_of(widths, bounds)), pa.array(np.diff(bounds), pa.int64())]
+            result = pa.StructArray.from_arrays(parts, names=["ids", "decoded", "n_tokens"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], result], names=[*names, result_col])
 
     numbered, folds, result_col = fresh(docs, "_numbered"), fresh(docs, "_folds"), fresh(docs, "_result")
     names = docs.columns
     kind = StructType.fromDDL("ids binary, decoded binary, n_tokens long")
-    found = F.pandas_udf(number, "ids binary, words array<binary>")(F.col(text_col))
     folded = (
-        docs.withColumn(numbered, found)
+        docs.withColumn(numbered, number(F.col(text_col)))
         .select(*names, F.col(f"{numbered}.ids").alias(numbered), F.transform(F.col(f"{numbered}.words"), lambda w: merged_ranks(w, table)).alias(folds))
         .mapInArrow(assemble, StructType([*docs.schema.fields, StructField(result_col, kind)]))
     )

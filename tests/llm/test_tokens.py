@@ -6,8 +6,11 @@ from pathlib import Path
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import regex
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from gleaner.llm import byte_bpe, packing, token_counts
@@ -73,6 +76,31 @@ def test_bpe_of_no_rows(spark):
     assert byte_bpe.encode(frame(spark, []), read("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect() == []
 
 
+def test_folds_of_pairs_match_the_merges(spark):
+    """Bytes without a rank, words with a rank that no merge reaches, overlapping pairs of one rank."""
+    ranks = byte_bpe.parse_ranks(read("byte_bpe_multi_50k.tiktoken"))
+    lacking = {t: n for t, n in ranks.items() if t not in (b"a", b"th", b"in")}
+    words = [b"this", b" then", b"banana", b" in", b"a", b"ab" * 128, bytes(range(256)), b"aaaaaaa", b""]
+    for own in (ranks, lacking):
+        table = byte_bpe.rank_literal(own)
+        assert (table.whole is None) == (own is ranks)
+        full = {bytes([b]): -1 for b in range(256)} | own
+        rows = spark.createDataFrame([(w,) for w in words], "word binary").select("word", byte_bpe.merged_ranks(F.col("word"), table).alias("ids")).collect()
+        for r in rows:
+            word = bytes(r["word"])
+            merged = byte_bpe.merge_long(word, full)
+            assert r["ids"] == ([own[word]] if word in own else [None if n < 0 else n for n in merged]), word
+
+
+def test_matches_of_many_texts_are_those_of_each():
+    """Lines and marks are cut in bulk; runs of white space and control characters forbid it."""
+    texts = [t for t in ODD if t != "x  "] + ["x\ny\n", "\nx", "\n", "a\n\nb", "\0a b", "x\r\ny z", "abc\nde. Fg,\nhi's"]
+    words, numbers, bounds = byte_bpe.text_words(pa.array(texts, pa.string()), public_tokenizers.PATTERN)
+    assert len(bounds) == len(texts) + 1 and len(words.unique()) == len(words)
+    for text, a, b in zip(texts, bounds[:-1], bounds[1:], strict=True):
+        assert words.take(pa.array(numbers[a:b])).to_pylist() == regex.findall(public_tokenizers.PATTERN, text or "")
+
+
 def test_long_words_merge_alike():
     ranks = byte_bpe.parse_ranks(read("byte_bpe_multi_50k.tiktoken"))
     library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
