@@ -1,7 +1,7 @@
 """A TF-IDF index of a corpus that is kept between queries.
 
-The index is a folder of segments and versions.  A segment holds the postings of one
-batch of chunks in buckets of terms, and its document frequencies; it is never changed.
+The index is a folder of segments and versions.  A segment holds the counted terms of one
+batch of chunks, their postings in buckets of terms, and its document frequencies; it is never changed.
 A version sums the frequencies of all segments and holds the norms that follow from
 them, so a query reads the buckets of its own terms and no text, and adding chunks
 reads no text but theirs.  Segments and versions count only with their marker, which is
@@ -77,8 +77,12 @@ def add(chunks: DataFrame, folder: str) -> str:
     number = int(segment.rsplit("v", 1)[1])
     if number >= MAX_SEGMENTS:
         raise ValueError(f"an index has at most {MAX_SEGMENTS - 1} segments: build it anew")
-    counted = retrieval.count_terms(chunks).withColumn("chunk_no", F.lit(number << SEGMENT_BITS) + F.col("chunk_no"))
-    counted.select("chunk_no", "chunk_id").write.parquet(f"{segment}/chunks")
+
+    def keep(counted: DataFrame) -> DataFrame:
+        counted.withColumn("chunk_no", F.lit(number << SEGMENT_BITS) + F.col("chunk_no")).write.parquet(f"{segment}/counted")
+        return _counted(spark, [segment])
+
+    counted = retrieval.count_terms(chunks, write=keep)
     posted = counted.select("chunk_no", F.inline_outer("terms")).filter(F.col("term").isNotNull())
     (
         posted.withColumn("bucket", _bucket())
@@ -100,16 +104,15 @@ def _new_version(spark: SparkSession, folder: str) -> str:
     # Listed after the number is taken: a later number never knows fewer segments.
     segments = published_versions(spark, f"{folder}/segments")
     df = spark.read.schema("term string, df long").parquet(*[f"{s}/frequencies" for s in segments])
-    n = _chunks(spark, segments).count()
+    counted = _counted(spark, segments)
+    n = counted.count()
     terms = df.groupBy("term").agg(F.sum("df").alias("df")).withColumn("idf", F.log((1 + F.lit(n)) / (1 + F.col("df"))) + 1)
     terms.write.parquet(f"{version}/terms")
     row = spark.createDataFrame([(json.dumps({"segments": segments, "chunks": n}),)], "value string")
     row.coalesce(1).write.text(f"{version}/manifest")
     vocabulary = spark.read.schema("term string, df long, idf double").parquet(f"{version}/terms")
-    plain = retrieval.Postings(_chunks(spark, segments), _model(vocabulary))
-    weight = F.col("tf") * F.col("idf")
-    weighted = retrieval._with_idf(_postings(spark, segments).drop("bucket"), plain.model, vocabulary)
-    weighted.groupBy("chunk_no").agg(F.sqrt(F.sum(weight * weight)).alias("norm")).write.parquet(f"{version}/norms")
+    # From whole chunks: the weights of a chunk are summed before they move.
+    retrieval.Postings(counted, _model(vocabulary)).norms.write.parquet(f"{version}/norms")
     mark_published(spark, version)
     return version
 
@@ -118,8 +121,8 @@ def _model(vocabulary: DataFrame) -> retrieval.TfidfModel:
     return retrieval.TfidfModel(vocabulary, (), fits_broadcast(vocabulary, "term"), 100_000)
 
 
-def _chunks(spark: SparkSession, segments: Sequence[str]) -> DataFrame:
-    return spark.read.schema("chunk_no long, chunk_id string").parquet(*[f"{s}/chunks" for s in segments])
+def _counted(spark: SparkSession, segments: Sequence[str]) -> DataFrame:
+    return spark.read.schema("chunk_no long, chunk_id string, terms array<struct<term:string,tf:int>>").parquet(*[f"{s}/counted" for s in segments])
 
 
 def _postings(spark: SparkSession, segments: Sequence[str]) -> DataFrame:
@@ -143,7 +146,7 @@ def load(spark: SparkSession, folder: str) -> KeptPostings:
     manifest = json.loads(spark.read.text(f"{version}/manifest").first()["value"])
     vocabulary = spark.read.schema("term string, df long, idf double").parquet(f"{version}/terms")
     return KeptPostings(
-        chunks=_chunks(spark, manifest["segments"]),
+        chunks=_counted(spark, manifest["segments"]),
         model=_model(vocabulary),
         by_term=_postings(spark, manifest["segments"]),
         stored_norms=spark.read.schema("chunk_no long, norm double").parquet(f"{version}/norms"),

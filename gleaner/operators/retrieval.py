@@ -41,6 +41,8 @@ SALT_ROWS = 1_000_000
 # Queries that are scored at once, and chunks that meet them at once.
 QUERY_BLOCK = 1024
 CHUNK_BLOCK = 2048
+# Postings that meet the queries at once, where they are read by term.
+POSTING_BLOCK = 1 << 16
 
 _COUNT_ROW = ""  # no term is empty, so this row of the vocabulary counts chunks
 
@@ -138,10 +140,10 @@ class Postings:
         return weighted.groupBy(*self.model.scope, "chunk_no").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
 
 
-def count_terms(chunks: DataFrame, *keep: str) -> DataFrame:
+def count_terms(chunks: DataFrame, *keep: str, write: Callable[[DataFrame], DataFrame] = materialise) -> DataFrame:
     """Chunks with ``chunk_no`` and ``terms`` instead of their text, written once."""
     counted = chunks.select("chunk_id", *keep, term_counts(retrieval_terms(F.col("text"))).alias("terms"))
-    return materialise(counted.withColumn("chunk_no", F.monotonically_increasing_id()))
+    return write(counted.withColumn("chunk_no", F.monotonically_increasing_id()))
 
 
 def post(
@@ -433,6 +435,73 @@ def _best_in_task(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
     return _counted(postings, scope, "chunk_id").mapInArrow(run, schema)
 
 
+def _best_by_posting(postings: Postings, vectors: DataFrame, k: int) -> DataFrame:
+    """:func:`_best_in_task` from postings that are found by their term, with stored norms.
+
+    Postings of asked terms travel by number to the norm and the id of their chunk; what
+    leaves a task is k rows per query, never a (query, chunk) pair.
+    """
+    scope = list(postings.model.scope)
+    keys = [*scope, "query_id"]
+    vectors = vectors.filter(F.col("query_id").isNotNull())  # no result is kept for a query without an id
+    asked = _ask(vectors.select(*scope, "term", "idf").distinct(), vectors, scope)
+    places = pa.table({"_key": asked.shipped.value[0], "place": np.arange(len(asked.shipped.value[0]), dtype=np.int32)})
+    places = vectors.sparkSession.createDataFrame(places.cast(pa.schema([("_key", pa.string()), ("place", pa.int32())])))
+    kinds = {f.name: f.dataType.simpleString() for f in [*vectors.schema, *postings.chunks.schema]}
+    nothing = {"place": "int", "tf": "int", "norm": "double", "chunk_id": kinds["chunk_id"]}
+    row = lambda **has: ["chunk_no", *[has.get(c, F.lit(None)).cast(t).alias(c) for c, t in nothing.items()]]
+    keyed = postings.rows_for(vectors).withColumn("_key", _keyed(scope, F.col("term")))
+    found = keyed.join(F.broadcast(places), "_key").select(*row(place=F.col("place"), tf=F.col("tf")))
+    about = postings.norms.select(*row(norm=F.col("norm"))).unionByName(postings.chunks.select(*row(chunk_id=F.col("chunk_id"))))
+
+    def score(rows: pa.Table, bounds: np.ndarray) -> pd.DataFrame:
+        number = rows["chunk_no"].to_numpy()
+        chunk = np.cumsum(np.diff(number, prepend=number[:1]) != 0)
+        n = int(chunk[-1]) + 1
+        place = pc.fill_null(rows["place"], -1).to_numpy()
+        norm = pc.fill_null(rows["norm"], 0.0).to_numpy()
+        hit, norm = np.flatnonzero(place >= 0), np.bincount(chunk, norm, n)
+        dots = asked.dots(place[hit], rows["tf"].take(pa.array(hit)).to_numpy().astype(float), chunk[hit], n)
+        scores = np.divide(dots, norm[:, None], out=np.zeros_like(dots), where=norm[:, None] > 0)
+        steps = np.floor(scores * 10.0**SCORE_DIGITS + 0.5)
+        at, column = np.nonzero((steps >= np.maximum(bounds, _kth(steps, k))) & (dots > 0))
+        named = np.zeros(n, np.int64)  # a chunk's id stands in its row without place and norm
+        other = np.flatnonzero((place < 0) & rows["norm"].is_null().to_numpy())
+        named[chunk[other]] = other
+        return pd.DataFrame({"q": column, "step": steps[at, column], "score": scores[at, column], "chunk_id": rows["chunk_id"].take(pa.array(named[at])).to_pandas()})
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        """Whole chunks, in tables of about ``POSTING_BLOCK`` rows."""
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) < POSTING_BLOCK:
+                continue
+            rows = pa.Table.from_batches(held)
+            number = rows["chunk_no"].to_numpy()
+            cut = int(np.searchsorted(number, number[-1]))
+            held = rows.slice(cut).to_batches()
+            if cut:
+                yield rows.slice(0, cut)
+        if sum(b.num_rows for b in held):
+            yield pa.Table.from_batches(held)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, bounds = None, np.zeros(len(asked.queries))
+        for rows in blocks(batches) if len(asked.queries) else ():
+            new = score(rows, bounds)
+            held = new if held is None else pd.concat([held, new], ignore_index=True)
+            held = held.sort_values(["q", "step", "chunk_id"], ascending=[True, False, True], na_position="first").groupby("q").head(k)
+            _raise(bounds, held, "step", k)
+        if held is not None and len(held):
+            columns = [*asked.named(held), pa.array(held["chunk_id"]), pa.array(held["score"])]
+            yield pa.RecordBatch.from_arrays(columns, names=[*keys, "chunk_id", "score"])
+
+    schema = ", ".join(f"{c} {kinds[c]}" for c in (*keys, "chunk_id")) + ", score double"
+    together = found.unionByName(about).repartition("chunk_no").sortWithinPartitions("chunk_no")
+    return together.mapInArrow(run, schema)
+
+
 def _kth(steps: np.ndarray, k: int) -> np.ndarray | int:
     """The k-th largest of each column."""
     return np.partition(steps, len(steps) - k, axis=0)[len(steps) - k] if len(steps) > k else 0
@@ -543,16 +612,17 @@ def retrieve(
 
     ``chunks`` with text, or their postings.  A query always gets k rows when the corpus
     has k chunks: zero-score chunks fill the remaining places in id order.  Up to
-    ``query_block`` queries are scored where the chunks lie; beyond, terms are joined
-    (:func:`scores`).
+    ``query_block`` queries are scored where the chunks lie, or where the postings of
+    their terms meet; beyond, terms are joined (:func:`scores`).
     """
     postings = chunks if isinstance(chunks, Postings) else index(chunks, model.scope if model else scope, model)
     scope = postings.model.scope
     keys = [*scope, "query_id"]
     vectors = materialise(query_vectors(queries, postings.model))
     few = vectors.select("query_id").distinct().count() <= query_block and fits_broadcast(vectors, "term")
-    if few and not postings.reads_by_term:
-        hits = top_k(_best_in_task(postings, vectors, k), k, keys)
+    if few:
+        best = _best_by_posting if postings.reads_by_term else _best_in_task
+        hits = top_k(best(postings, vectors, k), k, keys)
     else:
         # Pairs travel by number; ids are fetched for the best k scores of a query, ties
         # included, and break the ties.

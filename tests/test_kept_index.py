@@ -42,3 +42,22 @@ def test_an_index_has_a_lifetime(spark, tmp_path):
     kept_index.add(spark.createDataFrame([("a", "alpha"), ("b", None), ("c", "the of")], "chunk_id string, text string"), folder)
     with pytest.raises(ValueError, match="expired"):
         kept_index.load(spark, folder)
+
+
+def test_no_pair_of_query_and_chunk_leaves_a_task(spark, tmp_path, monkeypatch):
+    rows = corpus() + [(f"same{i:03d}", "alpha beta alpha") for i in range(60)]  # more equal chunks than places
+    folder = str(tmp_path / "index")
+    kept_index.create(spark, folder, "me")
+    for part in (rows[::2], rows[1::2]):
+        kept_index.add(spark.createDataFrame(part, "chunk_id string, text string"), folder)
+    asked = [*QUERIES, (900, "alpha beta alpha"), (901, "beta")]
+    queries = spark.createDataFrame(asked, "query_id long, query_text string")
+    joined = ranked(retrieval.retrieve(queries, kept_index.load(spark, folder), query_block=0))
+
+    def pairs(*args, **options):
+        raise AssertionError("a row per pair")
+
+    monkeypatch.setattr(retrieval, "scores", pairs)
+    monkeypatch.setattr(retrieval, "POSTING_BLOCK", 7)  # chunks cross the batches
+    found = ranked(kept_index.retrieve(spark, queries, folder))
+    assert found == joined == brute(rows, asked, 12)
