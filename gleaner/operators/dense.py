@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.feature import IDF, ElementwiseProduct, HashingTF, Normalizer
 from pyspark.ml.linalg import DenseVector
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -20,6 +21,8 @@ from gleaner.operators.retrieval import SCORE_DIGITS, top_k
 from gleaner.plans.sizing import materialise
 
 QUERY_BLOCK = 1024
+# Vectors that meet a block of queries at once; their scores are held several times over.
+VECTOR_BLOCK = 2048
 SLICE_ROWS = 1 << 14
 
 
@@ -62,8 +65,8 @@ def cosine_top_k(
             # The best so far is carried from batch to batch and leaves the task once.
             held: pd.DataFrame | None = None
             for frame in batches:
-                if len(frame) and len(q_ids):
-                    held = _merge_best(held, _block_best(q_ids, q_unit, frame, k), k)
+                for cut in range(0, len(frame) if len(q_ids) else 0, VECTOR_BLOCK):
+                    held = _merge_best(held, _block_best(q_ids, q_unit, frame[cut : cut + VECTOR_BLOCK], k), k)
             if held is not None:
                 yield held
 
@@ -148,8 +151,9 @@ def fit_latent(chunks: DataFrame, components: int = 50, columns: int = COLUMNS)
     wanted = min(components, used - 1, n_chunks - 1)
     if wanted < 1:
         return LatentSpace(idf, np.zeros((columns, 1)))
-    # Read by every step of the decomposition, so weighted once and kept; no row passes Python.
-    rows = MLUtils.convertVectorColumnsFromML(_weighted(counted, idf).select("_u"), "_u").persist()
+    # Read by every step of the decomposition, so weighted once and kept, beside the heap:
+    # a large matrix would fill it.  No row passes Python.
+    rows = MLUtils.convertVectorColumnsFromML(_weighted(counted, idf).select("_u"), "_u").persist(StorageLevel.DISK_ONLY)
     try:
         basis = RowMatrix(rows, n_chunks, columns).computeSVD(wanted).V.toArray()
     finally:
@@ -170,7 +174,10 @@ def latent_vectors(space: LatentSpace, texts: DataFrame, key: str) -> DataFrame:
 
 
 def latent_retrieve(queries: DataFrame, chunks: DataFrame, k: int = RETRIEVAL_TOP_K, components: int = 50) -> DataFrame:
-    """Top ``k`` by cosine in the latent space."""
+    """Top ``k`` by cosine in the latent space.
+
+    Vectors are written before they are compared: projecting and comparing in one stage
+    would hold two Python workers a core."""
     space = fit_latent(chunks, components)
     asked = latent_vectors(space, queries.select("query_id", F.col("query_text").alias("text")), "query_id")
-    return cosine_top_k(asked, latent_vectors(space, chunks, "chunk_id"), k)
+    return cosine_top_k(asked, materialise(latent_vectors(space, chunks, "chunk_id")), k)

@@ -199,3 +199,27 @@ def test_latent_space_of_texts_without_terms(spark):
         queries = spark.createDataFrame([(1, "alpha"), (2, "")], "query_id long, query_text string")
         got = dense.latent_retrieve(queries, chunks).collect()
         assert len(got) == 2 * len(rows)
+
+
+def test_latent_vectors_are_compared_in_a_stage_of_their_own(spark):
+    chunks = spark.createDataFrame(corpus(40), "chunk_id string, text string")
+    queries = spark.createDataFrame(QUERIES, "query_id long, query_text string")
+    plan = dense.latent_retrieve(queries, chunks, components=3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" in plan and "ArrowEvalPython" not in plan  # one Python worker a core
+
+
+@pytest.mark.parametrize("block", [1, 7, 2048])
+def test_dense_blocks_keep_the_best(spark, block, monkeypatch):
+    rng = random.Random(5)
+    rows = [(f"v{i:03d}", [float(rng.randint(-1, 1)) for _ in range(3)]) for i in range(60)]  # many ties
+    asked = [(q, [float(rng.randint(-1, 1)) for _ in range(3)]) for q in range(5)]
+
+    def cosine(a, b):
+        size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
+        return sum(x * y for x, y in zip(a, b)) / size if size else 0.0
+
+    monkeypatch.setattr(dense, "VECTOR_BLOCK", block)
+    found = dense.cosine_top_k(
+        spark.createDataFrame(asked, "query_id long, vector array<double>"), spark.createDataFrame(rows, "chunk_id string, vector array<double>"), 12
+    )
+    assert ranked(found) == {q: [c for _, c in sorted((-round(cosine(v, w), 9), c) for c, w in rows)[:12]] for q, v in asked}
